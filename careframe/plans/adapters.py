@@ -106,8 +106,13 @@ def measures(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, folder: str) -> DataFrame:
+    return as_requests(table(spark, folder, "events"))
+
+
+def as_requests(events: DataFrame) -> DataFrame:
+    """Events, from a table or a stream, seen as web requests."""
     k, kind = F.col("event_id"), F.col("event_type")
-    return table(spark, folder, "events").select(
+    return events.select(
         "event_id", "ts",
         F.when(k % 6 != 0, F.col("user_id")).alias("user_id"),
         F.when(k % 7 == 0, " ").otherwise(F.concat(F.lit("Full "), F.col("user_id").cast("string"))).alias("full_name"),

@@ -297,8 +297,8 @@ order by created_at desc, id desc limit 20"""),
         sql("models", "select id, name, status from models where status = 'ready' order by created_at desc, id desc limit 20"),
     ),
     "facility_list": (
-        lambda s, f: lk.list_facilities(facilities(s, f), "REGION_1").select("id", "name", "county"),
-        sql("facilities", "select id, name, county from facilities where is_active and lower(county) = 'region_1'"),
+        lambda s, f: lk.list_facilities(facilities(s, f), "africa").select("id", "name", "county"),
+        sql("facilities", "select id, name, county from facilities where is_active and lower(county) = 'africa'"),
     ),
     "active_facility": (
         lambda s, f: optional_eq(active_only(facilities(s, f)), "id", 7).select("id", "name", "county"),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from careframe.plans import cases_patients, cases_reports
+from careframe.plans import cases_patients, cases_places, cases_prepare, cases_reports, cases_scoring
 
-MODULES = (cases_reports, cases_patients)
+MODULES = (cases_reports, cases_patients, cases_scoring, cases_prepare, cases_places)
 
 
 def cases() -> dict[str, tuple]:
