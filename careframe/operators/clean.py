@@ -12,8 +12,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
-from careframe.operators.keyed import first_per_key, spread_join
-from careframe.operators.profile import basic_stats, is_number, local_rows, mode_of, nan_to_null, percentiles
+from careframe.operators.keyed import first_per_key, local_rows, spread_join
+from careframe.operators.profile import basic_stats, is_number, mode_of, nan_to_null, percentiles
 from careframe.operators.quantiles import SMALL
 
 MAX_RULES = 10_000
@@ -229,4 +229,4 @@ def clean(
     if original is None:
         original, dropped = df.count(), 0
     log.append(("total", "summary", None, original, original - dropped, dropped))
-    return current, local_rows(df, log, LOG_SCHEMA)
+    return current, local_rows(df.sparkSession, log, LOG_SCHEMA)

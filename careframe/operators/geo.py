@@ -143,7 +143,7 @@ def facility_coverage(places: DataFrame, facilities: DataFrame, cell_degrees: fl
     listed = (sites.withColumn("_row", F.explode(steps(lat - span_lat, lat + span_lat)))
               .withColumn("_column", F.explode(steps(lng - span_lng, lng + span_lng)))
               .withColumn("_cell", _cell_number(row, column)).drop("_row", "_column"))
-    near = spread_join(spots, listed, "_cell")
+    near = spread_join(spots, listed, "_cell", unique=False)
     within = near.filter(haversine_km(lat, lng, F.col("latitude"), F.col("longitude")) <= reach)
     totals = within.groupBy("facility_id").agg(
         F.sum("population").alias("population"), F.count("*").alias("places"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from careframe.functions.predicates import as_instant, time_literal
+from careframe.operators.keyed import spread_join
 
 
 def enforce_retention(
@@ -45,4 +46,5 @@ def consented(df: DataFrame, consents: DataFrame, consent_type: str, as_of, key:
     valid = consents.filter(
         (F.col("consent_type") == consent_type) & F.col("granted")
         & (F.col("expires_at").isNull() | (F.col("expires_at") > now)))
-    return df.join(valid.select(F.col("patient_key").alias(key)).distinct(), key, "left_semi")
+    people = valid.select(F.col("patient_key").alias(key)).distinct()
+    return spread_join(df, people, key, "left_semi")

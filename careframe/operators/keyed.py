@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import math
 
-# A key is "hot" when it owns more than 1/HOT_SHARE of the rows, so at most
-# HOT_SHARE keys can be hot and the list of them is always small.
-HOT_SHARE = 200
-SALTS = 32
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+# A key is "hot" when it owns more rows than a task's fair load, one part in
+# MIN_SHARE (or in as many as there are shuffle partitions, if more).
+MIN_SHARE = 200
+# Limits of the frequent-items sketch.
+MAX_TOP, MAX_TRACKED = 100_000, 1_000_000
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
@@ -44,40 +47,70 @@ def split_first(df: DataFrame, keys: list[str], order: str) -> tuple[DataFrame,
     return left.join(right, same, "left_semi"), left.join(right, same, "left_anti")
 
 
-def hot_values(df: DataFrame, key: str, share: int = HOT_SHARE) -> list:
-    """Values of ``key`` owning more than 1/``share`` of the non-null rows.
+def _share(df: DataFrame) -> int:
+    """One part in this many is a task's fair load."""
+    return max(MIN_SHARE, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def hot_values(df: DataFrame, key: str) -> list[tuple]:
+    """(value, parts) of every key owning more than a task's fair load of the rows.
 
-    One pre-aggregated pass; by counting, never more than ``share`` values.
+    Found with a mergeable frequent-items sketch: one pass, no shuffle of keys,
+    and by counting never more values than there are fair loads.  ``parts`` is
+    how many fair loads the key makes up.
     """
-    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    top = counts.orderBy(F.desc("n"), key).limit(share)
-    total = counts.agg(F.sum("n").alias("total"))
-    rows = top.unionByName(total.select(F.lit(None).cast(df.schema[key].dataType).alias(key),
-                                        F.col("total").alias("n"))).collect()
-    whole = max((r["n"] or 0 for r in rows), default=0)
-    return [r[key] for r in rows if r[key] is not None and r["n"] * share > whole]
-
-
-def spread_join(
-    many: DataFrame,
-    one: DataFrame,
-    key: str,
-    how: str = "inner",
-    salts: int = SALTS,
-    hot: list | None = None,
-) -> DataFrame:
-    """Join a possibly skewed ``many`` side to ``one`` on ``key``.
-
-    Rows of hot keys are spread over ``salts`` sub-keys, and only the matching
-    rows of ``one`` are repeated; cold keys are shuffled as usual.  Exact for
-    inner, left, left_semi and left_anti joins.
+    share = _share(df)
+    sketch = F.expr(f"approx_top_k(`{key}`, {min(share, MAX_TOP)}, {min(share * 10, MAX_TRACKED)})")
+    row = df.agg(sketch.alias("top"), F.count(key).alias("n")).first()
+    loads = [(t["item"], t["count"] * share / row["n"]) for t in row["top"] if t["item"] is not None]
+    return [(value, math.ceil(parts)) for value, parts in loads if parts > 1]
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", unique: bool = True,
+                hot: list[tuple] | None = None) -> DataFrame:
+    """Join a possibly skewed ``many`` side to ``one`` on ``key``, hot keys apart.
+
+    Where ``one`` holds each key once (``unique``), its rows for hot keys number
+    no more than the hot keys, so they are broadcast and the hot rows of
+    ``many`` stay where they are.  Otherwise hot rows are salted: spread by
+    their content over as many sub-keys as they make up fair loads.  Cold keys
+    are joined as usual.  Exact for inner, left, left_semi and left_anti joins.
     """
     hot = hot_values(many, key) if hot is None else hot
     if not hot:
         return many.join(one, key, how)
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    spread = F.pmod(F.xxhash64(*many.columns), F.lit(salts)).cast("int")
-    left = many.withColumn("_salt", F.when(is_hot, spread).otherwise(F.lit(0)))
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = one.withColumn("_salt", F.explode(copies))
+    if not unique:
+        return _salted_join(many, one, key, how, hot)
+    is_hot = F.coalesce(F.col(key).isin([value for value, _ in hot]), F.lit(False))
+    apart = many.filter(is_hot).join(F.broadcast(one.filter(is_hot)), key, how)
+    return apart.unionByName(many.filter(~is_hot).join(one.filter(~is_hot), key, how))
+
+
+def _salted_join(many: DataFrame, one: DataFrame, key: str, how: str, hot: list[tuple]) -> DataFrame:
+    kind = many.schema[key].dataType.simpleString()
+    # As many rows as there are hot keys.
+    salts = F.broadcast(local_rows(many.sparkSession, hot, [(key, kind), ("_salts", "int")]))
+    spread = F.pmod(F.xxhash64(*many.columns), F.col("_salts").cast("long")).cast("int")
+    left = many.join(salts, key, "left").withColumn("_salt", F.coalesce(spread, F.lit(0))).drop("_salts")
+    copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
+    right = one.join(salts, key, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
     return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
+def having(df: DataFrame, keys: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """Rows of ``df`` whose key occurs in ``keys`` (or, with ``left_anti``, does not).
+
+    The keys are made distinct map-side first: a key repeated over and over
+    would otherwise be shuffled and scanned whole by one task.
+    """
+    return df.join(keys.select(key).distinct(), key, how)
+
+
+def local_rows(spark: SparkSession, rows: list[tuple], schema: list[tuple[str, str]]) -> DataFrame:
+    """A small DataFrame of driver-side values, as literals of the plan."""
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast(k).alias(n) for n, k in schema])
+    names = ", ".join(f"`{n}`: {k}" for n, k in schema)
+    structs = [F.struct(*[F.lit(v).cast(k).alias(n) for v, (n, k) in zip(row, schema, strict=True)]) for row in rows]
+    packed = F.array(*structs).cast(f"array<struct<{names}>>")
+    return spark.range(1, numPartitions=1).select(F.inline(packed))

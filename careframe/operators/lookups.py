@@ -9,7 +9,7 @@ from careframe.functions.predicates import (
     active_only, as_instant, is_high, lookback, optional_eq, optional_flag, search,
 )
 from careframe.functions.scalars import age_band, age_years, full_name
-from careframe.operators.keyed import spread_join, top_per_key
+from careframe.operators.keyed import having, spread_join, top_per_key
 from careframe.operators.quantiles import kth_value
 
 SEARCHED = ["patient_id", "first_name", "last_name", "phone"]
@@ -30,7 +30,7 @@ DIRECT_OFFSET = 10_000
 def lookup(df: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(rows whose key is wanted, wanted keys that do not exist)."""
     wanted = keys.select(key).distinct()
-    return df.join(wanted, key, "left_semi"), wanted.join(df.select(key), key, "left_anti")
+    return having(df, keys, key), having(wanted, df, key, "left_anti")
 
 
 def newest(df: DataFrame, order_col: str, n: int, filters: dict | None = None, tie: str = "id") -> DataFrame:
@@ -146,7 +146,7 @@ def patients_with_predictions(patients: DataFrame, predictions: DataFrame) -> Da
     scores = predictions.select("patient_key", F.col("id").alias("prediction_id"), "risk_score")
     who = patients.select(F.col("id").alias("patient_key"), "county", "is_active")
     paired = spread_join(scores, who, "patient_key")
-    alone = who.join(scores.select("patient_key").distinct(), "patient_key", "left_anti")
+    alone = having(who, scores, "patient_key", "left_anti")
     return paired.unionByName(alone, allowMissingColumns=True)
 
 

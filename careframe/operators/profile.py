@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from careframe.operators.keyed import local_rows
 from careframe.operators.quantiles import SMALL, approx_percentiles, clean_number, exact_percentiles, mode_of
 
 PROFILE_COLUMNS = ("column", "rows", "nulls", "mean", "median", "mode", "q25", "q75", "min", "max", "std")
@@ -57,15 +58,4 @@ def column_profile(df: DataFrame, columns: list[str], approx: bool = False, smal
         rows.append((c, s["rows"], s["nulls"], s["mean"], median, None if mode is None else float(mode),
                      q25, q75, s["min"], s["max"], s["std"]))
     kinds = ["string", "long", "long"] + ["double"] * 8
-    return local_rows(df, rows, list(zip(PROFILE_COLUMNS, kinds, strict=True)))
-
-
-def local_rows(df: DataFrame, rows: list[tuple], schema: list[tuple[str, str]]) -> DataFrame:
-    """A small DataFrame of driver-side results, as literals of the plan."""
-    spark = df.sparkSession
-    names = ", ".join(f"{n}: {k}" for n, k in schema)
-    if not rows:
-        return spark.range(0).select(*[F.lit(None).cast(k).alias(n) for n, k in schema])
-    structs = [F.struct(*[F.lit(v).cast(k).alias(n) for v, (n, k) in zip(row, schema, strict=True)]) for row in rows]
-    packed = F.array(*structs).cast(f"array<struct<{names}>>")
-    return spark.range(1, numPartitions=1).select(F.inline(packed))
+    return local_rows(df.sparkSession, rows, list(zip(PROFILE_COLUMNS, kinds, strict=True)))

@@ -9,7 +9,7 @@ from careframe.functions.predicates import (
 )
 from careframe.functions.scalars import age_band, age_years, full_name, text_map, utc_day
 from careframe.operators import lookups as lk, tables as tb
-from careframe.operators.keyed import latest_per_key
+from careframe.operators.keyed import having, latest_per_key
 from careframe.plans.adapters import (
     AGES_AS_OF, PREDICTIONS_AS_OF, clinicians, facilities, models, patients, predictions, sql, table, visits,
 )
@@ -366,14 +366,14 @@ from ranked r join patients q on q.id = r.patient_key where place <= 2"""),
 from clinicians c left join facilities f on f.id = c.facility_id"""),
     ),
     "patients_without_predictions": (
-        lambda s, f: patients(s, f).join(
-            predictions(s, f).select(F.col("patient_key").alias("id")), "id", "left_anti").select("id", "patient_id"),
+        lambda s, f: having(patients(s, f), predictions(s, f).select(F.col("patient_key").alias("id")), "id", "left_anti")
+        .select("id", "patient_id"),
         sql("patients predictions", """select id, patient_id from patients
 where id not in (select patient_key from predictions)"""),
     ),
     "patients_with_any_prediction": (
-        lambda s, f: patients(s, f).join(
-            predictions(s, f).select(F.col("patient_key").alias("id")), "id", "left_semi").select("id", "patient_id"),
+        lambda s, f: having(patients(s, f), predictions(s, f).select(F.col("patient_key").alias("id")), "id")
+        .select("id", "patient_id"),
         sql("patients predictions", "select id, patient_id from patients where id in (select patient_key from predictions)"),
     ),
     # --- table maintenance
