@@ -38,7 +38,12 @@ def _shortened(edge: float, digits: int) -> float:
 
 
 def interval_labels(edges: list) -> list[str]:
-    """``(a, b]`` text per bin, with the fewest decimals that keep edges apart."""
+    """``(a, b]`` text per bin, with the fewest decimals that keep edges apart.
+
+    One fractional edge makes all of them print as fractions.
+    """
+    if any(isinstance(e, float) for e in edges):
+        edges = [float(e) for e in edges]
     for digits in range(LABEL_DIGITS, 20):
         short = [_shortened(e, digits) if isinstance(e, float) else e for e in edges]
         if len(set(short)) == len(set(edges)):

@@ -197,8 +197,8 @@ case when x is null then null when x <= lo + step then 'a' when x <= lo + 2 * st
             _binned("q", "q_bin", bins=[0, 10, 20.5, 40]), _binned("q", "q_code", bins=[0, 10, 20.5, 40], labels=False),
         ]).select(*KEY, "q", "q_bin", "q_code"),
         sql("measures", """select l_orderkey, l_linenumber, q,
-case when q > 0 and q <= 10 then '(0, 10]' when q > 10 and q <= 20.5 then '(10, 20.5]'
-     when q > 20.5 and q <= 40 then '(20.5, 40]' end as q_bin,
+case when q > 0 and q <= 10 then '(0.0, 10.0]' when q > 10 and q <= 20.5 then '(10.0, 20.5]'
+     when q > 20.5 and q <= 40 then '(20.5, 40.0]' end as q_bin,
 case when q > 0 and q <= 10 then 0 when q > 10 and q <= 20.5 then 1 when q > 20.5 and q <= 40 then 2 end as q_code
 from measures"""),
     ),
