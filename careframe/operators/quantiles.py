@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 SMALL = 200_000
 ACCURACY = 10_000
+SLACK = 2.0  # sketch errors (one is 1/accuracy) kept free on either side of a rank
 
 
 def clean_number(column: Column) -> Column:
@@ -26,14 +27,21 @@ def clean_number(column: Column) -> Column:
 
 @dataclass
 class _Search:
-    """State of one wanted rank: its value lies strictly between ``low`` and ``high``."""
+    """Ranks still wanted among the ``size`` values strictly between ``low`` and ``high``.
+
+    ``ranks`` maps each rank, counted from the start of the interval, to the
+    rank in the whole column it stands for.
+    """
 
     column: str
-    rank: int
+    ranks: dict[int, int]
     size: int
     low: float | None = None
     high: float | None = None
-    value: float | None = None
+
+    @property
+    def interval(self) -> tuple:
+        return self.column, self.low, self.high
 
     def inside(self) -> Column:
         at = F.col(self.column)
@@ -44,68 +52,96 @@ class _Search:
             keep = keep & (at < F.lit(self.high))
         return keep
 
-    def narrow(self, a, b, below: int, at_a: int, between: int, at_b: int) -> None:
-        """Move into the part that holds the rank, given exact row counts of each part."""
-        rank = self.rank
-        if rank < below:
-            self.high, self.size = a, below
-            return
-        rank -= below
-        if rank < at_a:
-            self.value = a
-            return
-        rank -= at_a
-        if rank < between:
-            self.low, self.high, self.rank, self.size = a, b, rank, between
-            return
-        rank -= between
-        if rank < at_b:
-            self.value = b
-            return
-        self.low, self.rank = b, rank - at_b
-        self.size -= below + at_a + between + at_b
+    def around(self, accuracy: int) -> list[float]:
+        """Fractions a sketch surely finds on either side of the wanted ranks."""
+        slack = SLACK / accuracy
+        return [max(0.0, min(self.ranks) / self.size - slack), min(1.0, max(self.ranks) / self.size + slack)]
+
+    def narrow(self, a, b, below: int, at_a: int, between: int, at_b: int) -> tuple[dict, list["_Search"]]:
+        """(values found, searches left), given exact counts of the parts around a bracket."""
+        found, left = {}, {}
+        for rank, wanted in self.ranks.items():
+            if rank < below:
+                left.setdefault((self.low, a, below), {})[rank] = wanted
+            elif rank < below + at_a:
+                found[self.column, wanted] = a
+            elif rank < below + at_a + between:
+                left.setdefault((a, b, between), {})[rank - below - at_a] = wanted
+            elif rank < below + at_a + between + at_b:
+                found[self.column, wanted] = b
+            else:
+                start = below + at_a + between + at_b
+                left.setdefault((b, self.high, self.size - start), {})[rank - start] = wanted
+        return found, [_Search(self.column, ranks, size, low, high) for (low, high, size), ranks in left.items()]
 
 
 def _scope(df: DataFrame, searches: list[_Search]) -> DataFrame:
     """Only rows some search still needs (a filter the file scan can use)."""
+    if any(s.low is None and s.high is None for s in searches):
+        return df
     keep = F.lit(False)
     for search in searches:
         keep = keep | search.inside()
     return df.filter(keep)
 
 
-def select_ranks(df: DataFrame, wanted: list[tuple[str, int, int]], small: int = SMALL, accuracy: int = ACCURACY) -> list:
-    """Values at (column, zero-based rank, non-null row count), ascending order."""
-    searches = [_Search(column, rank, size) for column, rank, size in wanted]
-    while open_now := [s for s in searches if s.value is None]:
-        tiny = [s for s in open_now if s.size <= small]
-        if tiny:
-            picks = [
-                F.element_at(F.array_sort(F.collect_list(F.when(s.inside(), F.col(s.column)))), s.rank + 1).alias(f"v{i}")
-                for i, s in enumerate(tiny)
-            ]
-            row = _scope(df, tiny).agg(*picks).first()
-            for i, s in enumerate(tiny):
-                s.value = row[i]
-            continue
-        slack = 2.0 / accuracy
-        sketches = []
-        for i, s in enumerate(open_now):
-            at = s.rank / s.size
-            around = F.array(F.lit(max(0.0, at - slack)), F.lit(min(1.0, at + slack)))
-            sketches.append(F.percentile_approx(
-                F.when(s.inside(), F.col(s.column)), around, F.lit(accuracy)).alias(f"s{i}"))
-        brackets = _scope(df, open_now).agg(*sketches).first()
-        counts = []
-        for i, s in enumerate(open_now):
-            a, b = brackets[i]
-            at = F.col(s.column)
-            for part in (at < a, at == a, (at > a) & (at < b), (at == b) & F.lit(a < b)):
-                counts.append(F.count_if(s.inside() & part).alias(f"c{len(counts)}"))
-        row = _scope(df, open_now).agg(*counts).first()
-        for i, s in enumerate(open_now):
-            s.narrow(*brackets[i], *row[4 * i: 4 * i + 4])
-    return [s.value for s in searches]
+def _brackets(df: DataFrame, searches: list[_Search], accuracy: int) -> list[tuple]:
+    """(a, b) around the ranks of each search; one sketch per distinct interval."""
+    fractions: dict[tuple, list[float]] = {}
+    owners: dict[tuple, _Search] = {}
+    places = []
+    for s in searches:
+        points = fractions.setdefault(s.interval, [])
+        owners.setdefault(s.interval, s)
+        places.append((list(fractions).index(s.interval), len(points)))
+        points += s.around(accuracy)
+    sketches = [
+        F.percentile_approx(F.when(owners[key].inside(), F.col(key[0])), F.array(*[F.lit(p) for p in points]),
+                            F.lit(accuracy)).alias(f"s{i}")
+        for i, (key, points) in enumerate(fractions.items())]
+    row = _scope(df, searches).agg(*sketches).first()
+    return [(row[i][at], row[i][at + 1]) for i, at in places]
+
+
+def _pick(df: DataFrame, searches: list[_Search]) -> dict[tuple[str, int], float]:
+    """Wanted values of intervals known to hold few rows."""
+    picks = []
+    for i, s in enumerate(searches):
+        ordered = F.array_sort(F.collect_list(F.when(s.inside(), F.col(s.column))))
+        picks.append(F.transform(F.array(*[F.lit(r) for r in s.ranks]), lambda r: F.get(ordered, r)).alias(f"p{i}"))
+    row = _scope(df, searches).agg(*picks).first()
+    return {(s.column, rank): value for s, values in zip(searches, row) for rank, value in zip(s.ranks.values(), values)}
+
+
+def _count_parts(df: DataFrame, searches: list[_Search], brackets: list[tuple]) -> list[list[int]]:
+    """Rows below, at, between, and at the end of each bracket, within its interval."""
+    counts = []
+    for s, (a, b) in zip(searches, brackets):
+        at, inside = F.col(s.column), s.inside()
+        for part in (at < a, at == a, (at > a) & (at < b), (at == b) & F.lit(a < b)):
+            counts.append(F.count_if(inside & part).alias(f"c{len(counts)}"))
+    row = _scope(df, searches).agg(*counts).first()
+    return [list(row[4 * i: 4 * i + 4]) for i in range(len(searches))]
+
+
+def select_ranks(df: DataFrame, wanted: list[tuple[str, list[int], int]], small: int = SMALL,
+                 accuracy: int = ACCURACY) -> dict[tuple[str, int], float]:
+    """{(column, rank): value} for (column, zero-based ranks, non-null row count), ascending order.
+
+    Ranks listed together should lie close together: they share a bracket.
+    """
+    values: dict[tuple[str, int], float] = {}
+    searches = [_Search(column, {r: r for r in ranks}, size) for column, ranks, size in wanted]
+    while wide := [s for s in searches if s.size > small]:
+        searches = [s for s in searches if s.size <= small]
+        brackets = _brackets(df, wide, accuracy)
+        for s, bracket, parts in zip(wide, brackets, _count_parts(df, wide, brackets)):
+            found, left = s.narrow(*bracket, *parts)
+            values.update(found)
+            searches += left
+    if searches:
+        values.update(_pick(df, searches))
+    return values
 
 
 def exact_percentiles(
@@ -133,12 +169,11 @@ def exact_percentiles(
                 at = p * (sizes[c] - 1)
                 spots.append((c, i, math.floor(at), at - math.floor(at)))
     if spots:
-        ranks = [(c, r, sizes[c]) for c, _, r, _ in spots]
-        uppers = [(c, r + 1, sizes[c]) for c, _, r, share in spots if share > 0]
-        values = select_ranks(numbers, ranks + uppers, small, accuracy)
-        above = iter(values[len(ranks):])
-        for (c, i, _, share), low in zip(spots, values, strict=False):
-            found[c][i] = low + (next(above) - low) * share if share > 0 else low
+        ranks = [(c, [r, r + 1] if share > 0 else [r], sizes[c]) for c, _, r, share in spots]
+        values = select_ranks(numbers, ranks, small, accuracy)
+        for c, i, r, share in spots:
+            low = values[c, r]
+            found[c][i] = low + (values[c, r + 1] - low) * share if share > 0 else low
     return found
 
 
@@ -166,4 +201,4 @@ def kth_value(df: DataFrame, column: str, rank: int, small: int = SMALL):
     """Value at a zero-based rank in ascending order, or ``None`` past the end."""
     values = df.select(column).filter(F.col(column).isNotNull())
     size = values.count()
-    return select_ranks(values, [(column, rank, size)], small)[0] if rank < size else None
+    return select_ranks(values, [(column, [rank], size)], small)[column, rank] if rank < size else None

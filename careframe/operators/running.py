@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import math
+
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, Window, functions as F
 
 SLICES = 256
 ACCURACY = 10_000
 
 
-def _slice_of(value: Column, splits: list[float], first: int = 0) -> Column:
-    """Index of the slice holding ``value``: a balanced tree of comparisons."""
-    if not splits:
-        return F.lit(first)
-    middle = len(splits) // 2
-    return F.when(value < F.lit(splits[middle]), _slice_of(value, splits[:middle], first)).otherwise(
-        _slice_of(value, splits[middle + 1:], first + middle + 1))
-
-
 def running_totals(df: DataFrame, order_col: str, sums: list[str], slices: int = SLICES) -> DataFrame:
     """Add ``<name>_before``: the total of ``name`` over all rows with a smaller ``order_col``.
 
@@ -27,8 +21,8 @@ def running_totals(df: DataFrame, order_col: str, sums: list[str], slices: int =
     """
     points = [i / slices for i in range(1, slices)]
     found = df.agg(F.percentile_approx(order_col, F.array(*[F.lit(p) for p in points]), F.lit(ACCURACY))).first()[0]
-    splits = sorted(set(found or []))
-    placed = df.withColumn("_slice", _slice_of(F.col(order_col), splits))
+    bounds = [-math.inf, *(sorted(set(found or [])) or [0.0]), math.inf]
+    placed = Bucketizer(splits=bounds, inputCol=order_col, outputCol="_slice").transform(df)
     # At most `slices` rows: one window over them is bounded.
     earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy("_slice").agg(*[F.sum(s).alias(s) for s in sums]).select(

@@ -23,10 +23,10 @@ KEY = "patient_id"
 AUTO_PREFIX = "AUTO_"
 MAX_LOGGED_ERRORS = 50
 
-# Accepted spellings of a date of birth.
-DASHED_DATE = r"^\d{4}-\d{1,2}-\d{1,2}$"
-COMPACT_DATE = r"^\d{8}$"
-WEEK_DATE = r"^(\d{4})-?W(\d{2})(?:-?([1-7]))?$"
+# Accepted spellings of a date of birth (there is no year 0).
+DASHED_DATE = r"^(?!0000)\d{4}-\d{1,2}-\d{1,2}$"
+COMPACT_DATE = r"^(\d{4})(\d{2})(\d{2})$"
+WEEK_DATE = r"^(?!0000)(\d{4})-?W(\d{2})(?:-?([1-7]))?$"
 
 
 def header_of(spark: SparkSession, path: str) -> list[str]:
@@ -92,18 +92,26 @@ def shape_csv(raw: DataFrame, names: list[str]) -> DataFrame:
     return numbered.select(SOURCE_FILE, SOURCE_TIME, ROW, *filled)
 
 
+def _bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _week_day(part) -> Column:
+    """Date of an ISO year, week and day; null where the year has no such week."""
+    fourth = F.make_date(part["year"], F.lit(1), F.lit(4))  # always lies in week 1
+    start = F.date_add(F.date_trunc("week", fourth).cast("date"), (part["week"] - 1) * 7)
+    return _bind(start, lambda day: F.when(F.weekofyear(day) == part["week"], F.date_add(day, part["day"] - 1)))
+
+
 def parse_birth_date(text: Column) -> Column:
     """Date from ``Y-M-D``, ``YYYYMMDD`` or ISO week text; null when it is none of them."""
-    dashed = F.when(F.rlike(text, F.lit(DASHED_DATE)), text.try_cast("date"))
-    compact = F.when(F.rlike(text, F.lit(COMPACT_DATE)), F.try_to_date(text, "yyyyMMdd"))
-    year = F.regexp_extract(text, WEEK_DATE, 1).try_cast("int")
-    week = F.regexp_extract(text, WEEK_DATE, 2).try_cast("int")
-    day = F.coalesce(F.regexp_extract(text, WEEK_DATE, 3).try_cast("int"), F.lit(1))
-    fourth = F.make_date(year, F.lit(1), F.lit(4))  # always lies in week 1
-    start = F.date_add(F.date_trunc("week", fourth).cast("date"), (week - 1) * 7)
-    by_week = F.when(F.rlike(text, F.lit(WEEK_DATE)) & (F.weekofyear(start) == week), F.date_add(start, day - 1))
-    parsed = F.coalesce(dashed, compact, by_week)
-    return F.when(F.year(parsed).between(1, 9999), parsed)
+    dashed = F.regexp_replace(text, COMPACT_DATE, "$1-$2-$3")
+    by_day = F.when(F.rlike(dashed, F.lit(DASHED_DATE)), dashed.try_cast("date"))
+    year, week, day = (F.regexp_extract(text, WEEK_DATE, i).try_cast("int") for i in (1, 2, 3))
+    parts = F.struct(year.alias("year"), week.alias("week"), F.coalesce(day, F.lit(1)).alias("day"))
+    by_week = F.when(F.rlike(text, F.lit(WEEK_DATE)), _bind(parts, _week_day))
+    return F.coalesce(by_day, by_week)
 
 
 def check_rows(raw: DataFrame) -> DataFrame:
@@ -113,32 +121,39 @@ def check_rows(raw: DataFrame) -> DataFrame:
     when a mapped field is missing from it or the date of birth is no date.
     """
     present = set(raw.columns)
-
-    def source(name: str) -> Column:
-        return F.col(name) if name in present else F.lit(COLUMN_DEFAULTS[name])
-
     key = F.col(KEY) if KEY in present else F.concat(F.lit(AUTO_PREFIX), F.col(ROW).cast("string"))
-    made = {name: source(name) for name in COLUMN_DEFAULTS}
-    born = parse_birth_date(made["date_of_birth"])
-    problems = [F.when(key.isNull(), F.lit(f"missing value for {KEY}"))]
-    for name, column in made.items():
-        problems.append(F.when(column.isNull(), F.lit(f"missing value for {name}")))
-        if name == "date_of_birth":
-            problems.append(F.when(column.isNotNull() & born.isNull(),
-                                   F.concat(F.lit("invalid date_of_birth: "), column)))
-    coerced = made | {
-        "date_of_birth": born,
-        "gender": F.upper(F.substring(made["gender"], 1, 1)),
-    }
+    texts = {n: F.col(n) if n in present else F.lit(default) for n, default in COLUMN_DEFAULTS.items()}
     extra = [c for c in (SOURCE_FILE, SOURCE_TIME) if c in present]
-    return raw.select(
-        *extra, ROW, key.alias(KEY), *[c.alias(n) for n, c in coerced.items()],
-        F.array_compact(F.array(*problems)).alias("errors"))
+    # The date is parsed in a step of its own, so that its users share one result.
+    parsed = raw.select(*extra, ROW, key.alias(KEY), *[c.alias(n) for n, c in texts.items()],
+                        parse_birth_date(texts["date_of_birth"]).alias("_born"))
+    born, text = F.col("_born"), F.col("date_of_birth")
+    problems = []
+    for name in (KEY, *COLUMN_DEFAULTS):
+        problems.append(F.when(F.col(name).isNull(), F.lit(f"missing value for {name}")))
+    invalid = F.when(text.isNotNull() & born.isNull(), F.concat(F.lit("invalid date_of_birth: "), text))
+    coerced = {"date_of_birth": born, "gender": F.upper(F.substring("gender", 1, 1))}
+    return parsed.select(
+        *extra, ROW, KEY, *[coerced.get(n, F.col(n)).alias(n) for n in COLUMN_DEFAULTS],
+        F.when(_usable(born), F.array().cast("array<string>")).otherwise(
+            F.array_compact(F.array(*problems, invalid))).alias("errors"))
+
+
+def _usable(born: Column) -> Column:
+    """Whether every mapped field of a row has a value."""
+    complete = born.isNotNull()
+    for name in (KEY, *COLUMN_DEFAULTS):
+        complete = complete & F.col(name).isNotNull()
+    return complete
 
 
 def split_rows(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid rows, rejected rows with their ``errors``)."""
-    return checked.filter(F.size("errors") == 0).drop("errors"), checked.filter(F.size("errors") > 0)
+    """(valid rows, rejected rows with their ``errors``).
+
+    A row has errors exactly where a mapped column is null, which is the cheaper test.
+    """
+    usable = _usable(F.col("date_of_birth"))
+    return checked.filter(usable).drop("errors"), checked.filter(~usable)
 
 
 def coerce_patients(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -148,7 +163,7 @@ def coerce_patients(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def ingest_stats(checked: DataFrame) -> DataFrame:
     """One row: total, processed, failed, log of the first errors, status."""
-    bad = F.size("errors") > 0
+    bad = ~_usable(F.col("date_of_birth"))
     logged = checked.filter(bad).orderBy(ROW).limit(MAX_LOGGED_ERRORS).select(
         ROW, F.concat(F.lit("Row "), F.col(ROW).cast("string"), F.lit(": "), F.array_join("errors", "; ")).alias("text"))
     lines = F.array_sort(F.collect_list(F.struct(ROW, "text")))  # at most MAX_LOGGED_ERRORS entries

@@ -92,8 +92,10 @@ def test_narrowing_with_heavy_ties(spark):
     df = spark.createDataFrame([(v,) for v in values], "x double")
     ordered = sorted(values)
     ranks = [0, 5, 6, 4005, 4006, 7005, 7006, 8999]
-    got = quantiles.select_ranks(df, [("x", r, len(values)) for r in ranks], small=10, accuracy=50)
-    assert got == [ordered[r] for r in ranks]
+    got = quantiles.select_ranks(df, [("x", [r], len(values)) for r in ranks], small=10, accuracy=50)
+    assert got == {("x", r): ordered[r] for r in ranks}
+    together = quantiles.select_ranks(df, [("x", ranks, len(values))], small=400, accuracy=50)
+    assert together == got
 
 
 def test_percentiles_of_nothing(spark):
