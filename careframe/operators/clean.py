@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
-from careframe.operators.keyed import first_per_key, local_rows, spread_join
+from careframe.operators.keyed import first_per_key, hot_values, local_rows
 from careframe.operators.profile import basic_stats, is_number, mode_of, nan_to_null, percentiles
 from careframe.operators.quantiles import SMALL
 
@@ -106,17 +106,28 @@ def drop_repeats(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def flag_repeats(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Mark every row whose key occurs more than once."""
+    """Mark every row whose key occurs more than once; null keys equal each other.
+
+    Keys are counted map-side first.  Rows of hot keys are marked where they
+    are from a broadcast of the few hot keys, the others by a shuffled join.
+    """
+    repeated = _repeat_counts(df, keys).filter("_copies > 1").select(*keys)
     token = F.xxhash64(*keys)
-    repeated = _repeat_counts(df, keys).filter("_copies > 1").select(
-        token.alias("_token"), F.struct(*keys).alias("_key"))
-    # Tokens may collide, so a token leads to the list of keys behind it (almost always one).
-    repeated = repeated.groupBy("_token").agg(F.collect_list("_key").alias("_keys"))
-    marked = spread_join(df.withColumn("_token", token), repeated, "_token", "left")
-    here = F.struct(*keys)
-    return marked.withColumn(
-        name, F.coalesce(F.exists("_keys", lambda k: k.eqNullSafe(here)), F.lit(False))
-    ).drop("_token", "_keys")
+    hot = [value for value, _ in hot_values(df.select(token.alias("_token")), "_token")]
+    if not hot:
+        return _marked(df, repeated, keys, name)
+    is_hot = token.isin(hot)
+    apart = _marked(df.filter(is_hot), F.broadcast(repeated.filter(is_hot)), keys, name)
+    return apart.unionByName(_marked(df.filter(~is_hot), repeated.filter(~is_hot), keys, name))
+
+
+def _marked(df: DataFrame, repeated: DataFrame, keys: list[str], name: str) -> DataFrame:
+    other = repeated.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.lit(True).alias("_repeated"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    joined = df.join(other, same, "left")
+    return joined.select(*df.columns, F.coalesce("_repeated", F.lit(False)).alias(name))
 
 
 def _apply(df: DataFrame, rule: Rule, seen: dict, always_add: bool) -> DataFrame:

@@ -17,7 +17,7 @@ def is_number(df: DataFrame, column: str) -> bool:
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Floating columns with NaN turned into null: Spark would compare and average NaN."""
     fixes = {
-        f.name: F.when(~F.isnan(f.name), F.col(f.name))
+        f.name: F.nanvl(f.name, F.lit(None).cast(f.dataType))
         for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))
     }
     return df.withColumns(fixes) if fixes else df

@@ -20,9 +20,12 @@ SLACK = 2.0  # sketch errors (one is 1/accuracy) kept free on either side of a r
 
 
 def clean_number(column: Column) -> Column:
-    """As double with NaN turned into null."""
-    number = column.cast("double")
-    return F.when(~F.isnan(number), number)
+    """As double with NaN turned into null.
+
+    ``nanvl`` mentions the column once: where plans are merged, every mention
+    becomes a copy of whatever computes the column.
+    """
+    return F.nanvl(column.cast("double"), F.lit(None).cast("double"))
 
 
 @dataclass
@@ -45,12 +48,13 @@ class _Search:
 
     def inside(self) -> Column:
         at = F.col(self.column)
-        keep = at.isNotNull()
-        if self.low is not None:
-            keep = keep & (at > F.lit(self.low))
-        if self.high is not None:
-            keep = keep & (at < F.lit(self.high))
-        return keep
+        if self.low is None and self.high is None:
+            return at.isNotNull()
+        if self.low is None:
+            return at < F.lit(self.high)
+        if self.high is None:
+            return at > F.lit(self.low)
+        return (at > F.lit(self.low)) & (at < F.lit(self.high))
 
     def around(self, accuracy: int) -> list[float]:
         """Fractions a sketch surely finds on either side of the wanted ranks."""
@@ -191,7 +195,7 @@ def mode_of(df: DataFrame, column: str):
     """Most frequent value, smallest on ties; counted per value, never gathered."""
     value = F.col(column)
     if dict(df.dtypes)[column] in ("float", "double"):
-        value = F.when(~F.isnan(value), value)
+        value = F.nanvl(value, F.lit(None).cast("double"))
     counts = df.select(value.alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("n"))
     row = counts.orderBy(F.desc("n"), "v").limit(1).first()
     return None if row is None else row["v"]

@@ -142,6 +142,17 @@ def test_duplicate_rules(spark):
         ("x/drop", "drop", 3, None, None, None), ("total", "summary", None, 6, 3, 3)]
 
 
+def test_flagging_whole_copies(spark):
+    """A third of the rows are copies of one row, and some keys are null."""
+    data = [(7, "x") if i % 3 == 0 else (None, "y") if i % 100 == 1 else (i // 2, str(i % 2)) for i in range(3000)]
+    df = spark.createDataFrame(data, "k long, v string")
+    got = clean(df, [rule("k", "duplicate", "flag", keys=["k", "v"])])[0].collect()
+    counts = {}
+    for r in data:
+        counts[r] = counts.get(r, 0) + 1
+    assert len(got) == 3000 and all(r["k_duplicate"] == (counts[r["k"], r["v"]] > 1) for r in got)
+
+
 def test_profile(spark):
     got = column_profile(numbers(spark, [3.0, 1.0, 3.0, 1.0, None, float("nan")]), ["x"]).first().asDict()
     assert (got["rows"], got["nulls"], got["mode"], got["median"], got["min"], got["max"]) == (6, 2, 1.0, 2.0, 1.0, 3.0)
