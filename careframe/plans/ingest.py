@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from careframe.operators.tables import upsert
 from careframe.sources.patient_csv import (
-    COLUMN_DEFAULTS, KEY, ROW, SOURCE_FILE, SOURCE_TIME, check_rows, failed_stats, ingest_stats, is_utf8,
-    read_patient_csv, split_rows,
+    COLUMN_DEFAULTS, KEY, check_rows, failed_stats, ingest_stats, is_utf8, place_of, read_patient_csv, split_rows,
 )
 
 
@@ -18,8 +17,7 @@ def merge_checked(current: DataFrame, checked: DataFrame, as_of) -> DataFrame:
     Within a file the last row of a key wins; among files, the newest file.
     """
     valid, _ = split_rows(checked)
-    order = [c for c in (SOURCE_TIME, SOURCE_FILE, ROW) if c in valid.columns]
-    placed = valid.withColumn("_place", F.struct(*order))
+    placed = valid.withColumn("_place", place_of(valid))
     return upsert(current, placed, KEY, "_place", list(COLUMN_DEFAULTS), as_of)
 
 
@@ -30,7 +28,7 @@ def ingest_file(
 
     A file that cannot be read or decoded changes nothing and is reported as
     failed.  With a ``staging`` path the checked rows are written there once,
-    so the table and the statistics do not parse the file again.
+    so the file is parsed once for the table and the statistics together.
     """
     try:
         if not is_utf8(spark, path):

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 CORRUPT = "_corrupt_record"
 ROW = "row_no"
-SOURCE_FILE, SOURCE_TIME = "source_file", "source_time"
+# Where a row was read: file (newest last), split of the file, and order inside the split.
+SOURCE_TIME, SOURCE_FILE, SPLIT_START, SPLIT_ORDER = "source_time", "source_file", "split_start", "split_order"
+PLACE = (SOURCE_TIME, SOURCE_FILE, SPLIT_START, SPLIT_ORDER, ROW)
 
 # Mapped columns, and the default of each when the file lacks the column.
 COLUMN_DEFAULTS = {
@@ -53,27 +55,44 @@ def _with_missing(raw: DataFrame, names: list[str]) -> DataFrame:
     return raw.withColumn("_missing", absent)
 
 
-def number_rows(raw: DataFrame) -> DataFrame:
-    """Add ``row_no``: 1, 2, ... in file order, per file.
+def place_rows(raw: DataFrame) -> DataFrame:
+    """Add where each row was read, straight above the scan."""
+    return raw.withColumns({
+        SOURCE_TIME: F.col("_metadata.file_modification_time"), SOURCE_FILE: F.col("_metadata.file_path"),
+        SPLIT_START: F.col("_metadata.file_block_start"), SPLIT_ORDER: F.monotonically_increasing_id(),
+    })
+
+
+def place_of(df: DataFrame) -> Column:
+    """Reading order of rows, from whichever place columns they carry."""
+    return F.struct(*[c for c in PLACE if c in df.columns])
+
+
+def split_offsets(placed: DataFrame) -> DataFrame:
+    """Per file split: its first order value and the number of rows before it in the file.
 
-    Rows are numbered inside each file split, and splits are offset by the
-    row counts of the splits before them; only those counts (one row per
-    split) are brought together.
+    One row per split, summed up map-side.
     """
-    placed = raw.withColumns({
-        "_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"),
-        SOURCE_TIME: F.col("_metadata.file_modification_time"), "_at": F.monotonically_increasing_id(),
-    })
-    splits = placed.groupBy("_file", "_start").agg(F.count("*").alias("_rows"), F.min("_at").alias("_first"))
-    before = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.select("_file", "_start", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    numbered = placed.join(splits, ["_file", "_start"])
-    return numbered.withColumn(ROW, F.col("_before") + F.col("_at") - F.col("_first") + 1).drop(
-        "_start", "_at", "_first", "_before").withColumnRenamed("_file", SOURCE_FILE)
+    splits = placed.groupBy(SOURCE_FILE, SPLIT_START).agg(
+        F.count("*").alias("_rows"), F.min(SPLIT_ORDER).alias("_first"))
+    before = Window.partitionBy(SOURCE_FILE).orderBy(SPLIT_START).rowsBetween(Window.unboundedPreceding, -1)
+    return splits.select(SOURCE_FILE, SPLIT_START, "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+
+
+def number_rows(some: DataFrame, placed: DataFrame | None = None) -> DataFrame:
+    """Add ``row_no`` (1, 2, ... in file order, per file) to some rows of ``placed``.
+
+    Keeping the place of a row is enough to order rows; counting is only for
+    those whose number is shown.
+    """
+    offsets = split_offsets(some if placed is None else placed)
+    numbered = some.join(offsets, [SOURCE_FILE, SPLIT_START])
+    number = F.col("_before") + F.col(SPLIT_ORDER) - F.col("_first") + 1
+    return numbered.withColumn(ROW, number).drop("_before", "_first")
 
 
 def read_patient_csv(spark: SparkSession, path: str, multi_line: bool = False, names: list[str] | None = None) -> DataFrame:
-    """Header-named text columns, ``row_no`` and the names of missing fields.
+    """Header-named text columns and the place of each row.
 
     Blank lines are skipped and surplus fields ignored.  ``multi_line`` allows
     line breaks inside quotes, at the price of one task per file.
@@ -85,11 +104,11 @@ def read_patient_csv(spark: SparkSession, path: str, multi_line: bool = False, n
 
 
 def shape_csv(raw: DataFrame, names: list[str]) -> DataFrame:
-    """Numbered rows; empty fields as ``''``, truly missing ones as null."""
-    numbered = _with_missing(number_rows(raw), names)
+    """Placed rows; empty fields as ``''``, truly missing ones as null."""
+    marked = _with_missing(place_rows(raw), names)
     filled = [
         F.when(~F.array_contains("_missing", n), F.coalesce(F.col(n), F.lit(""))).alias(n) for n in names]
-    return numbered.select(SOURCE_FILE, SOURCE_TIME, ROW, *filled)
+    return marked.select(*PLACE[:-1], *filled)
 
 
 def _bind(value: Column, use) -> Column:
@@ -119,13 +138,16 @@ def check_rows(raw: DataFrame) -> DataFrame:
 
     Defaults apply only where the file has no such *column*.  A row is in error
     when a mapped field is missing from it or the date of birth is no date.
+    Without a key column the key is made from the row number.
     """
+    if KEY not in raw.columns and ROW not in raw.columns:
+        raw = number_rows(raw)
     present = set(raw.columns)
     key = F.col(KEY) if KEY in present else F.concat(F.lit(AUTO_PREFIX), F.col(ROW).cast("string"))
     texts = {n: F.col(n) if n in present else F.lit(default) for n, default in COLUMN_DEFAULTS.items()}
-    extra = [c for c in (SOURCE_FILE, SOURCE_TIME) if c in present]
+    place = [c for c in PLACE if c in present]
     # The date is parsed in a step of its own, so that its users share one result.
-    parsed = raw.select(*extra, ROW, key.alias(KEY), *[c.alias(n) for n, c in texts.items()],
+    parsed = raw.select(*place, key.alias(KEY), *[c.alias(n) for n, c in texts.items()],
                         parse_birth_date(texts["date_of_birth"]).alias("_born"))
     born, text = F.col("_born"), F.col("date_of_birth")
     problems = []
@@ -134,7 +156,7 @@ def check_rows(raw: DataFrame) -> DataFrame:
     invalid = F.when(text.isNotNull() & born.isNull(), F.concat(F.lit("invalid date_of_birth: "), text))
     coerced = {"date_of_birth": born, "gender": F.upper(F.substring("gender", 1, 1))}
     return parsed.select(
-        *extra, ROW, KEY, *[coerced.get(n, F.col(n)).alias(n) for n in COLUMN_DEFAULTS],
+        *place, KEY, *[coerced.get(n, F.col(n)).alias(n) for n in COLUMN_DEFAULTS],
         F.when(_usable(born), F.array().cast("array<string>")).otherwise(
             F.array_compact(F.array(*problems, invalid))).alias("errors"))
 
@@ -164,9 +186,12 @@ def coerce_patients(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 def ingest_stats(checked: DataFrame) -> DataFrame:
     """One row: total, processed, failed, log of the first errors, status."""
     bad = ~_usable(F.col("date_of_birth"))
-    logged = checked.filter(bad).orderBy(ROW).limit(MAX_LOGGED_ERRORS).select(
-        ROW, F.concat(F.lit("Row "), F.col(ROW).cast("string"), F.lit(": "), F.array_join("errors", "; ")).alias("text"))
-    lines = F.array_sort(F.collect_list(F.struct(ROW, "text")))  # at most MAX_LOGGED_ERRORS entries
+    logged = checked.filter(bad).orderBy(place_of(checked)).limit(MAX_LOGGED_ERRORS)
+    if ROW not in checked.columns:
+        logged = number_rows(logged, checked)
+    logged = logged.select(
+        place_of(checked).alias("_place"), F.concat(F.lit("Row "), F.col(ROW).cast("string"), F.lit(": "), F.array_join("errors", "; ")).alias("text"))
+    lines = F.array_sort(F.collect_list(F.struct("_place", "text")))  # at most MAX_LOGGED_ERRORS entries
     counts = checked.agg(F.count("*").alias("total"), F.count_if(bad).alias("failed"),
                          F.lit(None).cast("string").alias("error_log"))
     texts = logged.agg(F.array_join(F.transform(lines, lambda s: s["text"]), "\n").alias("error_log")).select(

@@ -21,7 +21,8 @@ def write(tmp_path, text, name="in.csv", binary=None):
 
 
 def checked(spark, path, **options):
-    return pc.split_rows(pc.check_rows(pc.read_patient_csv(spark, path, **options)))
+    rows = pc.read_patient_csv(spark, path, **options)
+    return pc.split_rows(pc.check_rows(pc.number_rows(rows)))
 
 
 def test_good_rows(spark, tmp_path):
@@ -95,10 +96,12 @@ def test_row_numbers_run_through_all_splits(spark, tmp_path):
     try:
         raw = pc.read_patient_csv(spark, path)
         assert raw.rdd.getNumPartitions() > 4
-        rows = raw.select("patient_id", "row_no").collect()
+        rows = pc.number_rows(raw).select("patient_id", "row_no").collect()
+        few = pc.number_rows(raw.filter("patient_id in ('P1', 'P4711')"), raw).select("patient_id", "row_no").collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", "128MB")
     assert {r["patient_id"]: r["row_no"] for r in rows} == {f"P{i}": i for i in range(1, 5001)}
+    assert {r["patient_id"]: r["row_no"] for r in few} == {"P1": 1, "P4711": 4711}
 
 
 def patients_now(spark):
