@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from careframe.operators.keyed import first_per_key, hot_values, local_rows
 from careframe.operators.profile import basic_stats, is_number, mode_of, nan_to_null, percentiles
 from careframe.operators.quantiles import SMALL
+from careframe.session import cut_lineage
 
 MAX_RULES = 10_000
 FENCE = 1.5
@@ -211,16 +212,18 @@ def _measure(df: DataFrame, run: list[Rule], approx: bool, small: int) -> tuple[
 
 def clean(
     df: DataFrame, rules: list[Rule] | DataFrame, always_add: bool = False, approx: bool = False, small: int = SMALL,
+    settle: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(cleaned rows, action log).
 
     Inactive rules and rules for absent columns are skipped.  Flag columns are
-    added only where something was flagged, unless ``always_add``.
+    added only where something was flagged, unless ``always_add``.  Statistics
+    read the input several times: ``settle`` an input that is costly to compute.
     """
     if isinstance(rules, DataFrame):
         rules = read_rules(rules)
     rules = sorted((r for r in rules if r.is_active), key=lambda r: r.id)
-    current = nan_to_null(df)
+    current = nan_to_null(cut_lineage(df) if settle else df)
     log: list[tuple] = []
     original = dropped = None
     for run in _batches(rules, df.columns):

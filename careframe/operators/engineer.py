@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from careframe.functions.bins import age_code, cut, equal_width_edges
 from careframe.operators.profile import basic_stats, nan_to_null
+from careframe.session import cut_lineage
 
 MAX_TRANSFORMS = 10_000
 DEFAULT_BINS = 4
@@ -103,16 +104,18 @@ def domain_features(df: DataFrame) -> DataFrame:
     return df.withColumns(made) if made else df
 
 
-def engineer(df: DataFrame, transforms: list[Transform] | DataFrame, always_add: bool = False) -> DataFrame:
+def engineer(df: DataFrame, transforms: list[Transform] | DataFrame, always_add: bool = False,
+             settle: bool = False) -> DataFrame:
     """Add the transforms' columns in order, then the domain features.
 
     Statistics of all transforms whose source is already there are fetched in
     one aggregate; another pass is made only for a transform of a transform.
+    ``settle`` an input that is costly to compute, as each pass reads it again.
     """
     if isinstance(transforms, DataFrame):
         transforms = read_transforms(transforms)
     steps = sorted((t for t in transforms if t.is_active), key=lambda t: t.id)
-    current, stats = nan_to_null(df), {}
+    current, stats = nan_to_null(cut_lineage(df) if settle else df), {}
     for place, step in enumerate(steps):
         if step.source_field not in current.columns:
             continue

@@ -53,7 +53,7 @@ def _share(df: DataFrame) -> int:
 
 
 def hot_values(df: DataFrame, key: str) -> list[tuple]:
-    """(value, parts) of every key owning more than a task's fair load of the rows.
+    """(value, parts) of every key, null included, owning more rows than a task's fair load.
 
     Found with a mergeable frequent-items sketch: one pass, no shuffle of keys,
     and by counting never more values than there are fair loads.  ``parts`` is
@@ -61,9 +61,9 @@ def hot_values(df: DataFrame, key: str) -> list[tuple]:
     """
     share = _share(df)
     sketch = F.expr(f"approx_top_k(`{key}`, {min(share, MAX_TOP)}, {min(share * 10, MAX_TRACKED)})")
-    row = df.agg(sketch.alias("top"), F.count(key).alias("n")).first()
-    loads = [(t["item"], t["count"] * share / row["n"]) for t in row["top"] if t["item"] is not None]
-    return [(value, math.ceil(parts)) for value, parts in loads if parts > 1]
+    row = df.agg(sketch.alias("top"), F.count(key).alias("n"), F.count("*").alias("rows")).first()
+    counts = [(t["item"], t["count"]) for t in row["top"] if t["item"] is not None] + [(None, row["rows"] - row["n"])]
+    return [(value, math.ceil(n * share / row["rows"])) for value, n in counts if n * share > row["rows"]]
 
 
 def spread_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", unique: bool = True,
@@ -74,29 +74,40 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", u
     no more than the hot keys, so they are broadcast and the hot rows of
     ``many`` stay where they are.  Otherwise hot rows are salted: spread by
     their content over as many sub-keys as they make up fair loads.  Cold keys
-    are joined as usual.  Exact for inner, left, left_semi and left_anti joins.
+    are joined as usual; null keys, which match nothing, are never gathered.
+    Exact for inner, left, left_semi and left_anti joins.
     """
     hot = hot_values(many, key) if hot is None else hot
     if not hot:
         return many.join(one, key, how)
     if not unique:
         return _salted_join(many, one, key, how, hot)
-    is_hot = F.coalesce(F.col(key).isin([value for value, _ in hot]), F.lit(False))
-    apart = many.filter(is_hot).join(F.broadcast(one.filter(is_hot)), key, how)
-    return apart.unionByName(many.filter(~is_hot).join(one.filter(~is_hot), key, how))
+    listed = F.col(key).isin([value for value, _ in hot if value is not None])
+    stays = F.coalesce(listed, F.lit(True))
+    apart = many.filter(stays).join(F.broadcast(one.filter(listed)), key, how)
+    return apart.unionByName(many.filter(~stays).join(one.filter(~listed), key, how))
 
 
 def _salted_join(many: DataFrame, one: DataFrame, key: str, how: str, hot: list[tuple]) -> DataFrame:
     kind = many.schema[key].dataType.simpleString()
     # As many rows as there are hot keys.
-    salts = F.broadcast(local_rows(many.sparkSession, hot, [(key, kind), ("_salts", "int")]))
-    spread = F.pmod(F.xxhash64(*many.columns), F.col("_salts").cast("long")).cast("int")
-    left = many.join(salts, key, "left").withColumn("_salt", F.coalesce(spread, F.lit(0))).drop("_salts")
+    salts = F.broadcast(local_rows(many.sparkSession, [h for h in hot if h[0] is not None], [(key, kind), ("_salts", "int")]))
+    # Null keys match nothing wherever they go, so they go everywhere.
+    parts = F.when(F.col(key).isNull(), F.lit(_share(many))).otherwise(F.coalesce("_salts", F.lit(1)))
+    spread = F.pmod(F.xxhash64(*many.columns), parts.cast("long")).cast("int")
+    left = many.join(salts, key, "left").withColumn("_salt", spread).drop("_salts")
     copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
     right = one.join(salts, key, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether the planner's size estimate of ``df`` is below its broadcast limit."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return 0 <= int(str(size)) <= limit
+
+
 def having(df: DataFrame, keys: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
     """Rows of ``df`` whose key occurs in ``keys`` (or, with ``left_anti``, does not).
 

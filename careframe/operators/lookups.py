@@ -126,13 +126,9 @@ def patient_consents(patients: DataFrame, consents: DataFrame, keys: DataFrame)
 
 
 def predictions_by_facility(predictions: DataFrame, clinicians: DataFrame, facility_id: int) -> DataFrame:
-    """Predictions made by staff of a facility; those without a clinician drop out.
-
-    The planner broadcasts the staff list while it is small and splits hot
-    clinicians at run time when it is not.
-    """
+    """Predictions made by staff of a facility; those without a clinician drop out."""
     staff = optional_eq(clinicians, "facility_id", facility_id)
-    return predictions.join(staff.select(F.col("id").alias("clinician_id"), "facility_id"), "clinician_id")
+    return spread_join(predictions, staff.select(F.col("id").alias("clinician_id"), "facility_id"), "clinician_id")
 
 
 def predictions_in_county(predictions: DataFrame, patients: DataFrame, county: str) -> DataFrame:
@@ -161,7 +157,7 @@ def high_risk_in_window(predictions: DataFrame, patients: DataFrame, as_of, days
 def with_facility(clinicians: DataFrame, facilities: DataFrame) -> DataFrame:
     """Clinicians with their facility as a struct (null where there is none)."""
     nested = facilities.select(F.col("id").alias("facility_id"), F.struct(*facilities.columns).alias("facility"))
-    return clinicians.join(nested, "facility_id", "left")
+    return spread_join(clinicians, nested, "facility_id", "left")
 
 
 def list_facilities(facilities: DataFrame, county: str | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from careframe.functions.predicates import as_instant, time_literal
 from careframe.functions.scalars import utc_day
-from careframe.operators.keyed import latest_per_key, split_first
+from careframe.operators.keyed import fits_broadcast, latest_per_key, split_first
 
 # Model defaults of patient columns that an insert leaves out.
 PATIENT_DEFAULTS = {
@@ -46,13 +46,21 @@ def upsert(
     """Insert new keys, update ``update_cols`` of known ones; the last incoming row of a key wins.
 
     New rows get ``defaults`` elsewhere; ``created_at`` is kept, ``updated_at``
-    set.  Both sides meet in one shuffle on the key, which the reduction to one
-    row per key already provides for the incoming side.
+    set.  While the incoming rows fit a broadcast the table is not shuffled;
+    beyond that both sides meet in one shuffle on the key, which the reduction
+    to one row per key already provides for the incoming side.
     """
     defaults = PATIENT_DEFAULTS if defaults is None else defaults
     latest = latest_per_key(incoming, [key], order_col).select(
         F.col(key).alias("_key"), *[F.col(c).alias(f"_new_{c}") for c in update_cols])
-    joined = current.withColumn("_known", F.lit(True)).join(latest, F.col(key) == F.col("_key"), "full_outer")
+    table, same = current.withColumn("_known", F.lit(True)), F.col(key) == F.col("_key")
+    if fits_broadcast(latest):
+        kept = table.join(latest, same, "left")
+        known_keys = current.select(key).join(latest.select("_key"), same, "left_semi")
+        added = latest.join(known_keys, same, "left_anti")
+        joined = kept.unionByName(added, allowMissingColumns=True)
+    else:
+        joined = table.join(latest, same, "full_outer")
     known, changed = F.col("_known").isNotNull(), F.col("_key").isNotNull()
     columns = []
     for field in current.schema.fields:

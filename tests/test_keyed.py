@@ -24,7 +24,8 @@ def skewed(spark):
 def test_hot_values_finds_the_hot_key(skewed):
     many, _ = skewed
     hot = dict(keyed.hot_values(many, "k"))
-    assert set(hot) == {7} and 60 <= hot[7] <= 75  # a third of 200 fair loads
+    assert set(hot) == {7, None} and 60 <= hot[7] <= 75 and hot[None] <= 5  # a third of 200 fair loads; 1 in 75
+    assert keyed.hot_values(many.filter("k < 0"), "k") == []
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])

@@ -126,6 +126,15 @@ def test_random_rule_sequences_equal_pandas(spark, seed, small):
         np.testing.assert_allclose(got[name].astype(float), expected[name].astype(float), rtol=1e-9, equal_nan=True)
 
 
+def test_settled_input_gives_the_same(spark):
+    df, steps = numbers(spark, [1.0, None, 3.0, 90.0]), [Transform("x", "scale", "o")]
+    rules = [rule("x", "missing", "fill_mean")]
+    assert clean(df, rules, settle=True)[0].collect() == clean(df, rules)[0].collect()
+    settled = engineer(df, steps, settle=True)
+    assert settled.collect() == engineer(df, steps).collect()
+    assert "Scan ExistingRDD" in settled._jdf.queryExecution().executedPlan().toString()
+
+
 def test_format_rules(spark):
     df = numbers(spark, ["0712", "abc", None, "0799"], "string")
     flagged, log = clean(df, [rule("x", "format", "flag", regex=r"^07\d+$")])

@@ -34,6 +34,19 @@ def test_patch_twice_is_patch_once(rows):
     assert {r["id"]: r["condom_use_frequency"] for r in once.collect()} == {1: 0.25, 2: 0.0, 3: 1.0}
 
 
+def test_both_ways_of_upserting_agree(spark, rows):
+    incoming = rows("patient_id string, seq long, phone string", ("P1", 1, "x"), ("P1", 2, "y"), ("N1", 3, "z"), ("P3", 4, None))
+    made = []
+    for limit in ("10MB", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        made.append(as_set(tb.upsert(people(rows), incoming, "patient_id", "seq", ["phone"], "2024-01-01")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    assert made[0] == made[1] and len(made[0]) == 4
+    got = {r[1]: r for r in made[0]}
+    assert got["P1"][2] == "y" and got["P2"][2] == "b" and got["P3"][2] is None
+    assert (got["N1"][0], got["N1"][2], got["N1"][4], got["N1"][5].year) == (None, "z", True, 2024)
+
+
 def test_deactivate(rows):
     gone = rows("patient_id string", ("P1",), ("P1",), ("P7",))
     got = {r["patient_id"]: (r["is_active"], r["updated_at"].year) for r in
