@@ -75,9 +75,11 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", u
     ``many`` stay where they are.  Otherwise hot rows are salted: spread by
     their content over as many sub-keys as they make up fair loads.  Cold keys
     are joined as usual; null keys, which match nothing, are never gathered.
-    Exact for inner, left, left_semi and left_anti joins.
+    Nothing is shuffled, and so nothing looked for, where all of ``one`` fits a
+    broadcast.  Exact for inner, left, left_semi and left_anti joins.
     """
-    hot = hot_values(many, key) if hot is None else hot
+    if hot is None:
+        hot = [] if fits_broadcast(one) else hot_values(many, key)
     if not hot:
         return many.join(one, key, how)
     if not unique:
@@ -114,7 +116,7 @@ def having(df: DataFrame, keys: DataFrame, key: str, how: str = "left_semi") ->
     The keys are made distinct map-side first: a key repeated over and over
     would otherwise be shuffled and scanned whole by one task.
     """
-    return df.join(keys.select(key).distinct(), key, how)
+    return spread_join(df, keys.select(key).distinct(), key, how)
 
 
 def local_rows(spark: SparkSession, rows: list[tuple], schema: list[tuple[str, str]]) -> DataFrame:

@@ -10,7 +10,7 @@ from careframe.operators import geo, governance as gov
 from careframe.operators.audit import audit_from_requests
 from careframe.operators.lookups import newest, patient_consents, top_risk_zones
 from careframe.plans.adapters import (
-    AUDIT_AS_OF, PREDICTIONS_AS_OF, as_requests, audit, facilities, patients, predictions, requests, sql, table,
+    AUDIT_AS_OF, LAYOUTS, PREDICTIONS_AS_OF, as_requests, audit, facilities, patients, predictions, requests, sql, table,
 )
 from careframe.plans.ingest import merge_checked
 from careframe.session import work_folder
@@ -174,7 +174,7 @@ def _merged_file(s, f):
 
 def _request_stream(s, f):
     """The request log as a stream of files."""
-    events = s.readStream.schema(table(s, f, "events").schema).option("pathGlobFilter", "events.parquet").parquet(f)
+    events = s.readStream.schema(LAYOUTS["events"]).parquet(f"{f}/events*.parquet")
     return audit_stream(as_requests(events))
 
 

@@ -12,6 +12,14 @@ from careframe.operators.lookups import page
 from careframe.operators.running import running_totals
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    """Sizes as if nothing were small: joins are shuffled unless a hint says otherwise."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     """A third of the rows share one key; some keys are null or unknown on the other side."""
@@ -30,29 +38,42 @@ def test_hot_values_finds_the_hot_key(skewed):
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 @pytest.mark.parametrize("unique", [True, False])
-def test_spread_join_equals_plain_join(skewed, how, unique):
+def test_spread_join_equals_plain_join(no_broadcast, skewed, how, unique):
     many, one = skewed
     if not unique:
         one = one.unionByName(one.filter("k < 100").withColumn("name", F.lit("again")))
     got = keyed.spread_join(many, one, "k", how, unique)
     plain = many.join(one, "k", how)
+    assert ("Broadcast" in got._jdf.queryExecution().executedPlan().toString())  # of the hot part
     assert sorted(map(str, got.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
 
 
-def test_salted_hot_rows_use_many_partitions(skewed):
+def test_salted_hot_rows_use_many_partitions(no_broadcast, skewed):
     many, one = skewed
     spark = many.sparkSession
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         joined = keyed.spread_join(many, one, "k", "inner", unique=False).filter("k = 7")
         used = joined.select(F.spark_partition_id()).distinct().count()
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert used == 4
 
 
+@pytest.mark.parametrize("how", ["left_semi", "left_anti"])
+def test_having_equals_plain_join(no_broadcast, skewed, how):
+    many, one = skewed
+    for df, keys in ((many, one.unionAll(one)), (one, many)):
+        got, plain = keyed.having(df, keys, "k", how), df.join(keys, "k", how)
+        assert sorted(map(str, got.select(*df.columns).collect())) == sorted(map(str, plain.select(*df.columns).collect()))
+
+
+def test_small_sides_are_joined_without_a_sketch(spark, skewed):
+    many, one = skewed[0], spark.range(100).withColumnRenamed("id", "k")
+    plan = keyed.spread_join(many, one, "k")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 1 and "Union" not in plan
+
+
 def test_top_per_key_cuts_before_the_shuffle(skewed):
     many, _ = skewed
     top = keyed.top_per_key(many, ["k"], [F.desc("id")], 2)
