@@ -87,7 +87,7 @@ def test_rule_order_and_activity_come_from_the_table(spark):
     assert column(clean(df, table)[0], "x") == [5.0, 5.0]
 
 
-def reference_clean(frame, rules):
+def pandas_clean(frame, rules):
     """The intended behaviour in pandas."""
     for r in rules:
         at = frame[r.field_name]
@@ -118,7 +118,7 @@ def test_random_rule_sequences_equal_pandas(spark, seed, small):
     frame.loc[:2, "x"] = 500.0
     actions = [("missing", a) for a in ("fill_mean", "fill_median", "fill_mode", "drop")] + [("outlier", "flag")]
     rules = [rule(str(rng.choice(["x", "y"])), *actions[rng.integers(len(actions))], n) for n in range(5)]
-    expected = reference_clean(frame, rules)
+    expected = pandas_clean(frame, rules)
     data = [tuple(None if pd.isna(v) else v for v in r) for r in frame.itertuples(index=False, name=None)]
     got = clean(spark.createDataFrame(data, "i long, x double, y double"), rules, small=small)[0].toPandas().sort_values("i")
     assert sorted(got.columns) == sorted(expected.columns)
