@@ -71,7 +71,7 @@ quartiles as (
   select level, lang, source, rate, max(n) as n, min(b) filter (where 4 * upto >= n) as q1, min(b) filter (where 4 * upto >= 3 * n) as q3
   from ranked group by all),
 fences as (
-  select *, q3 + 3 * greatest(q3 - q1, map {'symbol_rate': 500, 'repeat_line_rate': 1000, 'repeat_word_rate': 500, 'word_length': 300}[rate]) as fence
+  select *, q3 + 3 * greatest(q3 - q1, map {'symbol_rate': 200, 'repeat_line_rate': 1000, 'repeat_word_rate': 500, 'word_length': 300}[rate]) as fence
   from quartiles),
 high as (
   select x.rid, bool_or(v > case when f1.n >= 50 then f1.fence when f2.n >= 50 then f2.fence else f3.fence end) as out

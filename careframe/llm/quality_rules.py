@@ -25,7 +25,7 @@ SYMBOLS = "#*$%&|<>"
 REACH = 3
 MIN_GROUP = 50
 # Smallest spread per rate; rates are per 10,000, word length is in hundredths of a character.
-LEAST = {"symbol_rate": 500, "repeat_line_rate": 1000, "repeat_word_rate": 500, "word_length": 300}
+LEAST = {"symbol_rate": 200, "repeat_line_rate": 1000, "repeat_word_rate": 500, "word_length": 300}
 
 
 def counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
