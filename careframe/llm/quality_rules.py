@@ -106,23 +106,18 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
                                   F.col(text_col).alias("_text")), "_text")
     rated = stored(measured.withColumns({n: c.cast("long") for n, c in rates().items()}), "quality-counts")
     fine = sketches(rated, ["_lang", "_source"])
-    levels = [(["_lang", "_source"], "a_"), (["_lang"], "b_"), ([], "c_")]
-    joined = rated
-    for groups, prefix in levels:
-        merged = fine.groupBy(*groups, "rate", "bucket").agg(F.sum("n").alias("n")) if len(groups) < 2 else fine
-        cuts = thresholds(merged, groups, prefix)
-        keys = {g: f"{prefix}{g}" for g in groups} or {"_one": f"{prefix}_one"}
-        cuts = cuts.withColumnsRenamed(keys) if groups else cuts.withColumn(f"{prefix}_one", F.lit(1))
-        joined = joined if groups else joined.withColumn("_one", F.lit(1))
-        same = F.lit(True)
-        for g, renamed in keys.items():
-            same = same & F.col(g).eqNullSafe(F.col(renamed))
-        joined = joined.join(cuts, same, "left")
+    by_lang = fine.groupBy("_lang", "rate", "bucket").agg(F.sum("n").alias("n"))
+    of_all = by_lang.groupBy("rate", "bucket").agg(F.sum("n").alias("n"))
+    overall = thresholds(of_all, [], "").first()  # one row of numbers
+    groups = thresholds(fine, ["_lang", "_source"], "own_").withColumnsRenamed({"_lang": "_l", "_source": "_s"})
+    langs = thresholds(by_lang, ["_lang"], "lang_").withColumnRenamed("_lang", "_ll")
+    limits = groups.join(langs, F.col("_l").eqNullSafe(F.col("_ll")), "left").select("_l", "_s", *[
+        F.when(F.col("own_size") >= MIN_GROUP, F.col(f"own_{n}")).when(
+            F.col("lang_size") >= MIN_GROUP, F.col(f"lang_{n}")).otherwise(F.lit(overall[n])).alias(f"most_{n}") for n in LEAST])
+    joined = rated.join(limits, F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_source").eqNullSafe(F.col("_s")), "left")
     too_high = F.lit(False)
     for n in LEAST:
-        limit = F.when(F.col("a_size") >= MIN_GROUP, F.col(f"a_{n}")).when(
-            F.col("b_size") >= MIN_GROUP, F.col(f"b_{n}")).otherwise(F.col(f"c_{n}"))
-        too_high = too_high | (F.col(n) > limit)
+        too_high = too_high | (F.col(n) > F.col(f"most_{n}"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return joined.select(
         F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from careframe.llm import mixing, quality_rules, secrets
+from careframe.llm import bpe, classifier, lines, mixing, quality_rules, secrets, vectors
 from careframe.session import work_folder
 
 
@@ -12,6 +12,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_mix(spark: SparkSession, folder: str) -> DataFrame:
     plan = mixing.schedule(mixing.entries(table(spark, folder, "documents")))
     rows = plan.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
@@ -39,8 +45,40 @@ def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
+def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = classifier.fit(docs, table(spark, folder, "labels"))
+    scored = classifier.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", classifier.held_out().alias("held_out"), "score",
+                         (F.col("score") >= classifier.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    cut = lines.dedupe(docs, removed_col="n_removed")
+    return cut.select("doc_id", "n_removed", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_left"),
+                      F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+def op9_vector_search(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.search(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = tokenizer_path()
+    encoded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), path)
+    return bpe.decode(encoded, path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_quality_rules": op2_quality_rules,
+    "op3_line_dedup": op3_line_dedup,
     "op4_secret_scan": op4_secret_scan,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op9_vector_search": op9_vector_search,
+    "op10_bpe": op10_bpe,
 }
