@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from careframe.llm import bpe, classifier, lines, mixing, quality_rules, secrets, vectors
+from careframe.llm import bpe, classifier, lines, mixing, near_duplicates, quality_rules, secrets, vectors
 from careframe.session import work_folder
 
 
@@ -60,6 +60,11 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_duplicates.classes(table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id")
+
+
 def op9_vector_search(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.search(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -79,6 +84,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_secret_scan": op4_secret_scan,
     "op6_quality_classifier": op6_quality_classifier,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_vector_search": op9_vector_search,
     "op10_bpe": op10_bpe,
 }
