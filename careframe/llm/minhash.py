@@ -1,11 +1,12 @@
 """DartMinHash signatures of weighted shingle sets, in numpy.
 
-A document is the set of its five-word shingles with weights: how often each occurs, or 1 for mere presence.  Element and
+A document is the set of its five-word shingles with weights: how often each occurs, or 1 each.  Element and
 weight span a strip; darts fall on (weight, rank) cells of every strip at unit density, placed by hashes of
 element and cell alone, so that equal regions of two documents hold equal darts.  A document takes the
 darts within its weights up to the rank at which ``darts`` are expected in total, deals them to
 ``coordinates`` by hash, and keeps the earliest of each.  Two documents agree on a coordinate
-with the probability of their weighted Jaccard similarity.
+with the probability of their weighted Jaccard similarity.  With weights of 1 that is the plain Jaccard similarity
+near-duplicates are defined by; weights by count would make documents alike that only share a phrase repeated hundreds of times.
 """
 
 from __future__ import annotations
@@ -105,41 +106,33 @@ def signatures(owner: np.ndarray, element: np.ndarray, nth: np.ndarray, n: int,
     return out.reshape(n, coordinates)
 
 
-def bands(words: Words, rows: int, coordinates: int = COORDINATES) -> tuple[np.ndarray, np.ndarray]:
-    """(document, hash) of every full band of ``rows`` coordinates, for weights by count and by presence.
-
-    Both weightings share the darts and the bands, so documents meet if they are alike under either.
-    """
+def region(words: Words, by_count: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Units of weight (document, element, occurrence) of every document: all occurrences, or the first only."""
     owner, element, nth = weighted(*shingles(words))
-    n, once = len(words), nth == 0
-    found = [(np.arange(n), signatures(owner[once], element[once], nth[once], n, coordinates))]
-    counted = np.unique(owner[~once])
-    if len(counted):
-        inside = np.isin(owner, counted)
-        place = np.searchsorted(counted, owner[inside])
-        found.append((counted, signatures(place, element[inside], nth[inside], len(counted), coordinates)))
+    return (owner, element, nth) if by_count else tuple(x[nth == 0] for x in (owner, element, nth))
+
+
+def bands(words: Words, rows: int, by_count: bool = False, coordinates: int = COORDINATES) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of every full band of ``rows`` coordinates."""
+    signature = signatures(*region(words, by_count), len(words), coordinates)
     docs, hashes = [], []
-    for rows_of, signature in found:
-        for band in range(coordinates // rows):
-            part = signature[:, band * rows:(band + 1) * rows]
-            full = (part != 0).all(1)
-            h = np.full(full.sum(), band + 1, np.uint64)
-            for j in range(rows):
-                h = mix(h * _TAKE + part[full, j])
-            docs.append(rows_of[full])
-            hashes.append(h)
+    for band in range(coordinates // rows):
+        part = signature[:, band * rows:(band + 1) * rows]
+        full = (part != 0).all(1)
+        h = np.full(full.sum(), band + 1, np.uint64)
+        for j in range(rows):
+            h = mix(h * _TAKE + part[full, j])
+        docs.append(np.flatnonzero(full))
+        hashes.append(h)
     return np.concatenate(docs), np.concatenate(hashes)
 
 
-def similarity(owner_a: np.ndarray, a: np.ndarray, owner_b: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """The larger of the Jaccard similarities of sets and of counts, for n pairs of documents."""
-    owner, element, nth = (np.concatenate(x) for x in zip(weighted(owner_a, a), weighted(owner_b, b)))
+def similarity(first: tuple[np.ndarray, ...], second: tuple[np.ndarray, ...], n: int) -> np.ndarray:
+    """Weighted Jaccard similarity of n pairs of regions."""
+    owner, element, nth = (np.concatenate(x) for x in zip(first, second))
     order = np.lexsort((nth, element, owner))
     owner, element, nth = owner[order], element[order], nth[order]
     both = (owner[1:] == owner[:-1]) & (element[1:] == element[:-1]) & (nth[1:] == nth[:-1])
-    best = np.zeros(n)
-    for one in (np.ones(len(owner), bool), nth == 0):
-        shared = np.bincount(owner[1:][both & one[1:]], minlength=n)
-        every = np.bincount(owner[one], minlength=n) - shared
-        best = np.maximum(best, np.divide(shared, every, out=np.zeros(n), where=every > 0))
-    return best
+    shared = np.bincount(owner[1:][both], minlength=n)
+    every = np.bincount(owner, minlength=n) - shared
+    return np.divide(shared, every, out=np.zeros(n), where=every > 0)

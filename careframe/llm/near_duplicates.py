@@ -4,8 +4,7 @@ Equal texts are one text.  Every text's signature is cut into bands; texts that
 In a bucket of at most ``ALL_PAIRS`` texts every two are compared.  A larger one is compared with its ``LEADERS``, the
 texts that meet most others over all bands, and then, while it holds several classes, with a leader of
 each of its classes, for ``ROUNDS`` rounds: the work stays proportional to the bucket.  Compared means
-exactly: the Jaccard similarity of five-word shingles, as sets or with their counts, must be ``LEAST``
-or more.  Classes are the connected components of all links.
+exactly: the Jaccard similarity of their five-word shingles must be ``LEAST`` or more.  Classes are the connected components of all links.
 
 Two texts at the threshold share none of the 24 bands once in 300,000 times; closer ones less often.
 
@@ -36,35 +35,35 @@ def text_key(text_col: str) -> Column:
     return F.unhex(F.md5(text_of(text_col)))
 
 
-def band_rows(texts: DataFrame) -> DataFrame:
+def band_rows(texts: DataFrame, by_count: bool = False) -> DataFrame:
     """(h, key) of every band of every text (key, text), each once."""
     def run(batches):
         for batch in batches:
             for row, words in blocks(batch.column(1)):
-                doc, h = minhash.bands(words, ROWS)
+                doc, h = minhash.bands(words, ROWS, by_count)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h.view(np.int64)), batch.column(0).take(pa.array(doc + row))], names=["h", "key"])
 
     return texts.mapInArrow(run, "h long, key binary").distinct()
 
 
-def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def compared(pairs: DataFrame, texts: DataFrame, by_count: bool = False) -> DataFrame:
     """The pairs (a, b) that are alike; one text of every key is shuffled, and one per pair."""
     one = texts.dropDuplicates(["key"])
     left = pairs.join(one.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
     met = left.join(one.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
-    def shingled(texts: pa.Array, rows: range) -> tuple[np.ndarray, np.ndarray]:
-        parts = [(doc + row, h) for row, words in blocks(texts.slice(rows.start, len(rows))) for doc, h in [minhash.shingles(words)]]
-        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    def regions(texts: pa.Array) -> tuple[np.ndarray, ...]:
+        parts = [(row, minhash.region(words, by_count)) for row, words in blocks(texts)]
+        return tuple(np.concatenate(x) for x in zip(*[(owner + row, element, nth) for row, (owner, element, nth) in parts]))
 
     def run(batches):
         for batch in batches:
             for start in range(0, len(batch), 256):
-                rows = range(start, min(start + 256, len(batch)))
-                alike = minhash.similarity(*shingled(batch.column(2), rows), *shingled(batch.column(3), rows), len(rows)) >= LEAST
-                good = pa.array(np.flatnonzero(alike) + start)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(good), batch.column(1).take(good)], names=["a", "b"])
+                part = batch.slice(start, 256)
+                alike = minhash.similarity(regions(part.column(2)), regions(part.column(3)), len(part)) >= LEAST
+                good = pa.array(np.flatnonzero(alike))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(good), part.column(1).take(good)], names=["a", "b"])
 
     return met.mapInArrow(run, "a binary, b binary")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from careframe.llm import bpe, classifier, lines, mixing, near_duplicates, quality_rules, secrets, vectors
+from careframe.llm import bpe, classifier, language_model, lines, mixing, near_duplicates, quality_rules, secrets, substrings, vectors
 from careframe.session import work_folder
 
 
@@ -45,6 +45,12 @@ def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
+def op5_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    scored = language_model.score(table(spark, folder, "documents"), ~language_model.held_out())
+    return scored.select(F.col("id").alias("doc_id"), (~F.col("learn")).alias("held_out"), "n_tokens", "n_known",
+                         "train_tokens", "base_score", "score")
+
+
 def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = classifier.fit(docs, table(spark, folder, "labels"))
@@ -60,6 +66,11 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = substrings.remove(table(spark, folder, "documents"))
+    return cut.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     found = near_duplicates.classes(table(spark, folder, "documents"))
     return found.select(F.col("id").alias("doc_id"), "class_id")
@@ -83,7 +94,9 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_line_dedup": op3_line_dedup,
     "op4_secret_scan": op4_secret_scan,
+    "op5_language_model": op5_language_model,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_vector_search": op9_vector_search,
     "op10_bpe": op10_bpe,
