@@ -27,12 +27,14 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, types as T
 
+from careframe.llm.words import stretches
+
 # Fixed value: the splitting pattern of the byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MAX_FILE_BYTES = 64 << 20
 SHORT = 96
-CACHED_PIECES = 300_000
-CHUNK_BYTES = 4 << 20
+CACHED_PIECES = 200_000
+CHUNK_BYTES = 2 << 20
 DECODE_BLOCK = 1 << 14
 NEVER = 1 << 60
 
@@ -204,16 +206,6 @@ def _shared(df: DataFrame, path: str):
     return df.sparkSession.sparkContext.broadcast(text)
 
 
-def _spans(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Consecutive rows whose sizes add up to about ``most``, one row at least."""
-    upto, start = np.cumsum(sizes), 0
-    while start < len(sizes):
-        base = upto[start] - sizes[start]
-        end = max(start + 1, int(np.searchsorted(upto, base + most, "right")))
-        yield start, end
-        start = end
-
-
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with the token ids of the whole text in ``ids_col`` (array<int>), and without the text."""
     keep = [c for c in docs.columns if c not in (text_col, ids_col)]
@@ -225,7 +217,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
         for batch in batches:
             texts = batch.column(at)
             lengths = np.asarray(pc.binary_length(texts).fill_null(0))
-            for start, end in _spans(lengths, CHUNK_BYTES):
+            for start, end in stretches(lengths, CHUNK_BYTES):
                 rows = [np.array(encoder.encode(t) if t else [], np.int32) for t in texts.slice(start, end - start).to_pylist()]
                 cuts = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
                 values = np.concatenate(rows) if rows else np.zeros(0, np.int32)
@@ -248,7 +240,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text
         for batch in batches:
             ids = batch.column(at)
             lengths = np.asarray(ids.value_lengths().fill_null(0))
-            for start, end in _spans(lengths, CHUNK_BYTES // 4):
+            for start, end in stretches(lengths, CHUNK_BYTES // 4):
                 part = batch.slice(start, end - start)
                 texts = [decode_ids(bytes_of, x) if x else "" for x in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*keep, text_col])

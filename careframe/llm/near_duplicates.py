@@ -2,8 +2,8 @@
 
 Equal texts are one text.  Every text's signature is cut into bands; texts that share a band meet in a bucket.
 In a bucket of at most ``ALL_PAIRS`` texts every two are compared.  A larger one is compared with its ``LEADERS``, the
-texts that meet most others over all bands, and then, while it holds several classes, with a leader of
-each of its classes, for ``ROUNDS`` rounds: the work stays proportional to the bucket.  Compared means
+texts that meet most others over all bands, and then, while it holds several classes, with the leaders of
+its ``LEADERS`` busiest other classes, for ``ROUNDS`` rounds: the work stays proportional to the bucket.  Compared means
 exactly: the Jaccard similarity of their five-word shingles must be ``LEAST`` or more.  Classes are the connected components of all links.
 
 Two texts at the threshold share none of the 24 bands once in 300,000 times; closer ones less often.
@@ -17,12 +17,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from careframe.llm import minhash
 from careframe.llm.common import as_rows, free_shuffles, stored, text_of
 from careframe.llm.components import components
-from careframe.llm.words import blocks
+from careframe.llm.words import BLOCK_BYTES, blocks, stretches
 
 LEAST = 0.8
 ROWS = 4
@@ -59,8 +60,9 @@ def compared(pairs: DataFrame, texts: DataFrame, by_count: bool = False) -> Data
 
     def run(batches):
         for batch in batches:
-            for start in range(0, len(batch), 256):
-                part = batch.slice(start, 256)
+            sizes = sum(np.asarray(pc.binary_length(batch.column(i))) for i in (2, 3))
+            for start, end in stretches(sizes, BLOCK_BYTES):
+                part = batch.slice(start, end - start)
                 alike = minhash.similarity(regions(part.column(2)), regions(part.column(3)), len(part)) >= LEAST
                 good = pa.array(np.flatnonzero(alike))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(good), part.column(1).take(good)], names=["a", "b"])
@@ -99,7 +101,7 @@ def links(texts: DataFrame) -> DataFrame:
         open_ = stored(classed.join(split, "h"), "open-buckets")
         heads = open_.groupBy("h", "root").agg(F.max_by("key", F.struct("degree", "key")).alias("leader"), F.max("degree").alias("top"))
         chosen = heads.withColumn("_rank", F.row_number().over(Window.partitionBy("h").orderBy(F.desc("top"), "leader"))).filter(
-            F.col("_rank") <= ALL_PAIRS).select("h", F.col("root").alias("other"), "leader")
+            F.col("_rank") <= LEADERS).select("h", F.col("root").alias("other"), "leader")
         fresh = open_.join(chosen, "h").filter("root != other").select(*_ordered("key", "leader")).distinct()
         fresh = stored(fresh.join(tried, ["a", "b"], "left_anti"), "candidates")
         if fresh.isEmpty():

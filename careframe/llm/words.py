@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES, BLOCK_ROWS = 1 << 20, 1024
 
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -72,19 +72,26 @@ class Words:
         return np.repeat(np.arange(len(self)), np.diff(self.first))
 
 
+def stretches(sizes: np.ndarray, most: int, rows: int = BLOCK_ROWS) -> Iterator[tuple[int, int]]:
+    """(start, end) of consecutive rows whose sizes add up to at most ``most``, one row at least and ``rows`` at most."""
+    upto, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        base = upto[start] - sizes[start]
+        end = min(start + rows, max(start + 1, int(np.searchsorted(upto, base + most, "right"))), len(sizes))
+        yield start, end
+        start = end
+
+
 def blocks(texts: pa.Array, lower: bool = False, most: int = BLOCK_BYTES) -> Iterator[tuple[int, Words]]:
-    """(first row, words) of consecutive rows of about ``most`` bytes, one row at least; null is the empty text."""
+    """(first row, words) of consecutive rows of at most ``most`` bytes, one row at least; null is the empty text."""
     texts = texts.cast(pa.large_string()).fill_null("")
     if not len(texts):
         return
     _, offsets, data = texts.buffers()
     cuts = np.frombuffer(offsets, np.int64, len(texts) + 1, texts.offset * 8)
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    row = 0
-    while row < len(texts):
-        end = max(row + 1, int(np.searchsorted(cuts, cuts[row] + most, "right")) - 1)
+    for row, end in stretches(np.diff(cuts), most):
         yield row, Words(data[cuts[row]:cuts[end]], cuts[row:end + 1] - cuts[row], lower)
-        row = end
 
 
 class Spans:
