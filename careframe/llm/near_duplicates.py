@@ -6,7 +6,7 @@ texts that meet most others over all bands, and then, while it holds several cla
 its ``LEADERS`` busiest other classes, for ``ROUNDS`` rounds: the work stays proportional to the bucket.  Compared means
 exactly: the Jaccard similarity of their five-word shingles must be ``LEAST`` or more.  Classes are the connected components of all links.
 
-Two texts at the threshold share none of the 24 bands once in 300,000 times; closer ones less often.
+Two texts at the threshold share none of the 30 bands once in 7 million times; closer ones less often.
 
 Edge cases: a null text is the empty text; texts of one to four words are one shingle; texts without
 words are alike only if equal; null ids and repeated rows are documents like others; an empty table gives an empty
