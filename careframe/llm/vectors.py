@@ -35,6 +35,7 @@ CELL = 32
 ROUNDS = 12
 ENTRY_BLOCK = 512
 PROBES = 64
+HELD_ROWS = 500_000
 QUERY_BLOCK = 64
 
 
@@ -85,6 +86,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
+def _nearest(found: dict[int, list[tuple[float, int]]], k: int):
+    """The k nearest of every query so far: a task sends no more than that of a query, unless it must empty its memory."""
+    rows = [(query, i, s) for query, mine in found.items() for s, i in heapq.nsmallest(k, mine)]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["query_id", "vec_id", "score"])
+
+
 def best(points: np.ndarray, vectors: np.ndarray, most: int):
     """Per point: every vector no farther than the ``most``-th nearest, and its distance."""
     for point in points:
@@ -189,17 +197,24 @@ def search(table: DataFrame, queries: Column, k: int = 10, recall: float = 0.95,
     met = packed.join(lists, "cell").select("asks", "entries")
 
     def rank(batches):
+        nearest_of: dict[int, list[tuple[float, int]]] = {}
+        held_rows = 0
         for batch in batches:
             for asks, held in zip(batch.column(0), batch.column(1)):
                 asks, held = asks.values, held.values
                 q, v = _matrix(asks.field("q")), _matrix(held.field("v"))
                 ids = held.field("ids").to_pylist()
-                out = []
                 for query, (near, score) in zip(asks.field("query").to_pylist(), best(q, v, k + 1)):
-                    found = [(s, i) for e, s in zip(near, score.tolist()) for i in ids[e] if i != query]
-                    out += [(query, i, s) for s, i in heapq.nsmallest(k, found)]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], names=["query_id", "vec_id", "score"])
+                    mine = nearest_of.setdefault(query, [])
+                    before = len(mine)
+                    mine += [(s, i) for e, s in zip(near, score.tolist()) for i in ids[e] if i != query]
+                    if len(mine) > 8 * k:
+                        mine[:] = heapq.nsmallest(k, mine)
+                    held_rows += len(mine) - before
+                if held_rows > HELD_ROWS:
+                    yield from _nearest(nearest_of, k)
+                    nearest_of, held_rows = {}, 0
+        yield from _nearest(nearest_of, k)
 
     found = met.mapInArrow(rank, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
