@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from careframe.llm import minhash
-from careframe.llm.common import as_rows, free_shuffles, stored, text_of
+from careframe.llm.common import as_rows, free_shuffles, stored, text_batches, text_of
 from careframe.llm.components import components
 from careframe.llm.words import BLOCK_BYTES, blocks, stretches
 
@@ -45,7 +45,7 @@ def band_rows(texts: DataFrame, by_count: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h.view(np.int64)), batch.column(0).take(pa.array(doc + row))], names=["h", "key"])
 
-    return texts.mapInArrow(run, "h long, key binary").distinct()
+    return text_batches(texts).mapInArrow(run, "h long, key binary").distinct()
 
 
 def compared(pairs: DataFrame, texts: DataFrame, by_count: bool = False) -> DataFrame:
@@ -101,8 +101,12 @@ def links(texts: DataFrame) -> DataFrame:
         open_ = stored(classed.join(split, "h"), "open-buckets")
         heads = open_.groupBy("h", "root").agg(F.max_by("key", F.struct("degree", "key")).alias("leader"), F.max("degree").alias("top"))
         chosen = heads.withColumn("_rank", F.row_number().over(Window.partitionBy("h").orderBy(F.desc("top"), "leader"))).filter(
-            F.col("_rank") <= LEADERS).select("h", F.col("root").alias("other"), "leader")
-        fresh = open_.join(chosen, "h").filter("root != other").select(*_ordered("key", "leader")).distinct()
+            F.col("_rank") <= LEADERS).groupBy("h").agg(F.collect_list(F.struct("root", "leader")).alias("heads"))
+        # A text meets the same leaders in many bands: its lists (at most LEADERS per band) are merged before pairs are made.
+        per_text = open_.join(chosen, "h").groupBy("key", "root").agg(
+            F.array_distinct(F.flatten(F.collect_list("heads"))).alias("heads"))
+        fresh = per_text.select("key", F.explode(F.filter("heads", lambda x: x["root"] != F.col("root"))).alias("x")).select(
+            "key", F.col("x.leader").alias("leader")).select(*_ordered("key", "leader")).distinct()
         fresh = stored(fresh.join(tried, ["a", "b"], "left_anti"), "candidates")
         if fresh.isEmpty():
             break
