@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, types as T
 
+from careframe.llm.common import text_batches
 from careframe.llm.words import stretches
 
 # Fixed value: the splitting pattern of the byte-level pre-tokenizer.
@@ -227,7 +228,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
                     names=[*keep, ids_col])
 
     fields = [docs.schema[c] for c in keep]
-    return source.mapInArrow(run, T.StructType([*fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
+    return text_batches(source).mapInArrow(run, T.StructType([*fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
@@ -246,4 +247,4 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*keep, text_col])
 
     fields = [df.schema[c] for c in keep]
-    return df.select(*[df[f"`{c}`"] for c in keep]).mapInArrow(run, T.StructType([*fields, T.StructField(text_col, T.StringType())]))
+    return text_batches(df.select(*[df[f"`{c}`"] for c in keep])).mapInArrow(run, T.StructType([*fields, T.StructField(text_col, T.StringType())]))

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from careframe.llm.common import text_of
+from careframe.llm.common import text_batches, text_of
 from careframe.llm.words import blocks
 
 FEATURES = 2048
@@ -59,9 +59,9 @@ class Model:
         if not len(labels):
             return
         seen = (counts > 0).sum(0)
-        self.rarity = np.log((len(labels) + 1) / (seen + 1)) + 0.1
+        self.rarity = (np.log((len(labels) + 1) / (seen + 1)) + 0.1).astype(np.float32)
         weighted = self._unit(counts * self.rarity)
-        basis = np.random.Generator(np.random.PCG64(7)).standard_normal((FEATURES, min(LATENT + 16, FEATURES)))
+        basis = np.random.Generator(np.random.PCG64(7)).standard_normal((FEATURES, min(LATENT + 16, FEATURES))).astype(np.float32)
         for _ in range(6):
             basis = np.linalg.qr(weighted.T @ (weighted @ basis))[0]
         _, _, right = np.linalg.svd(weighted @ basis, full_matrices=False)
@@ -108,10 +108,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 packed = pa.array([x.astype(np.float32).tobytes() for x in counts], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1), packed], names=["id", "label", "x"])
 
-    rows = chosen.mapInArrow(run, "id long, label double, x binary").dropDuplicates(["id"]).collect()
+    rows = text_batches(chosen).mapInArrow(run, "id long, label double, x binary").dropDuplicates(["id"]).collect()
     rows.sort(key=lambda r: r["id"])
-    counts = np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(-1, FEATURES).astype(np.float64)
-    return Model(counts, np.array([r["label"] for r in rows]))
+    labels, counts = np.array([r["label"] for r in rows]), np.empty((len(rows), FEATURES), np.float32)
+    for i, r in enumerate(rows):
+        counts[i] = np.frombuffer(r["x"], np.float32)
+    del rows
+    return Model(counts, labels)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -126,5 +129,5 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*keep, score_col])
 
     fields = [docs.schema[c] for c in keep]
-    return docs.select(*[docs[f"`{c}`"] for c in keep]).mapInArrow(
+    return text_batches(docs.select(*[docs[f"`{c}`"] for c in keep])).mapInArrow(
         run, T.StructType([*fields, T.StructField(score_col, T.DoubleType())]))

@@ -23,6 +23,12 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that hands Python at most 1,000 rows at a time: rows that hold whole texts are large."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return df
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished jobs now, not when the driver happens to collect garbage."""
     gc.collect()

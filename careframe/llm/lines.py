@@ -15,10 +15,13 @@ more than once and are all cut alike; an empty table stays empty; other columns
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from careframe.llm.common import as_rows, stored, text_of
+from careframe.llm.common import as_rows, stored, text_batches, text_of
+from careframe.llm.words import BLOCK_BYTES, stretches
 
 WINDOW = 3
 
@@ -54,7 +57,8 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remo
     found = joined.select(F.struct(*[F.col(f"row.`{c}`") for c in other] or [F.lit(0).alias("none")]).alias("row"), "text", "cuts")
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(start, end - start) for whole in batches for start, end in stretches(
+                np.asarray(pc.binary_length(whole.column(1)).fill_null(0)), BLOCK_BYTES)):
             texts, removed = [], []
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 n, before = 0, 0
@@ -71,6 +75,6 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remo
                 [batch.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int64())], names=["row", "text", "removed"])
 
     schema = T.StructType([found.schema["row"], T.StructField("text", T.StringType()), T.StructField("removed", T.LongType())])
-    done = found.mapInArrow(run, schema)
+    done = text_batches(found).mapInArrow(run, schema)
     outputs = [F.col("text").alias(text_col) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns if c != removed_col]
     return done.select(*outputs, *([F.col("removed").alias(removed_col)] if removed_col else []))

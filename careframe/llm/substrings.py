@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from careframe.llm.common import free_shuffles, stored, text_of
+from careframe.llm.common import free_shuffles, stored, text_batches, text_of
 from careframe.llm.words import Spans, Words, blocks, mix
 
 LEAST = 35
@@ -92,7 +92,7 @@ def block_rows(texts: DataFrame, least: int) -> DataFrame:
                         names=["anchor", "block", "id", "version", "at"])
 
     schema = f"anchor long, block long, id {texts.schema['id'].dataType.simpleString()}, version long, at long"
-    return texts.mapInArrow(run, schema)
+    return text_batches(texts).mapInArrow(run, schema)
 
 
 def window_rows(texts: DataFrame, checks: DataFrame, least: int) -> DataFrame:
