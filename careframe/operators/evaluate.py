@@ -13,8 +13,8 @@ LOGIT_EDGE = 1e-6
 
 
 def labelled(predictions: DataFrame, score: str = "risk_score", outcome: str = "actual_outcome") -> DataFrame:
-    """(score, y) of the predictions whose outcome is known."""
-    known = predictions.filter(F.col(outcome).isin(POSITIVE, NEGATIVE))
+    """(score, y) of the predictions that have a score and whose outcome is known."""
+    known = predictions.filter(F.col(outcome).isin(POSITIVE, NEGATIVE) & F.col(score).isNotNull())
     return known.select(F.col(score).alias("score"), (F.col(outcome) == POSITIVE).cast("int").alias("y"))
 
 

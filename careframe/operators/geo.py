@@ -80,18 +80,18 @@ def county_summary(patients: DataFrame, predictions: DataFrame, as_of, days: int
 def risk_zones(patients: DataFrame, predictions: DataFrame, period: str = "month") -> DataFrame:
     """Zones per county, sub-county and period: mean score and its level, patients, screenings, positives.
 
-    ``population_at_risk`` counts distinct patients: predictions are first
+    The mean is over predictions that have a score.  ``population_at_risk`` counts distinct patients: predictions are first
     reduced to one row per patient and period.
     """
     if period not in ("week", "month", "quarter", "year"):
         raise ValueError(f"unknown period {period!r}")
     start = F.date_trunc(period, F.col("created_at")).cast("date")
     sums = predictions.groupBy("patient_key", start.alias("period_start")).agg(
-        F.sum("risk_score").alias("score_sum"), F.count("*").alias("n"),
+        F.sum("risk_score").alias("score_sum"), F.count("risk_score").alias("score_n"), F.count("*").alias("n"),
         F.count_if(F.col("actual_outcome") == "positive").alias("positive_n"))
     placed = sums.join(patients.select(F.col("id").alias("patient_key"), "county", "sub_county"), "patient_key")
     zones = placed.groupBy("county", "sub_county", "period_start").agg(
-        (F.sum("score_sum") / F.sum("n")).alias("risk_score"), F.count("*").alias("population_at_risk"),
+        F.try_divide(F.sum("score_sum"), F.sum("score_n")).alias("risk_score"), F.count("*").alias("population_at_risk"),
         F.sum("n").alias("total_screenings"), F.sum("positive_n").alias("positive_cases"))
     return zones.withColumns({
         "name": F.concat_ws(" / ", "county", "sub_county"),

@@ -13,6 +13,7 @@ def enforce_retention(
 ) -> DataFrame:
     """Drop rows past the retention period and pseudonymise rows past the anonymising one.
 
+    Rows without a time are not known to be past either period and stay.
     Text columns in ``identifying`` become a SHA-256 digest, others null.
     ``data_type`` is unique among policies, so the active policy is one row.
     """
@@ -28,7 +29,7 @@ def enforce_retention(
     def since(days: int):
         return now - F.make_dt_interval(F.lit(days))
 
-    kept = df.filter(at >= since(keep_days))
+    kept = df.filter(at.isNull() | (at >= since(keep_days)))
     if hide_days is None:
         return kept
     old = at < since(hide_days)

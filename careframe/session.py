@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,15 +34,14 @@ def build_session(app: str = "careframe", master: str | None = None, **settings:
 def shared_folder(spark: SparkSession) -> str:
     """A folder every executor can reach: the one ``spark.checkpoint.dir`` names.
 
-    Only a local master may fall back to a scratch folder of this machine;
-    executors elsewhere could not read it.
+    Only a local master may fall back to a folder in the warehouse.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="careframe-")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
 
 
 def work_folder(spark: SparkSession, purpose: str) -> str:

@@ -224,3 +224,12 @@ def test_facility_struct_is_null_when_absent(rows):
     places = rows("id long, name string", (5, "F5"))
     got = {r["id"]: r["facility"] for r in lk.list_clinicians(staff, places).collect()}
     assert got[2] is None and got[1]["name"] == "F5"
+
+
+def test_rows_without_a_time_are_retained(rows):
+    from careframe.operators.governance import enforce_retention
+
+    table = rows("id long, at timestamp", (1, None), (2, dt.datetime(2000, 1, 1)))
+    policies = rows("data_type string, is_active boolean, retention_days int, anonymize_after_days int", ("x", True, 30, None))
+    kept = enforce_retention(table, policies, "x", "at", [], dt.datetime(2025, 1, 1, tzinfo=dt.timezone.utc))
+    assert [r["id"] for r in kept.collect()] == [1]
