@@ -1,10 +1,12 @@
 """Near-duplicate documents by DartMinHash signatures and banded joining.
 
 Equal texts are one text.  Every text's signature is cut into bands; texts that share a band meet in a bucket.
-In a bucket of at most ``ALL_PAIRS`` texts every two are compared.  A larger one is compared with its ``LEADERS``, the
-texts that meet most others over all bands, and then, while it holds several classes, with the leaders of
+First every text of a bucket is compared with one of its texts.  Then, in a bucket of at most ``ALL_PAIRS`` texts, every
+two that are not yet of one class are compared; in a larger one every text with those of the ``LEADERS`` texts that meet most
+others over all bands that are not of its class, and then, while the bucket holds several classes, with the leaders of
 its ``LEADERS`` busiest other classes, for ``ROUNDS`` rounds: the work stays proportional to the bucket.  Compared means
-exactly: the Jaccard similarity of their five-word shingles must be ``LEAST`` or more.  Classes are the connected components of all links.
+exactly: the Jaccard similarity of their five-word shingles must be ``LEAST`` or more.  Classes are the connected components of
+all links, so a pair that is already of one class cannot change them.
 
 Two texts at the threshold share none of the 30 bands once in 7 million times; closer ones less often.
 
@@ -74,6 +76,13 @@ def _ordered(left: str, right: str) -> list[Column]:
     return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
 
 
+def _mixed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (h, key, ..) of the buckets that hold several classes, with the ``root`` of each text's class."""
+    classed = buckets.join(roots, F.col("key") == F.col("member"), "left").select(*buckets.columns, F.coalesce("root", "key").alias("root"))
+    split = classed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("h")
+    return stored(classed.join(split, "h"), "open-buckets")
+
+
 def links(texts: DataFrame) -> DataFrame:
     """(a, b) with a < b: similar different texts.  Runs jobs; intermediate tables go to the shared folder."""
     spark = texts.sparkSession
@@ -81,24 +90,31 @@ def links(texts: DataFrame) -> DataFrame:
     full = bands.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
     met = stored(bands.join(full, "h"), "buckets")
     free_shuffles(spark)
-    small, large = met.filter(F.col("n") <= ALL_PAIRS).select("h", "key"), met.filter(F.col("n") > ALL_PAIRS)
-    pairs = small.withColumnRenamed("key", "a").join(small.withColumnRenamed("key", "b"), "h").filter("a < b").select("a", "b")
+    small, large = met.filter(F.col("n") <= ALL_PAIRS), met.filter(F.col("n") > ALL_PAIRS)
     degree = met.groupBy("key").agg(F.sum("n").alias("degree"))
     busy = stored(large.join(degree, "key").select("h", "key", "degree"), "large-buckets")
     rank = F.row_number().over(Window.partitionBy("h").orderBy(F.desc("degree"), "key"))
-    leaders = busy.withColumn("_rank", rank).filter(F.col("_rank") <= LEADERS).select("h", F.col("key").alias("leader"))
-    stars = busy.join(leaders, "h").filter("key != leader").select(*_ordered("key", "leader"))
-    tried = stored(pairs.union(stars).distinct(), "candidates")
+    leaders = stored(busy.withColumn("_rank", rank).filter(F.col("_rank") <= LEADERS).select(
+        "h", F.col("key").alias("leader"), F.col("_rank").alias("rank")), "leaders")
+    one = small.groupBy("h").agg(F.min("key").alias("leader")).union(leaders.filter("rank = 1").select("h", "leader"))
+    stars = met.join(one, "h").filter("key != leader").select(*_ordered("key", "leader"))
+    tried = stored(stars.distinct(), "candidates")
     free_shuffles(spark)
     found = stored(compared(tried, texts), "links")
     free_shuffles(spark)
 
+    mixed = _mixed(met, components(found))
+    members = mixed.select("h", F.col("key").alias("leader"), F.col("root").alias("leader_root"), "n")
+    heads = members.join(leaders, ["h", "leader"], "left").filter((F.col("n") <= ALL_PAIRS) | F.col("rank").isNotNull()).drop("n", "rank")
+    apart = (F.col("root") != F.col("leader_root")) & ((F.col("n") > ALL_PAIRS) | (F.col("key") < F.col("leader")))
+    fresh = mixed.join(heads, "h").filter(apart).select(*_ordered("key", "leader")).distinct()
+    fresh = stored(fresh.join(tried, ["a", "b"], "left_anti"), "candidates")
+    tried = tried.union(fresh)
+    found = found.union(stored(compared(fresh, texts), "links"))
+    free_shuffles(spark)
+
     for _ in range(ROUNDS):
-        roots = components(found)
-        classed = busy.join(roots, busy["key"] == roots["member"], "left").select(
-            "h", "key", "degree", F.coalesce("root", "key").alias("root"))
-        split = classed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("h")
-        open_ = stored(classed.join(split, "h"), "open-buckets")
+        open_ = _mixed(busy, components(found))
         heads = open_.groupBy("h", "root").agg(F.max_by("key", F.struct("degree", "key")).alias("leader"), F.max("degree").alias("top"))
         chosen = heads.withColumn("_rank", F.row_number().over(Window.partitionBy("h").orderBy(F.desc("top"), "leader"))).filter(
             F.col("_rank") <= LEADERS).groupBy("h").agg(F.collect_list(F.struct("root", "leader")).alias("heads"))
