@@ -112,9 +112,10 @@ def region(words: Words, by_count: bool) -> tuple[np.ndarray, np.ndarray, np.nda
     return (owner, element, nth) if by_count else tuple(x[nth == 0] for x in (owner, element, nth))
 
 
-def bands(words: Words, rows: int, by_count: bool = False, coordinates: int = COORDINATES) -> tuple[np.ndarray, np.ndarray]:
-    """(document, hash) of every full band of ``rows`` coordinates."""
-    signature = signatures(*region(words, by_count), len(words), coordinates)
+def bands(words: Words, rows: int, by_count: bool = False, coordinates: int = COORDINATES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, hash, the document's units of weight) of every full band of ``rows`` coordinates."""
+    units = region(words, by_count)
+    signature = signatures(*units, len(words), coordinates)
     docs, hashes = [], []
     for band in range(coordinates // rows):
         part = signature[:, band * rows:(band + 1) * rows]
@@ -124,7 +125,8 @@ def bands(words: Words, rows: int, by_count: bool = False, coordinates: int = CO
             h = mix(h * _TAKE + part[full, j])
         docs.append(np.flatnonzero(full))
         hashes.append(h)
-    return np.concatenate(docs), np.concatenate(hashes)
+    doc = np.concatenate(docs)
+    return doc, np.concatenate(hashes), np.bincount(units[0], minlength=len(words))[doc]
 
 
 def similarity(first: tuple[np.ndarray, ...], second: tuple[np.ndarray, ...], n: int) -> np.ndarray:

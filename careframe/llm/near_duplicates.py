@@ -4,7 +4,8 @@ Equal texts are one text.  Every text's signature is cut into bands; texts that
 In a bucket of at most ``ALL_PAIRS`` texts every two are compared.  A larger one is compared with its ``LEADERS``, the
 texts that meet most others over all bands, and then, while it holds several classes, with the leaders of
 its ``LEADERS`` busiest other classes, for ``ROUNDS`` rounds: the work stays proportional to the bucket.  Compared means
-exactly: the Jaccard similarity of their five-word shingles must be ``LEAST`` or more.  Classes are the connected components of all links.
+exactly: the Jaccard similarity of their five-word shingles must be ``LEAST`` or more.  Two texts one of which has less than
+``LEAST`` times the other's different shingles cannot reach it and are never brought together.  Classes are the connected components of all links.
 
 Two texts at the threshold share none of the 30 bands once in 7 million times; closer ones less often.
 
@@ -37,15 +38,20 @@ def text_key(text_col: str) -> Column:
 
 
 def band_rows(texts: DataFrame, by_count: bool = False) -> DataFrame:
-    """(h, key) of every band of every text (key, text), each once."""
+    """(h, key, size) of every band of every text (key, text), each once; ``size``: the text's units of weight."""
     def run(batches):
         for batch in batches:
             for row, words in blocks(batch.column(1)):
-                doc, h = minhash.bands(words, ROWS, by_count)
+                doc, h, size = minhash.bands(words, ROWS, by_count)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), batch.column(0).take(pa.array(doc + row))], names=["h", "key"])
+                    [pa.array(h.view(np.int64)), batch.column(0).take(pa.array(doc + row)), pa.array(size)], names=["h", "key", "size"])
 
-    return text_batches(texts).mapInArrow(run, "h long, key binary").distinct()
+    return text_batches(texts).mapInArrow(run, "h long, key binary, size long").distinct()
+
+
+def _near(size: str | Column, other: str | Column) -> Column:
+    """Whether sizes allow similarity: shared units are at most the smaller size, all units at least the larger."""
+    return F.least(size, other) / F.greatest(size, other) >= LEAST
 
 
 def compared(pairs: DataFrame, texts: DataFrame, by_count: bool = False) -> DataFrame:
@@ -81,13 +87,14 @@ def links(texts: DataFrame) -> DataFrame:
     full = bands.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
     met = stored(bands.join(full, "h"), "buckets")
     free_shuffles(spark)
-    small, large = met.filter(F.col("n") <= ALL_PAIRS).select("h", "key"), met.filter(F.col("n") > ALL_PAIRS)
-    pairs = small.withColumnRenamed("key", "a").join(small.withColumnRenamed("key", "b"), "h").filter("a < b").select("a", "b")
+    small, large = met.filter(F.col("n") <= ALL_PAIRS).select("h", "key", "size"), met.filter(F.col("n") > ALL_PAIRS)
+    pairs = small.withColumnsRenamed({"key": "a", "size": "size_a"}).join(small.withColumnsRenamed({"key": "b", "size": "size_b"}), "h").filter(
+        (F.col("a") < F.col("b")) & _near("size_a", "size_b")).select("a", "b")
     degree = met.groupBy("key").agg(F.sum("n").alias("degree"))
-    busy = stored(large.join(degree, "key").select("h", "key", "degree"), "large-buckets")
+    busy = stored(large.join(degree, "key").select("h", "key", "size", "degree"), "large-buckets")
     rank = F.row_number().over(Window.partitionBy("h").orderBy(F.desc("degree"), "key"))
-    leaders = busy.withColumn("_rank", rank).filter(F.col("_rank") <= LEADERS).select("h", F.col("key").alias("leader"))
-    stars = busy.join(leaders, "h").filter("key != leader").select(*_ordered("key", "leader"))
+    leaders = busy.withColumn("_rank", rank).filter(F.col("_rank") <= LEADERS).select("h", F.col("key").alias("leader"), F.col("size").alias("leader_size"))
+    stars = busy.join(leaders, "h").filter((F.col("key") != F.col("leader")) & _near("size", "leader_size")).select(*_ordered("key", "leader"))
     tried = stored(pairs.union(stars).distinct(), "candidates")
     free_shuffles(spark)
     found = stored(compared(tried, texts), "links")
@@ -96,16 +103,18 @@ def links(texts: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         roots = components(found)
         classed = busy.join(roots, busy["key"] == roots["member"], "left").select(
-            "h", "key", "degree", F.coalesce("root", "key").alias("root"))
+            "h", "key", "size", "degree", F.coalesce("root", "key").alias("root"))
         split = classed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("h")
         open_ = stored(classed.join(split, "h"), "open-buckets")
-        heads = open_.groupBy("h", "root").agg(F.max_by("key", F.struct("degree", "key")).alias("leader"), F.max("degree").alias("top"))
+        heads = open_.groupBy("h", "root").agg(F.max(F.struct("degree", F.col("key").alias("leader"), "size")).alias("x")).select(
+            "h", "root", "x.leader", "x.size", F.col("x.degree").alias("top"))
         chosen = heads.withColumn("_rank", F.row_number().over(Window.partitionBy("h").orderBy(F.desc("top"), "leader"))).filter(
-            F.col("_rank") <= LEADERS).groupBy("h").agg(F.collect_list(F.struct("root", "leader")).alias("heads"))
+            F.col("_rank") <= LEADERS).groupBy("h").agg(F.collect_list(F.struct("root", "leader", "size")).alias("heads"))
         # A text meets the same leaders in many bands: its lists (at most LEADERS per band) are merged before pairs are made.
-        per_text = open_.join(chosen, "h").groupBy("key", "root").agg(
+        per_text = open_.join(chosen, "h").groupBy("key", "size", "root").agg(
             F.array_distinct(F.flatten(F.collect_list("heads"))).alias("heads"))
-        fresh = per_text.select("key", F.explode(F.filter("heads", lambda x: x["root"] != F.col("root"))).alias("x")).select(
+        fresh = per_text.select("key", F.explode(F.filter(
+            "heads", lambda x: (x["root"] != F.col("root")) & _near(F.col("size"), x["size"]))).alias("x")).select(
             "key", F.col("x.leader").alias("leader")).select(*_ordered("key", "leader")).distinct()
         fresh = stored(fresh.join(tried, ["a", "b"], "left_anti"), "candidates")
         if fresh.isEmpty():
