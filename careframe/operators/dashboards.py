@@ -209,7 +209,7 @@ def dashboard_table(
     # grouping_id has one bit per column, set where the column was summed over.
     person_part = by_person.select(
         F.when(F.col("gid") == 1, "gender").when(F.col("gid") == 2, "age").otherwise("total_patients").alias("section"),
-        F.coalesce(gender, age, F.lit("all")).alias("label"),
+        F.when(F.col("gid") == 1, gender).when(F.col("gid") == 2, age).otherwise("all").alias("label"),
         F.coalesce(F.col("n"), F.lit(0)).alias("n"), F.lit(None).cast("double").alias("avg_risk"))
 
     day, level = F.col("day"), F.col("risk_level")
@@ -218,9 +218,19 @@ def dashboard_table(
         *_resum(F.grouping_id().alias("gid")))
     screening_part = by_screening.select(
         F.when(F.col("gid") == 1, "risk_level").when(F.col("gid") == 2, "day").otherwise("total_screenings").alias("section"),
-        F.coalesce(level, day.cast("string"), F.lit("all")).alias("label"),
+        F.when(F.col("gid") == 1, level).when(F.col("gid") == 2, day.cast("string")).otherwise("all").alias("label"),
         F.coalesce(F.col("n"), F.lit(0)).alias("n"), _mean().alias("avg_risk"))
-    return person_part.unionByName(screening_part)
+    return _with_zeros(person_part.unionByName(screening_part), [
+        ("total_patients", "all"), ("total_screenings", "all"), *[("risk_level", name) for name in RISK_LEVELS]])
+
+
+def _with_zeros(counts: DataFrame, expected: list[tuple[str, str]]) -> DataFrame:
+    """``counts`` (section, label, n, ..) with a zero row for every expected label that is missing; null labels stay null."""
+    pairs = F.array(*[F.struct(F.lit(s).alias("section"), F.lit(l).alias("label")) for s, l in expected])
+    zeros = counts.sparkSession.range(1, numPartitions=1).select(F.inline(pairs)).withColumn("n", F.lit(0).cast("long"))
+    rest = [c for c in counts.columns if c not in ("section", "label", "n")]
+    return counts.unionByName(zeros, allowMissingColumns=True).groupBy("section", "label").agg(
+        F.sum("n").alias("n"), *[F.max(c).alias(c) for c in rest])
 
 
 def high_risk_total(predictions: DataFrame) -> DataFrame:
@@ -245,7 +255,8 @@ def audit_summary(audit: DataFrame, as_of, days: int = 30, top_users: int = 10)
         F.sum("n").alias("n"), F.grouping_id().alias("gid")).select(
         F.when(F.col("gid") == 3, "action").when(F.col("gid") == 5, "resource")
         .when(F.col("gid") == 6, "user").otherwise("total").alias("section"),
-        F.coalesce(action, resource, user, F.lit("all")).alias("label"),
+        F.when(F.col("gid") == 3, action).when(F.col("gid") == 5, resource).when(F.col("gid") == 6, user)
+        .otherwise("all").alias("label"),
         F.coalesce(F.col("n"), F.lit(0)).alias("n"))
     users = counts.filter(F.col("section") == "user").orderBy(F.desc("n"), "label").limit(top_users)
-    return counts.filter(F.col("section") != "user").unionByName(users)
+    return _with_zeros(counts.filter(F.col("section") != "user"), [("total", "all")]).unionByName(users)

@@ -136,12 +136,20 @@ def facility_coverage(places: DataFrame, facilities: DataFrame, cell_degrees: fl
     def steps(low: Column, high: Column) -> Column:
         return F.sequence(F.floor(low / size), F.floor(high / size))
 
+    def around(low: Column, high: Column) -> Column:
+        # A circle that crosses the date line goes on at the other edge of the grid.
+        parts = []
+        for turn in (-360.0, 0.0, 360.0):
+            west, east = F.greatest(low + turn, F.lit(-180.0)), F.least(high + turn, F.lit(180.0))
+            parts.append(F.when(west <= east, steps(west, east)).otherwise(F.array().cast("array<bigint>")))
+        return F.array_distinct(F.concat(*parts))
+
     row, column = F.col("_row"), F.col("_column")
 
     sites = facilities.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select(
         F.col("id").alias("facility_id"), F.col("latitude").alias("f_lat"), F.col("longitude").alias("f_lng"), reach)
     listed = (sites.withColumn("_row", F.explode(steps(lat - span_lat, lat + span_lat)))
-              .withColumn("_column", F.explode(steps(lng - span_lng, lng + span_lng)))
+              .withColumn("_column", F.explode(around(lng - span_lng, lng + span_lng)))
               .withColumn("_cell", _cell_number(row, column)).drop("_row", "_column"))
     near = spread_join(spots, listed, "_cell", unique=False)
     within = near.filter(haversine_km(lat, lng, F.col("latitude"), F.col("longitude")) <= reach)

@@ -45,13 +45,13 @@ def upsert(
 ) -> DataFrame:
     """Insert new keys, update ``update_cols`` of known ones; the last incoming row of a key wins.
 
-    New rows get ``defaults`` elsewhere; ``created_at`` is kept, ``updated_at``
+    Incoming rows without a key are not taken.  New rows get ``defaults`` elsewhere; ``created_at`` is kept, ``updated_at``
     set.  While the incoming rows fit a broadcast the table is not shuffled;
     beyond that both sides meet in one shuffle on the key, which the reduction
     to one row per key already provides for the incoming side.
     """
     defaults = PATIENT_DEFAULTS if defaults is None else defaults
-    latest = latest_per_key(incoming, [key], order_col).select(
+    latest = latest_per_key(incoming.filter(F.col(key).isNotNull()), [key], order_col).select(
         F.col(key).alias("_key"), *[F.col(c).alias(f"_new_{c}") for c in update_cols])
     table, same = current.withColumn("_known", F.lit(True)), F.col(key) == F.col("_key")
     if fits_broadcast(latest):
@@ -118,10 +118,24 @@ def append_validated(
     return accepted.withColumns(filled).drop(order_col), rejected
 
 
+# Patchable columns that are not text.
+PATCH_TYPES = {"number_of_partners_12m": "int", "condom_use_frequency": "double", "substance_use": "boolean",
+               "symptoms_present": "boolean", "is_active": "boolean"}
+
+
 def accepted_patches(patches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(usable, refused): no patchable column takes null, so a patch giving one is refused whole."""
-    nulls = F.exists(F.map_entries("fields"), lambda e: e["key"].isin(*PATCHABLE) & e["value"].isNull())
-    return patches.filter(~nulls), patches.filter(nulls)
+    """(usable, refused): a patch that gives a patchable column null, or a value not of its type, is refused whole."""
+    bad = F.exists(F.map_entries("fields"), lambda e: e["key"].isin(*PATCHABLE) & e["value"].isNull())
+    for name, kind in PATCH_TYPES.items():
+        value = F.col("fields").getItem(name)
+        bad = bad | (value.isNotNull() & value.try_cast(kind).isNull())
+    bad = F.coalesce(bad, F.lit(False))
+    return patches.filter(~bad), patches.filter(bad)
+
+
+def _patched(supplied: Column, old: Column, kind) -> Column:
+    value = supplied["value"].try_cast(kind)
+    return F.when(supplied.isNotNull() & (supplied["value"].isNull() | value.isNotNull()), value).otherwise(old)
 
 
 def patch(
@@ -130,7 +144,7 @@ def patch(
     """Change only the fields each patch supplies; later patches of a key win per field.
 
     ``patches`` holds ``key``, ``order_col`` and ``fields``, a text map.  A field
-    supplied as null sets null, one not supplied stays.
+    supplied as null sets null, one not supplied or not of the column's type stays.
     """
     cols = [c for c in cols if c in df.columns]
     latest = []
@@ -141,8 +155,7 @@ def patch(
     merged = patches.groupBy(key).agg(*latest).withColumn("_patched", F.lit(True))
     joined = df.join(merged, key, "left")
     changes = {
-        name: F.when(F.col(f"_new_{name}").isNotNull(), F.col(f"_new_{name}.value").cast(df.schema[name].dataType))
-        .otherwise(F.col(name)) for name in cols}
+        name: _patched(F.col(f"_new_{name}"), F.col(name), df.schema[name].dataType) for name in cols}
     if as_of is not None and "updated_at" in df.columns:
         changes["updated_at"] = F.when(F.col("_patched"), _stamp(df, "updated_at", as_of)).otherwise(F.col("updated_at"))
     return joined.withColumns(changes).select(*df.columns)

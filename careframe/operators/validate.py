@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from careframe.operators.profile import nan_to_null
+
 # Required fields in the order their errors are listed, limits and texts.
 REQUIRED_FIELDS = ("age", "gender", "num_partners_12m")
 AGE_LIMITS = (10, 120)
@@ -28,7 +30,8 @@ def _errors(columns: list[str]) -> list[Column]:
 
 
 def validate(df: DataFrame) -> DataFrame:
-    """Add ``errors`` and ``is_valid``; a null value yields only its missing error."""
+    """Add ``errors`` and ``is_valid``; a null value yields only its missing error, and NaN is null."""
+    df = nan_to_null(df)
     errors = F.array_compact(F.array(*_errors(df.columns)))
     return df.withColumn("errors", errors).withColumn("is_valid", F.size("errors") == 0)
 

@@ -30,10 +30,16 @@ GENDERS = {"male": "M", "female": "F", "other": "O", "unknown": "U"}
 
 
 def read_fhir_patients(spark: SparkSession, path: str) -> DataFrame:
-    """Patient columns of every Patient resource, other resources skipped."""
+    """Patient columns of every Patient resource, other resources skipped; ``rejected_lines`` has what is no JSON."""
     return fhir_patients(spark.read.schema(RESOURCE).json(path))
 
 
+def rejected_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line): lines that are no JSON; blank ones do not count."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+    return lines.filter((F.trim("line") != "") & F.try_parse_json("line").isNull())
+
+
 def fhir_patients(resources: DataFrame) -> DataFrame:
     first_name = F.get("name", F.lit(0))
     place = F.get("address", F.lit(0))
