@@ -33,30 +33,31 @@ def lookup(df: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFra
     return having(df, keys, key), having(wanted, df, key, "left_anti")
 
 
-def newest(df: DataFrame, order_col: str, n: int, filters: dict | None = None, tie: str = "id") -> DataFrame:
-    """Newest ``n`` rows after optional equality filters."""
+def newest(df: DataFrame, order_col: str, n: int | None = None, filters: dict | None = None, tie: str = "id") -> DataFrame:
+    """Newest ``n`` rows after optional equality filters, all if no ``n`` is given."""
     for column, value in (filters or {}).items():
         df = optional_eq(df, column, value)
-    return df.orderBy(F.desc(order_col), F.desc(tie)).limit(n)
+    ordered = df.orderBy(F.desc(order_col), F.desc(tie))
+    return ordered if n is None else ordered.limit(n)
 
 
 def page(df: DataFrame, order_col: str, limit: int = 50, offset: int = 0, tie: str = "id",
          direct: int = DIRECT_OFFSET) -> DataFrame:
-    """Rows ``offset`` .. ``offset + limit`` in descending order.
+    """Rows ``offset`` .. ``offset + limit`` in descending order, rows without an order value last.
 
-    For a deep page the order value at which it starts is found first, so that
-    only rows from there on are ranked, not all rows before it.
+    For a deep page of a time or number the order value at which it starts is found first, so that
+    only rows from there on are ranked, not all rows before it; the rows are the same either way.
     """
-    if offset > direct:
+    if offset > direct and (_is_time(df, order_col) or isinstance(df.schema[order_col].dataType, T.NumericType)):
         rank = F.unix_micros(F.col(order_col).cast("timestamp")) if _is_time(df, order_col) else F.col(order_col)
         ranked = df.withColumn("_at", rank)
         start = kth_value(ranked.select((-F.col("_at")).alias("_at")), "_at", offset)
-        if start is None:
-            return df.limit(0)
-        start = -start
-        before = ranked.filter(F.col("_at") > start).count()
-        df = ranked.filter(F.col("_at") <= start).drop("_at")
-        offset -= before
+        if start is None:  # beyond all values: the page lies among the rows that have none
+            rest, passed = F.col("_at").isNull(), F.col("_at").isNotNull()
+        else:
+            rest, passed = F.col("_at").isNull() | (F.col("_at") <= -start), F.col("_at") > -start
+        offset -= ranked.filter(passed).count()
+        df = ranked.filter(rest).drop("_at")
     return df.orderBy(F.desc(order_col), F.desc(tie)).offset(offset).limit(limit)
 
 

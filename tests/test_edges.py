@@ -1,6 +1,9 @@
 """Empty windows, null groups and keys, unreadable values, and places on either side of the date line."""
 
-from careframe.operators import dashboards, geo, tables as tb
+import pytest
+from pyspark.sql import functions as F
+
+from careframe.operators import dashboards, geo, lookups, tables as tb
 from careframe.operators.validate import validate
 from careframe.sources import fhir
 
@@ -60,3 +63,13 @@ def test_lines_that_are_no_json_are_returned(spark, tmp_path):
 def test_nan_is_null_in_validation(spark):
     row = validate(spark.createDataFrame([(float("nan"), "M", 1.0)], "age double, gender string, num_partners_12m double")).first()
     assert row["errors"] == ["Missing required field: age"]
+
+
+@pytest.mark.parametrize("kind", ["double", "string", "timestamp"])
+def test_a_deep_page_is_the_page(spark, kind):
+    value = F.when(F.col("id") % 5 < 3, F.pmod(F.col("id") * 37, F.lit(50)))
+    df = spark.range(100).withColumn("at", value.cast("int").cast(kind) if kind == "string" else value.cast("long").cast(kind))
+    for offset in (10, 58, 70):
+        want = lookups.page(df, "at", 5, offset).collect()
+        assert len(want) == 5 and lookups.page(df, "at", 5, offset, direct=0).collect() == want
+    assert lookups.newest(df, "at").count() == 100
