@@ -86,3 +86,24 @@ def test_language_model_totals(docs):
     rows = language_model.score(docs, F.lit(True)).collect()
     assert {r["train_tokens"] for r in rows} == {sum(len(WORD.findall(t or "")) + 1 for _, t in TEXTS)}
     assert all(r["n_known"] == r["n_tokens"] for r in rows)
+
+
+def test_language_model_equals_brute_force(docs):
+    from collections import Counter
+    from math import log10
+
+    learn = [t is None or "b" not in t for _, t in TEXTS]
+    found = [[w.lower() for w in WORD.findall(t or "")] + ["</s>"] for _, t in TEXTS]
+    pairs = [list(zip(["<s>"] + w, w)) for w in found]
+    words = Counter(x for w, yes in zip(found, learn) if yes for x in w)
+    both = Counter(x for p, yes in zip(pairs, learn) if yes for x in p)
+    total, size = sum(words.values()), len(words)
+    words["<s>"] = words["</s>"]
+
+    def one(context, word):
+        shorter = (words[word] + 0.5) / (total + 0.5 * (size + 1))
+        return (both[context, word] + language_model.PRIOR * shorter) / (words[context] + language_model.PRIOR)
+
+    want = sorted((len(w), round(sum(log10(one(*x)) for x in p), 9)) for w, p in zip(found, pairs))
+    rows = language_model.score(docs, F.col("text").isNull() | ~F.col("text").contains("b")).collect()
+    assert sorted((r["n_tokens"], round(r["score"], 9)) for r in rows) == want
