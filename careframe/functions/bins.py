@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import count
 
 import numpy as np
 from pyspark.sql import Column, functions as F
@@ -27,28 +28,21 @@ def equal_width_edges(low: float, high: float, bins: int) -> list[float]:
     return edges
 
 
-def _shortened(edge: float, digits: int) -> float:
-    """``edge`` kept to ``digits`` decimals, or that many significant ones below one."""
-    if not math.isfinite(edge) or edge == 0:
-        return edge
-    fraction, whole = math.modf(edge)
-    if whole == 0:
-        digits += -math.floor(math.log10(abs(fraction))) - 1
-    return float(np.around(edge, digits))
-
-
 def interval_labels(edges: list) -> list[str]:
     """``(a, b]`` text per bin, with the fewest decimals that keep edges apart.
 
-    One fractional edge makes all of them print as fractions.
+    An edge shows decimals from one on and significant digits below one, ``LABEL_DIGITS`` at least.  One
+    fractional edge makes all of them print as fractions; whole edges print as they are.
     """
-    if any(isinstance(e, float) for e in edges):
-        edges = [float(e) for e in edges]
-    for digits in range(LABEL_DIGITS, 20):
-        short = [_shortened(e, digits) if isinstance(e, float) else e for e in edges]
-        if len(set(short)) == len(set(edges)):
-            break
-    return [f"({a}, {b}]" for a, b in zip(short, short[1:])]
+    if all(isinstance(edge, int) for edge in edges):
+        texts = [str(edge) for edge in edges]
+    else:
+        texts = next(found for found in (_edge_texts(edges, n) for n in count(LABEL_DIGITS)) if len(set(found)) == len(set(edges)))
+    return [f"({low}, {high}]" for low, high in zip(texts, texts[1:])]
+
+
+def _edge_texts(edges: list, digits: int) -> list[str]:
+    return [str(float(format(float(edge), f".{digits}{'f' if abs(edge) >= 1 else 'g'}"))) for edge in edges]
 
 
 def cut(value: Column, edges: list, labels: list | None = None) -> Column:

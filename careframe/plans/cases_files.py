@@ -43,25 +43,40 @@ def _written_report(s, f):
     return s.read.schema("county string, patients long, avg_risk double, high_risk long").option("header", True).csv(path)
 
 
-def _file_rows(s, f):
-    """Patient rows written as CSV files and read back through the file source."""
+def _files(s, f):
+    """Patient rows written as CSV files of three layouts, one with line breaks inside fields, and read back."""
     path = f"{work_folder(s, 'patient-files')}/in"
-    _raw_file(s, f).drop("row_no").write.option("header", True).option("escape", '"').csv(path)
-    valid, _ = pc.split_rows(pc.check_rows(pc.read_patient_csv(s, path)))
+    raw, part = _raw_file(s, f), (F.col("row_no") - 1) % 3
+    lines = raw.withColumn("county", F.lit("two\nlines"))
+    layouts = ["patient_id first_name date_of_birth gender phone", "county phone gender date_of_birth first_name patient_id",
+               "phone zone patient_id gender first_name date_of_birth"]
+    for i, names in enumerate(layouts):
+        lines.withColumn("zone", F.lit("z")).filter(part == i).select(*names.split()).write.option("header", True).option(
+            "escape", '"').csv(f"{path}/{i}")
+    return pc.check_rows(pc.read_patient_csv(s, f"{path}/*"))
+
+
+def _file_rows(s, f):
+    valid, _ = pc.split_rows(_files(s, f))
     return valid.select("patient_id", "first_name", F.col("date_of_birth").cast("string").alias("date_of_birth"), "gender",
                         "phone", "county")
 
 
+def _file_statistics(s, f):
+    """Statistics per file, added up per layout."""
+    layout = F.regexp_extract(pc.SOURCE_FILE, "/in/(.)/", 1).cast("int").alias("layout")
+    return pc.file_stats(_files(s, f)).groupBy(layout).agg(*[F.sum(c).alias(c) for c in ("total", "processed", "failed")])
+
+
 def _landed(s, f):
     """New patients, one per order, landing as files in a folder beside the patient table."""
     root = work_folder(s, "landing")
-    names = ["patient_id", "first_name", "date_of_birth", "gender"]
     table(s, f, "orders").select(
         F.concat(F.lit("L#"), F.col("o_orderkey").cast("string")).alias("patient_id"),
         F.col("o_orderpriority").alias("first_name"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date_of_birth"),
         F.lit("f").alias("gender")).write.option("header", True).csv(f"{root}/in")
     patients(s, f).drop("id").write.parquet(landing.version_path(f"{root}/table", 0))
-    landing.start_landing(s, f"{root}/in", names, f"{root}/table", f"{root}/stats", f"{root}/progress",
+    landing.start_landing(s, f"{root}/in", None, f"{root}/table", f"{root}/stats", f"{root}/progress",
                           "2002-01-01").awaitTermination()
     return landing.read_version(s, f"{root}/table").select(
         "patient_id", "first_name", F.col("date_of_birth").cast("string").alias("date_of_birth"), "gender", "hiv_status")
@@ -102,7 +117,12 @@ CASES = {
     "patient_file_rows": (
         _file_rows,
         f"""with {RAW} select patient_id, coalesce(first_name, '') as first_name, cast(date_of_birth as varchar) as date_of_birth,
-gender, phone, '' as county from raw where date_of_birth is not null"""),
+gender, phone, case when row_no % 3 = 2 then concat('two', chr(10), 'lines') else '' end as county
+from raw where date_of_birth is not null"""),
+    "file_statistics": (
+        _file_statistics,
+        f"""with {RAW} select cast((row_no - 1) % 3 as integer) as layout, count(*) as total, count(date_of_birth) as processed,
+count(*) - count(date_of_birth) as failed from raw group by 1"""),
     "landed_patients": (
         _landed,
         sql("patients", """

@@ -124,23 +124,22 @@ from patients left join merged on merged.id = patients.id"""
 
 
 def _feedback(s, f):
-    """Feedback per line item on its order's prediction."""
+    """Feedback per line item, on the prediction of every third order."""
     line = F.col("l_linenumber")
     return table(s, f, "lineitem").select(
-        F.col("l_orderkey").alias("id"),
+        (F.col("l_orderkey") - F.col("l_orderkey") % 3).alias("id"),
         (F.col("l_partkey") * 100000 + F.col("l_suppkey") * 10 + line).alias("seq"),
         F.concat(F.lit("note "), F.col("l_partkey").cast("string")).alias("notes"),
         F.when(F.col("l_returnflag") == "A", "negative").when(F.col("l_returnflag") == "R", "positive")
-        .otherwise("").alias("actual_outcome"),
-    ).filter(F.col("l_linestatus") == "O")
+        .otherwise("").alias("actual_outcome"))
 
 
 FEEDBACK_SQL = """
 with feedback as (
-  select l_orderkey as id, l_partkey * 100000 + l_suppkey * 10 + l_linenumber as seq,
+  select l_orderkey - l_orderkey % 3 as id, l_partkey * 100000 + l_suppkey * 10 + l_linenumber as seq,
          concat('note ', l_partkey) as notes,
          case l_returnflag when 'A' then 'negative' when 'R' then 'positive' else '' end as actual_outcome
-  from lineitem where l_linestatus = 'O'),
+  from lineitem),
 merged as (
   select id, max_by(notes, seq) as notes, max_by(actual_outcome, seq) filter (where actual_outcome <> '') as outcome
   from feedback group by id)
@@ -193,8 +192,9 @@ where contains(lower(patient_id), '#00000001') or contains(lower(first_name), '#
    or contains(lower(last_name), '#00000001') or contains(lower(phone), '#00000001')"""),
     ),
     "search_is_literal": (
-        lambda s, f: _keys(search(patients(s, f), "CUSTOMER#%", lk.SEARCHED)),
-        sql("patients", f"select {PATIENT_KEYS} from patients where contains(lower(patient_id), 'customer#%')"),
+        lambda s, f: _keys(search(patients(s, f).withColumn("first_name", F.concat(
+            F.when(F.col("id") % 7 == 0, "5%_").when(F.col("id") % 7 == 1, "5xy").otherwise("5_%"), "first_name")), "5%_", lk.SEARCHED)),
+        sql("patients", f"select {PATIENT_KEYS} from patients where id % 7 = 0"),
     ),
     "county_equals": (
         lambda s, f: _keys(optional_eq(patients(s, f), "county", "nation_3", ci=True)),
@@ -296,6 +296,10 @@ order by created_at desc, id desc limit 20"""),
         lambda s, f: lk.newest(models(s, f), "created_at", 20, {"status": "ready"}).select("id", "name", "status"),
         sql("models", "select id, name, status from models where status = 'ready' order by created_at desc, id desc limit 20"),
     ),
+    "all_models": (
+        lambda s, f: lk.newest(models(s, f), "created_at", None, {"status": "ready"}).select("id", "name", "status"),
+        sql("models", "select id, name, status from models where status = 'ready'"),
+    ),
     "facility_list": (
         lambda s, f: lk.list_facilities(facilities(s, f), "africa").select("id", "name", "county"),
         sql("facilities", "select id, name, county from facilities where is_active and lower(county) = 'africa'"),

@@ -10,6 +10,8 @@ from careframe.sources.patient_csv import (
     COLUMN_DEFAULTS, KEY, check_rows, failed_stats, ingest_stats, is_utf8, place_of, read_patient_csv, split_rows,
 )
 
+NOT_UTF8 = "file is not valid UTF-8"
+
 
 def merge_checked(current: DataFrame, checked: DataFrame, as_of) -> DataFrame:
     """New patient table after upserting the usable rows of checked files.
@@ -22,7 +24,7 @@ def merge_checked(current: DataFrame, checked: DataFrame, as_of) -> DataFrame:
 
 
 def ingest_file(
-    spark: SparkSession, path: str, current: DataFrame, as_of, staging: str | None = None, multi_line: bool = False,
+    spark: SparkSession, path: str, current: DataFrame, as_of, staging: str | None = None, multi_line: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """(new patient table, one row of job statistics).
 
@@ -32,7 +34,7 @@ def ingest_file(
     """
     try:
         if not is_utf8(spark, path):
-            raise UnicodeError("file is not valid UTF-8")
+            raise UnicodeError(NOT_UTF8)
         checked = check_rows(read_patient_csv(spark, path, multi_line))
         if staging:
             checked.write.mode("errorifexists").parquet(staging)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 CORRUPT = "_corrupt_record"
@@ -31,9 +33,22 @@ COMPACT_DATE = r"^(\d{4})(\d{2})(\d{2})$"
 WEEK_DATE = r"^(?!0000)(\d{4})-?W(\d{2})(?:-?([1-7]))?$"
 
 
-def header_of(spark: SparkSession, path: str) -> list[str]:
-    """Column names from the header row."""
-    return spark.read.option("header", True).option("inferSchema", False).csv(path).columns
+def file_heads(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(source_file, head): the first line of each file that is not blank, sought in the first split of the file."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias(SOURCE_FILE), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_order"), F.regexp_replace("value", "^\ufeff", "").alias("_line"))
+    return lines.filter((F.col("_start") == 0) & F.col("_line").rlike("[^\\s]")).groupBy(SOURCE_FILE).agg(
+        F.min_by("_line", "_order").alias("head"))
+
+
+def names_in(head: str) -> list[str]:
+    """Column names of a header line; empty and repeated ones are told apart by their place."""
+    names: list[str] = []
+    for i, name in enumerate(next(csv.reader([head]))):
+        again = name.lower() in (n.lower() for n in names)
+        names.append(f"_c{i}" if not name else f"{name}{i}" if again else name)
+    return names
 
 
 def csv_schema(names: list[str]) -> T.StructType:
@@ -91,16 +106,46 @@ def number_rows(some: DataFrame, placed: DataFrame | None = None) -> DataFrame:
     return numbered.withColumn(ROW, number).drop("_before", "_first")
 
 
-def read_patient_csv(spark: SparkSession, path: str, multi_line: bool = False, names: list[str] | None = None) -> DataFrame:
+def read_patient_csv(
+    spark: SparkSession, path: str | list[str], multi_line: bool = True, names: list[str] | None = None,
+) -> DataFrame:
     """Header-named text columns and the place of each row.
 
-    Blank lines are skipped and surplus fields ignored.  ``multi_line`` allows
-    line breaks inside quotes, at the price of one task per file.
+    Each file is read by its own header, unless ``names`` gives the columns of all.  Where files have different
+    columns, a mapped column that a file lacks takes its default there, and any other is null.  Blank lines are
+    skipped and surplus fields ignored.  Line breaks inside quotes are part of the field, at the price of one task per
+    file; ``multi_line=False`` splits large files that have none.  Without ``names`` a job finds the different headers.
     """
-    names = names or header_of(spark, path)
-    raw = (spark.read.schema(csv_schema(names)).option("header", True).option("multiLine", multi_line)
+    heads = None if names else file_heads(spark, path)
+    known = [] if names else sorted(r["head"] for r in heads.select("head").distinct().collect())
+    layouts = [names] if names else [names_in(head) for head in known] or [[]]
+    slots = layouts[0] if len(layouts) == 1 else [f"_slot{i}" for i in range(max(map(len, layouts)))]
+    raw = (spark.read.schema(csv_schema(slots)).option("header", True).option("multiLine", multi_line)
            .option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path))
-    return shape_csv(raw, names)
+    shaped = shape_csv(raw, slots)
+    return shaped if len(layouts) == 1 else _by_layout(shaped, heads, known, layouts, slots)
+
+
+def _by_layout(shaped: DataFrame, heads: DataFrame, known: list[str], layouts: list[list[str]], slots: list[str]) -> DataFrame:
+    """Rows of files with different headers, their fields under the names of each file's own."""
+    rows = shaped.join(heads, SOURCE_FILE)
+    if not all(KEY in names for names in layouts):
+        rows = number_rows(rows)
+
+    def field(name: str) -> Column:
+        found = F.lit(None).cast("string")
+        for head, names in zip(known, layouts):
+            if name in names:
+                value = F.col(slots[names.index(name)])
+            elif name == KEY:
+                value = F.concat(F.lit(AUTO_PREFIX), F.col(ROW).cast("string"))
+            else:
+                value = F.lit(COLUMN_DEFAULTS.get(name)).cast("string")
+            found = F.when(F.col("head") == head, value).otherwise(found)
+        return found.alias(name)
+
+    every = dict.fromkeys([KEY, *(name for names in layouts for name in names)])
+    return rows.select(*[c for c in PLACE if c in rows.columns], *[field(name) for name in every])
 
 
 def shape_csv(raw: DataFrame, names: list[str]) -> DataFrame:
@@ -203,6 +248,22 @@ def ingest_stats(checked: DataFrame) -> DataFrame:
         F.when(F.sum("failed") == 0, "completed").otherwise("partial").alias("status"))
 
 
+def file_stats(checked: DataFrame) -> DataFrame:
+    """One row per file that has rows: ``source_file`` and the statistics of ``ingest_stats``, with the file's own first errors."""
+    bad = ~_usable(F.col("date_of_birth"))
+    nth = F.row_number().over(Window.partitionBy(SOURCE_FILE).orderBy(place_of(checked)))
+    logged = checked.filter(bad).withColumn("_nth", nth).filter(F.col("_nth") <= MAX_LOGGED_ERRORS)
+    if ROW not in checked.columns:
+        logged = number_rows(logged, checked)
+    line = F.concat(F.lit("Row "), F.col(ROW).cast("string"), F.lit(": "), F.array_join("errors", "; "))
+    logs = logged.groupBy(SOURCE_FILE).agg(F.array_sort(F.collect_list(F.struct("_nth", line.alias("text")))).alias("_log"))
+    counts = checked.groupBy(SOURCE_FILE).agg(F.count("*").alias("total"), F.count_if(bad).alias("failed"))
+    return counts.join(logs, SOURCE_FILE, "left").select(
+        SOURCE_FILE, "total", (F.col("total") - F.col("failed")).alias("processed"), "failed",
+        F.coalesce(F.array_join("_log.text", "\n"), F.lit("")).alias("error_log"),
+        F.when(F.col("failed") == 0, "completed").otherwise("partial").alias("status"))
+
+
 def failed_stats(spark: SparkSession, error: str) -> DataFrame:
     """Statistics row of a file that could not be read at all."""
     zero = F.lit(0).cast("long")
@@ -211,6 +272,12 @@ def failed_stats(spark: SparkSession, error: str) -> DataFrame:
         F.lit(error).alias("error_log"), F.lit("failed").alias("status"))
 
 
+def undecodable_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(source_file) of the files with a line that is no UTF-8."""
+    lines = spark.read.text(path)
+    return lines.filter(~F.is_valid_utf8("value")).select(F.col("_metadata.file_path").alias(SOURCE_FILE)).distinct()
+
+
 def is_utf8(spark: SparkSession, path: str) -> bool:
     """Whether every line of the file decodes as UTF-8."""
     lines = spark.read.text(path)

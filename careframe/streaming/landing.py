@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from careframe.plans.ingest import merge_checked
-from careframe.sources.patient_csv import check_rows, csv_schema, ingest_stats, shape_csv, CORRUPT
+from careframe.plans.ingest import NOT_UTF8, merge_checked
+from careframe.sources.patient_csv import (
+    SOURCE_FILE, check_rows, failed_stats, file_stats, read_patient_csv, undecodable_files,
+)
+
+FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
 def version_path(root: str, version: int) -> str:
@@ -32,33 +36,40 @@ def read_version(spark: SparkSession, root: str, below: int | None = None) -> Da
     return spark.read.parquet(version_path(root, known[-1]))
 
 
-def landing_stream(spark: SparkSession, folder: str, names: list[str], max_files: int = 1000) -> DataFrame:
-    """Raw rows of files as they land."""
-    return (spark.readStream.schema(csv_schema(names)).option("header", True).option("escape", '"')
-            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-            .option("maxFilesPerTrigger", max_files).csv(folder)
-            .select("*", "_metadata"))
+def landing_stream(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
+    """Paths of files as they land; their content is not read here."""
+    return (spark.readStream.format("binaryFile").schema(FILE).option("maxFilesPerTrigger", max_files)
+            .load(folder).select("path"))
 
 
 def start_landing(
-    spark: SparkSession, folder: str, names: list[str], table_root: str, stats_root: str, checkpoint: str, as_of,
+    spark: SparkSession, folder: str, names: list[str] | None, table_root: str, stats_root: str, checkpoint: str, as_of,
     max_files: int = 1000,
 ) -> StreamingQuery:
     """Upsert each batch of files into the next version of the patient table.
 
+    Files are read as ``read_patient_csv`` reads them: each by its own header, unless ``names`` gives one for all.
+    One that is no UTF-8 fails as a whole and changes nothing.  Statistics have a row per file.
     Version ``n + 1`` is made from the newest version up to ``n``, so a batch
     that is run again after a failure writes the same result once more.  The
-    table must hold a version 0 to start from.
+    table must hold a version 0 to start from.  All versions stay.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        checked = check_rows(shape_csv(batch, names))
+        spark = batch.sparkSession
+        paths = [r["path"] for r in batch.select("path").collect()]  # at most max_files
+        broken = [r[SOURCE_FILE] for r in undecodable_files(spark, paths).collect()]
+        rows = read_patient_csv(spark, paths, names=names)
         staged = f"{stats_root}/checked/batch={batch_id}"
-        checked.write.mode("overwrite").parquet(staged)
+        check_rows(rows.filter(~F.col(SOURCE_FILE).isin(broken))).write.mode("overwrite").parquet(staged)
         checked = spark.read.parquet(staged)
-        ingest_stats(checked).write.mode("overwrite").parquet(f"{stats_root}/jobs/batch={batch_id}")
+        jobs = file_stats(checked)
+        if broken:
+            failed = failed_stats(spark, NOT_UTF8).withColumn(SOURCE_FILE, F.explode(F.lit(broken)))
+            jobs = jobs.unionByName(failed)
+        jobs.write.mode("overwrite").parquet(f"{stats_root}/jobs/batch={batch_id}")
         current = read_version(spark, table_root, below=batch_id + 1)
         merge_checked(current, checked, as_of).write.mode("overwrite").parquet(version_path(table_root, batch_id + 1))
 
-    return (landing_stream(spark, folder, names, max_files).writeStream.foreachBatch(merge)
+    return (landing_stream(spark, folder, max_files).writeStream.foreachBatch(merge)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

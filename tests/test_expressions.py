@@ -200,6 +200,20 @@ def test_cut_equals_pandas(spark):
     assert bins.interval_labels([0, 15, 20]) == ["(0, 15]", "(15, 20]"]
 
 
+def test_interval_labels_equal_pandas():
+    import random
+
+    import pandas as pd
+
+    draw = random.Random(7)
+    for _ in range(400):
+        scale = 10.0 ** draw.randint(-9, 9)
+        edges = sorted({draw.uniform(-scale, scale) * draw.choice([1, 1e-4]) for _ in range(draw.randint(2, 9))} | {0.0})
+        if draw.random() < 0.3:
+            edges.append(float("inf"))
+        assert bins.interval_labels(edges) == [str(x) for x in pd.cut(pd.Series([0.0]), edges).cat.categories]
+
+
 def test_json_columns(spark):
     df = spark.createDataFrame([('{"a": 1, "b": "x"}', '["p", "q"]')], "m string, l string")
     row = df.select(sc.text_map(F.col("m")).alias("m"), sc.text_list(F.col("l")).alias("l")).first()

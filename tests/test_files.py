@@ -84,6 +84,33 @@ def test_quoted_line_breaks(spark, tmp_path):
         ("P1", 1, "two\nlines"), ("P2", 2, "a")]
 
 
+def test_each_file_is_read_by_its_own_header(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    write(folder, "\ufeffpatient_id,first_name,last_name\nA1,Ann,Bee\nA2,short\n", "a.csv")
+    write(folder, 'last_name,first_name,zone,patient_id\nBee,"An\nn",z,B1\n', "b.csv")
+    write(folder, "\nfirst_name\nAuto\nNext\n", "c.csv")
+    checked = pc.check_rows(pc.read_patient_csv(spark, str(folder)))
+    valid, rejected = pc.split_rows(checked)
+    assert sorted((r["patient_id"], r["first_name"], r["last_name"], r["gender"]) for r in valid.collect()) == [
+        ("A1", "Ann", "Bee", "U"), ("AUTO_1", "Auto", "", "U"), ("AUTO_2", "Next", "", "U"), ("B1", "An\nn", "Bee", "U")]
+    assert [(r["patient_id"], r["errors"]) for r in rejected.collect()] == [("A2", ["missing value for last_name"])]
+    stats = {r["source_file"][-5:]: (r["total"], r["processed"], r["failed"], r["error_log"], r["status"])
+             for r in pc.file_stats(checked).collect()}
+    assert stats == {"a.csv": (2, 1, 1, "Row 2: missing value for last_name", "partial"),
+                     "b.csv": (1, 1, 0, "", "completed"), "c.csv": (2, 2, 0, "", "completed")}
+
+
+def test_errors_are_logged_per_file(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name in ("a.csv", "b.csv"):
+        write(folder, "\n".join([HEADER] + [f"P{i},a,b,bad,M,,,," for i in range(80)]), name)
+    for row in pc.file_stats(pc.check_rows(pc.read_patient_csv(spark, str(folder)))).collect():
+        lines = row["error_log"].split("\n")
+        assert row["failed"] == 80 and len(lines) == 50 and lines[0].startswith("Row 1: ") and lines[-1].startswith("Row 50: ")
+
+
 def test_byte_order_mark_is_skipped(spark, tmp_path):
     path = write(tmp_path, "", binary=b"\xef\xbb\xbf" + (HEADER + "\nP1,a,b,2000-01-01,M,,,,\n").encode())
     assert [r["patient_id"] for r in checked(spark, path)[0].collect()] == ["P1"]
@@ -94,7 +121,7 @@ def test_row_numbers_run_through_all_splits(spark, tmp_path):
     path = write(tmp_path, "\n".join(lines) + "\n")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
     try:
-        raw = pc.read_patient_csv(spark, path)
+        raw = pc.read_patient_csv(spark, path, multi_line=False)
         assert raw.rdd.getNumPartitions() > 4
         rows = pc.number_rows(raw).select("patient_id", "row_no").collect()
         few = pc.number_rows(raw.filter("patient_id in ('P1', 'P4711')"), raw).select("patient_id", "row_no").collect()

@@ -89,3 +89,17 @@ def test_files_of_one_batch_apply_in_order(spark, tmp_path):
     landing.start_landing(spark, str(folder), HEADER.split(","), root, str(tmp_path / "stats"), str(tmp_path / "ck"),
                           "2024-01-01").awaitTermination()
     assert landing.read_version(spark, root).filter("patient_id = 'P1'").first()["first_name"] == "Newer"
+
+
+def test_landing_takes_each_file_by_its_header_and_refuses_other_encodings(spark, tmp_path):
+    root, stats, folder = str(tmp_path / "table"), str(tmp_path / "stats"), tmp_path / "in"
+    folder.mkdir()
+    patients_now(spark).write.parquet(landing.version_path(root, 0))
+    (folder / "a.csv").write_text('first_name,patient_id\n"Two\nlines",P7\n')
+    (folder / "b.csv").write_text("patient_id,first_name\nP8,Eight\n")
+    (folder / "c.csv").write_bytes("patient_id,first_name\nP1,Jos\xe9\n".encode("latin-1"))
+    landing.start_landing(spark, str(folder), None, root, stats, str(tmp_path / "ck"), "2024-01-01").awaitTermination()
+    got = {r["patient_id"]: r["first_name"] for r in landing.read_version(spark, root).collect()}
+    assert got == {"P1": "Old", "P9": "Other", "P7": "Two\nlines", "P8": "Eight"}
+    jobs = {r["source_file"][-5:]: (r["total"], r["status"]) for r in spark.read.parquet(f"{stats}/jobs").collect()}
+    assert jobs == {"a.csv": (1, "completed"), "b.csv": (1, "completed"), "c.csv": (0, "failed")}
