@@ -22,6 +22,8 @@ COORDINATES = 120
 # Rank cells: halves towards zero below 1, then unit cells.
 SMALL_CELLS = 6
 MOST_DARTS = 12
+# 64-bit words of a parity sketch.
+SKETCH_WORDS = 16
 _TAKE = np.uint64(0x9E3779B97F4A7C15)
 MASK = (1 << 64) - 1
 
@@ -129,6 +131,18 @@ def bands(words: Words, rows: int, by_count: bool = False, coordinates: int = CO
     return doc, np.concatenate(hashes), np.bincount(units[0], minlength=len(words))[doc]
 
 
+def parities(units: tuple[np.ndarray, ...], n: int) -> np.ndarray:
+    """n x SKETCH_WORDS words whose bits tell whether an odd number of the document's units fell on them.
+
+    A unit that two documents do not share changes one bit, so they differ in at least as many units as in bits.
+    """
+    owner, element, nth = units
+    n_bits = 64 * SKETCH_WORDS
+    bit = (mix(element + nth.astype(np.uint64) * _TAKE) % np.uint64(n_bits)).astype(np.int64)
+    odd = (np.bincount(owner * n_bits + bit, minlength=n * n_bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n, n_bits), axis=1).view(np.int64)
+
+
 def similarity(first: tuple[np.ndarray, ...], second: tuple[np.ndarray, ...], n: int) -> np.ndarray:
     """Weighted Jaccard similarity of n pairs of regions."""
     owner, element, nth = (np.concatenate(x) for x in zip(first, second))

@@ -3,9 +3,12 @@
 Equal texts are one text.  Every text's signature is cut into bands; texts that share a band meet in a bucket.
 In a bucket of at most ``ALL_PAIRS`` texts every two are compared.  A larger one is compared with its ``LEADERS``, the
 texts that meet most others over all bands, and then, while it holds several classes, with the leaders of
-its ``LEADERS`` busiest other classes, for ``ROUNDS`` rounds: the work stays proportional to the bucket.  Compared means
+its ``LEADERS`` busiest other classes, for ``ROUNDS`` rounds.  That only joins most texts cheaply; whichever two of a
+bucket are in different classes then are compared too, so no pair that shares a band is left out.  Compared means
 exactly: the Jaccard similarity of their five-word shingles must be ``LEAST`` or more.  Two texts one of which has less than
-``LEAST`` times the other's different shingles cannot reach it and are never brought together.  Classes are the connected components of all links.
+``LEAST`` times the other's different shingles cannot reach it and are never brought together; of the last pairs neither are
+those whose parity sketches differ in more bits than similar texts differ in shingles, which is proof that they are not similar.
+Classes are the connected components of all links.
 
 Two texts at the threshold share none of the 30 bands once in 7 million times; closer ones less often.
 
@@ -31,6 +34,8 @@ ROWS = 4
 ALL_PAIRS = 32
 LEADERS = 4
 ROUNDS = 2
+# Rows of a bucket whose last pairs are made in one task.
+PART = 1024
 
 
 def text_key(text_col: str) -> Column:
@@ -54,6 +59,40 @@ def _near(size: str | Column, other: str | Column) -> Column:
     return F.least(size, other) / F.greatest(size, other) >= LEAST
 
 
+def sketched(texts: DataFrame, by_count: bool = False) -> DataFrame:
+    """(key, s0, s1, ..) of every text: the words of its parity sketch."""
+    names = [f"s{i}" for i in range(minhash.SKETCH_WORDS)]
+
+    def run(batches):
+        for batch in batches:
+            for row, words in blocks(batch.column(1)):
+                sketch = minhash.parities(minhash.region(words, by_count), len(words))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(row, len(words)), *[pa.array(np.ascontiguousarray(x)) for x in sketch.T]], names=["key", *names])
+
+    return text_batches(texts.select("key", "text")).mapInArrow(run, "key binary, " + ", ".join(f"{n} long" for n in names))
+
+
+def _maybe(left: str, right: str) -> Column:
+    """Whether the rows' sketches allow similarity: texts differ in at least as many units as their sketches in bits."""
+    bits = sum((F.bit_count(F.col(f"{left}.s{i}").bitwiseXOR(F.col(f"{right}.s{i}"))) for i in range(minhash.SKETCH_WORDS)), F.lit(0))
+    return bits * (1 + LEAST) <= (F.col(f"{left}.size") + F.col(f"{right}.size")) * (1 - LEAST) + 1e-6
+
+
+def last_pairs(open_: DataFrame, sketches: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different classes that share a bucket of ``open_`` and may be alike, each once.
+
+    A large bucket is dealt to several tasks: parts of it meet copies of the whole.
+    """
+    parts = open_.groupBy("h").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    rows = open_.select("h", "key", "size", "root").join(sketches, "key").join(parts, "h")
+    left = rows.withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int")).alias("x")
+    right = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
+    met = left.join(right, (F.col("x.h") == F.col("y.h")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.key") < F.col("y.key"))
+                    & (F.col("x.root") != F.col("y.root")) & _near("x.size", "y.size") & _maybe("x", "y"))
+    return met.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+
+
 def compared(pairs: DataFrame, texts: DataFrame, by_count: bool = False) -> DataFrame:
     """The pairs (a, b) that are alike; one text of every key is shuffled, and one per pair."""
     one = texts.dropDuplicates(["key"])
@@ -100,12 +139,16 @@ def links(texts: DataFrame) -> DataFrame:
     found = stored(compared(tried, texts), "links")
     free_shuffles(spark)
 
-    for _ in range(ROUNDS):
+    def still_open() -> DataFrame:
+        """Rows of the large buckets that hold several classes of ``found``."""
         roots = components(found)
         classed = busy.join(roots, busy["key"] == roots["member"], "left").select(
             "h", "key", "size", "degree", F.coalesce("root", "key").alias("root"))
         split = classed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("h")
-        open_ = stored(classed.join(split, "h"), "open-buckets")
+        return stored(classed.join(split, "h"), "open-buckets")
+
+    for _ in range(ROUNDS):
+        open_ = still_open()
         heads = open_.groupBy("h", "root").agg(F.max(F.struct("degree", F.col("key").alias("leader"), "size")).alias("x")).select(
             "h", "root", "x.leader", "x.size", F.col("x.degree").alias("top"))
         chosen = heads.withColumn("_rank", F.row_number().over(Window.partitionBy("h").orderBy(F.desc("top"), "leader"))).filter(
@@ -122,6 +165,18 @@ def links(texts: DataFrame) -> DataFrame:
         tried = tried.union(fresh)
         found = found.union(stored(compared(fresh, texts), "links"))
         free_shuffles(spark)
+    else:
+        open_ = still_open()
+    if open_.isEmpty():
+        return found
+    keys = stored(open_.select("key").distinct(), "open-keys")
+    sketches = stored(sketched(texts.join(keys, "key", "left_semi").dropDuplicates(["key"])), "sketches")
+    free_shuffles(spark)
+    last = stored(last_pairs(open_, sketches).join(tried, ["a", "b"], "left_anti"), "candidates")
+    free_shuffles(spark)
+    if not last.isEmpty():
+        found = found.union(stored(compared(last, texts), "links"))
+        free_shuffles(spark)
     return found
 
 

@@ -1,5 +1,7 @@
 """Operators against brute force on small tables with nulls, empty texts, ties and repeated rows."""
 
+import itertools
+import random
 import re
 
 import pytest
@@ -40,6 +42,42 @@ def test_near_duplicates(docs):
     assert near_duplicates.keep_one(docs).count() == 4
 
 
+def brute_force_classes(texts):
+    """Smallest position of every text's class: components of all pairs with a Jaccard similarity of 0.8 or more."""
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        shared = len(sets[i] & sets[j])
+        if root[i] != root[j] and 5 * shared >= 4 * (len(sets[i]) + len(sets[j]) - shared):
+            low, high = sorted((root[i], root[j]))
+            root = [low if r == high else r for r in root]
+    return root
+
+
+def family(pairs, seed=1):
+    """Texts of one template, two and two with more in common: similar about 0.82 to each other, 0.74 to the rest."""
+    rng = random.Random(seed)
+    texts = []
+    for p in range(pairs):
+        spots = rng.sample(range(80), 10)
+        for twin in range(2):
+            words = [f"t{i}" for i in range(400)]
+            for spot in spots[:2]:
+                words[5 * spot] = f"p{p}-{spot}"
+            for spot in spots[2 + 4 * twin:6 + 4 * twin]:
+                words[5 * spot] = f"x{p}-{twin}-{spot}"
+            texts.append(" ".join(words))
+    return texts
+
+
+def test_near_duplicates_of_a_large_family_equal_brute_force(spark):
+    texts = family(150)
+    found = near_duplicates.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = brute_force_classes(texts)
+    assert len(set(want)) > 100
+    assert {r["id"]: r["class_id"] for r in found} == dict(enumerate(want))
+
+
 def test_bpe_round_trip(docs):
     from tokenizers import Tokenizer
 
