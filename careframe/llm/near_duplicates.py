@@ -139,16 +139,17 @@ def links(texts: DataFrame) -> DataFrame:
     found = stored(compared(tried, texts), "links")
     free_shuffles(spark)
 
-    def still_open() -> DataFrame:
-        """Rows of the large buckets that hold several classes of ``found``."""
+    def still_open(rows: DataFrame) -> DataFrame:
+        """Those of ``rows`` whose bucket holds several classes of ``found``; a bucket of one class stays so."""
         roots = components(found)
-        classed = busy.join(roots, busy["key"] == roots["member"], "left").select(
+        classed = rows.select("h", "key", "size", "degree").join(roots, rows["key"] == roots["member"], "left").select(
             "h", "key", "size", "degree", F.coalesce("root", "key").alias("root"))
         split = classed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("h")
         return stored(classed.join(split, "h"), "open-buckets")
 
+    open_ = busy
     for _ in range(ROUNDS):
-        open_ = still_open()
+        open_ = still_open(open_)
         heads = open_.groupBy("h", "root").agg(F.max(F.struct("degree", F.col("key").alias("leader"), "size")).alias("x")).select(
             "h", "root", "x.leader", "x.size", F.col("x.degree").alias("top"))
         chosen = heads.withColumn("_rank", F.row_number().over(Window.partitionBy("h").orderBy(F.desc("top"), "leader"))).filter(
@@ -166,11 +167,12 @@ def links(texts: DataFrame) -> DataFrame:
         found = found.union(stored(compared(fresh, texts), "links"))
         free_shuffles(spark)
     else:
-        open_ = still_open()
+        open_ = still_open(open_)
     if open_.isEmpty():
         return found
     keys = stored(open_.select("key").distinct(), "open-keys")
-    sketches = stored(sketched(texts.join(keys, "key", "left_semi").dropDuplicates(["key"])), "sketches")
+    # All texts are sketched, as the sketches are much smaller to shuffle than the texts.
+    sketches = stored(sketched(texts).join(keys, "key", "left_semi").dropDuplicates(["key"]), "sketches")
     free_shuffles(spark)
     last = stored(last_pairs(open_, sketches).join(tried, ["a", "b"], "left_anti"), "candidates")
     free_shuffles(spark)
