@@ -15,7 +15,7 @@ from careframe.plans.adapters import (
 from careframe.plans.ingest import merge_checked
 from careframe.session import work_folder
 from careframe.sources.patient_csv import check_rows, ingest_stats, split_rows
-from careframe.streaming.audit_stream import append_audit, audit_stream, daily_actions
+from careframe.streaming.audit_stream import append_audit, audit_stream, daily_actions, open_days
 
 # Counties of the test data that get coordinates of their own.
 COORDINATES = {"NATION_0": (-1.25, 36.75), "NATION_7": (-4.0, 39.5), "nation_8": (1.0, 1.0)}
@@ -189,7 +189,10 @@ def _streamed_days(s, f):
     days = daily_actions(_request_stream(s, f), "1 hour")
     days.writeStream.format("parquet").outputMode("append").option("path", f"{root}/rows").option(
         "checkpointLocation", f"{root}/progress").trigger(availableNow=True).start().awaitTermination()
-    return s.read.parquet(f"{root}/rows").withColumn("day", F.col("day").cast("string"))
+    written = s.read.schema(days.schema).parquet(f"{root}/rows")
+    # The log is used up: days the watermark has not passed are whole as well.
+    rest = open_days(audit_stream(requests(s, f)), written)
+    return written.unionByName(rest).withColumn("day", F.col("day").cast("string"))
 
 
 CASES = {

@@ -32,3 +32,9 @@ def daily_actions(audit: DataFrame, lateness: str = "1 day") -> DataFrame:
     counts = (audit.withWatermark("created_at", lateness)
               .groupBy(F.window("created_at", "1 day"), "action").agg(F.count("*").alias("n")))
     return counts.select(F.to_date("window.start").alias("day"), "action", "n")
+
+
+def open_days(audit: DataFrame, written: DataFrame) -> DataFrame:
+    """Counts of the days of a finished log (a batch) of which the stream has ``written`` nothing: its watermark never passed them."""
+    counts = audit.groupBy(F.to_date("created_at").alias("day"), "action").agg(F.count("*").alias("n"))
+    return counts.join(written.select("day").distinct(), "day", "left_anti")

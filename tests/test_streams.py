@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from careframe.operators.audit import audit_from_requests
 from careframe.plans import adapters
+from careframe.plans.cases_places import CASES
 from careframe.plans.ingest import merge_checked
 from careframe.sources import patient_csv as pc
 from careframe.streaming import audit_stream as au, landing
@@ -54,6 +55,13 @@ def test_daily_actions_equal_batch_for_closed_days(spark, tmp_path):
     assert len(closed) > 100 and {k: v for k, v in got.items() if k[0] <= last - dt.timedelta(days=2)} == closed
 
 
+def test_daily_action_stream_has_every_day(spark):
+    got = {(r["day"], r["action"]): r["n"] for r in CASES["daily_action_stream"][0](spark, FOLDER).collect()}
+    batch = audit_from_requests(adapters.requests(spark, FOLDER)).groupBy(F.to_date("created_at").cast("string").alias("day"), "action").agg(
+        F.count("*").alias("n"))
+    assert got == {(r["day"], r["action"]): r["n"] for r in batch.collect()}
+
+
 def test_landing_folder_equals_batch_upserts(spark, tmp_path):
     root, stats, folder = str(tmp_path / "table"), str(tmp_path / "stats"), tmp_path / "in"
     folder.mkdir()
