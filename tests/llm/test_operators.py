@@ -1,13 +1,18 @@
 """Operators against brute force on small tables with nulls, empty texts, ties and repeated rows."""
 
+import hashlib
 import itertools
 import random
 import re
+import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from careframe.llm import bpe, language_model, lines, mixing, near_duplicates, secrets, substrings, vectors
+import corpus_pipeline
+from careframe.llm import bpe, classifier, language_model, lines, mixing, near_duplicates, secrets, substrings, vectors
 from careframe.llm.queries import tokenizer_path
 from careframe.session import work_folder
 
@@ -78,6 +83,76 @@ def test_near_duplicates_of_a_large_family_equal_brute_force(spark):
     assert {r["id"]: r["class_id"] for r in found} == dict(enumerate(want))
 
 
+def brute_force_votes(texts, labels):
+    """Score of every text: the vote of the labelled ones nearest to it in the space they span."""
+    def counts(text):
+        data, row = text.encode(), np.zeros(classifier.FEATURES)
+        for x, y in zip(data, data[1:]):
+            row[((x * 256 + y) * 0x9E3779B97F4A7C15 % (1 << 64)) >> 53] += 1
+        return np.log1p(row)
+
+    known = [i for i in sorted(labels) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert len(known) <= classifier.LATENT
+    sample = np.array([counts(texts[i]) for i in known])
+    rarity = np.log((len(known) + 1) / ((sample > 0).sum(0) + 1)) + 0.1
+    weighted = [x / np.linalg.norm(x) for x in sample * rarity]
+    _, values, axes = np.linalg.svd(weighted, full_matrices=False)
+    axes = axes[values > 1e-9]
+
+    def point(x):
+        return axes @ x / np.linalg.norm(axes @ x)
+
+    scores = {}
+    for i, text in texts.items():
+        x = point(counts(text) * rarity)
+        near = sorted(((max(0, x @ point(y)), labels[k]) for y, k in zip(weighted, known)), reverse=True)[:classifier.NEIGHBOURS]
+        scores[i] = sum(c ** classifier.POWER * label for c, label in near) / sum(c ** classifier.POWER for c, _ in near)
+    return scores
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    """A folder of a template family and noise, some of it labelled; its texts and labels."""
+    rng = random.Random(3)
+    texts = dict(enumerate(family(150)))
+    for i in range(300, 340):
+        texts[i] = " ".join("".join(rng.choice("#$%&*@!") for _ in range(6)) for _ in range(30))
+    labels = {i: int(i < 300) for i in (*range(20), *range(300, 320))}
+    root = work_folder(spark, "corpus")
+    spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in texts.items()],
+                          "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{root}/documents.parquet")
+    spark.createDataFrame([(i, q, 0) for i, q in labels.items()], "doc_id long, quality long, toxic long").write.parquet(f"{root}/labels.parquet")
+    return root, texts, labels
+
+
+def test_classifier_equals_brute_force(spark, corpus):
+    root, texts, labels = corpus
+    docs = spark.read.parquet(f"{root}/documents.parquet")
+    rows = classifier.score(docs, classifier.fit(docs, spark.read.parquet(f"{root}/labels.parquet"))).collect()
+    want = brute_force_votes(texts, labels)
+    assert len(rows) == len(want) and min(want.values()) < 0.3 < 0.9 < max(want.values())
+    assert all(abs(r["score"] - want[r["doc_id"]]) < 1e-3 for r in rows)
+
+
+def test_pipeline_equals_brute_force(spark, corpus):
+    from tokenizers import Tokenizer
+
+    root, texts, labels = corpus
+    good = sorted(i for i, x in brute_force_votes(texts, labels).items() if x >= classifier.THRESHOLD)
+    first = {good[k] for k in brute_force_classes([texts[i] for i in good])}  # the family has one line a text: none repeats three
+    kept = spark.createDataFrame([(i, texts[i], "en", "web", len(texts[i])) for i in first],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    copies = Counter(r["doc_id"] for r in mixing.mix(kept).collect())
+    assert len(good) == 300 and 100 < len(first) < 300
+    rows = corpus_pipeline.run(spark, root).collect()
+    assert Counter(r["doc_id"] for r in rows) == copies
+    known = Tokenizer.from_file(tokenizer_path())
+    for r in rows:
+        text = texts[r["doc_id"]]
+        assert r["ids"] == known.encode(text, add_special_tokens=False).ids and r["n_tokens"] == len(r["ids"])
+        assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_bpe_round_trip(docs):
     from tokenizers import Tokenizer
 
