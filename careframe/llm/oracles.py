@@ -120,4 +120,48 @@ from blob left join per using (rid)
 """
 
 
-ORACLES = {"op1_mix": OP1, "op2_quality_rules": OP2, "op4_secret_scan": _op4()}
+def _crc32(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, bit by bit."""
+    octets = f"list_transform(range(1, 2 * octet_length(encode({text})), 2), lambda i: ('0x' || substr(hex(encode({text})), i, 2))::bigint)"
+    bits = "list_reduce(list_prepend(xor(c, b), range(8)), lambda d, k: case when d % 2 = 1 then xor(d >> 1, 3988292384) else d >> 1 end)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {octets}), lambda c, b: {bits}), 4294967295)"
+
+
+_CAPITALS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+OP11 = f"""
+with docs as (
+  select row_number() over () as rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), {_CAPITALS}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+items as (
+  select regexp_extract_all(translate(coalesce(text, ''), {_CAPITALS}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark),
+seen as (select rid, unnest(w) as word from docs),
+aimed as (select unnest(w) as word from items),
+vocabulary as (
+  select word, (crc % 10000)::bigint as bucket from (
+    select word, {_crc32("word")} as crc from (select word from seen union select word from aimed))),
+s as (select bucket, count(*) as n from seen join vocabulary using (word) group by bucket),
+t as (select bucket, count(*) as n from aimed join vocabulary using (word) group by bucket),
+gains as (
+  select b.bucket, floor(1000.0::double * ln(((coalesce(t.n, 0) + 1)::double * ((select count(*) from seen) + 10000)::double)
+    / ((coalesce(s.n, 0) + 1)::double * ((select count(*) from aimed) + 10000)::double)))::bigint as gain
+  from (select unnest(range(10000)) as bucket) b left join s using (bucket) left join t using (bucket)),
+weights as (
+  select rid, sum(gain)::bigint as total from seen join vocabulary using (word) join gains using (bucket) group by rid),
+scored as (
+  select doc_id, len(w)::bigint as n_features,
+    coalesce(total // len(w) - (case when total % len(w) < 0 then 1 else 0 end), 0)::bigint as weight,
+    ('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint as h
+  from docs left join weights using (rid)),
+noisy as (
+  select doc_id, n_features, weight, (weight + floor(-1000.0::double * ln(-ln((h + 0.5::double) / 4294967296.0::double))))::bigint as score
+  from scored),
+placed as (
+  select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id asc nulls last, n_features, weight) as place from noisy)
+select doc_id, n_features, weight, score,
+  case when n_features >= 20 and place <= 10 * (select count(*) from noisy where n_features >= 20) // 100 then place end::bigint as rank
+from placed
+"""
+
+
+ORACLES = {"op1_mix": OP1, "op2_quality_rules": OP2, "op4_secret_scan": _op4(), "op11_importance_resampling": OP11}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from careframe.llm import bpe, classifier, language_model, lines, mixing, near_duplicates, quality_rules, secrets, substrings, vectors
+from careframe.llm import bpe, classifier, language_model, lines, mixing, near_duplicates, quality_rules, resampling, secrets, substrings, vectors
 from careframe.session import work_folder
 
 
@@ -89,6 +89,11 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    found = resampling.score_and_draw(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_quality_rules": op2_quality_rules,
@@ -100,4 +105,5 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_vector_search": op9_vector_search,
     "op10_bpe": op10_bpe,
+    "op11_importance_resampling": op11_importance_resampling,
 }
