@@ -163,5 +163,19 @@ select doc_id, n_features, weight, score,
 from placed
 """
 
+_BASE32 = "concat(" + ", ".join(
+    "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(sha, %d, 5))::int >> %d) & 31) + 1, 1)" % (5 * i + 1, shift)
+    for i in range(8) for shift in (15, 10, 5, 0)) + ")"
 
-ORACLES = {"op1_mix": OP1, "op2_quality_rules": OP2, "op4_secret_scan": _op4(), "op11_importance_resampling": OP11}
+OP13 = f"""
+with paid as (select page_id, coalesce(html, '') as payload, sha1(coalesce(html, '')) as sha from pages),
+groups as (select payload, max(page_id) as first from paid group by payload)
+select page_id, octet_length(encode(payload))::bigint as payload_bytes, {_BASE32} as payload_digest,
+  case when page_id is distinct from first then 'revisit' else 'response' end as record_type,
+  case when page_id is distinct from first then first end as refers_to
+from paid join groups using (payload)
+"""
+
+
+ORACLES = {"op1_mix": OP1, "op2_quality_rules": OP2, "op4_secret_scan": _op4(), "op11_importance_resampling": OP11,
+           "op13_warc": OP13}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from careframe.llm import bpe, classifier, language_model, lines, mixing, near_duplicates, quality_rules, resampling, secrets, substrings, vectors
+from careframe.llm import bpe, classifier, language_model, lines, mixing, near_duplicates, quality_rules, resampling, secrets, substrings, vectors, warc
 from careframe.session import work_folder
 
 
@@ -94,6 +94,14 @@ def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
 
 
+def op13_warc(spark: SparkSession, folder: str) -> DataFrame:
+    place = work_folder(spark, "warc")
+    warc.write_archives(table(spark, folder, "pages"), place)
+    facts = warc.resolve(warc.read_archives(spark, place))
+    return facts.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                        F.col("refers_to").cast("long").alias("refers_to"))
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_quality_rules": op2_quality_rules,
@@ -106,4 +114,5 @@ QUERIES = {
     "op9_vector_search": op9_vector_search,
     "op10_bpe": op10_bpe,
     "op11_importance_resampling": op11_importance_resampling,
+    "op13_warc": op13_warc,
 }
