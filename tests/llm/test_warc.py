@@ -55,9 +55,8 @@ def test_archives_equal_their_rows(spark, pages, split, files):
         records = warc.read_archives(spark, place)
         assert records.columns == [c.split()[0] for c in warc.RECORD.split(", ")]
         rows = records.collect()
-        facts = warc.resolve(warc.read_archives(spark, place))
-        assert sorted(map(tuple, facts.drop("intact").collect()), key=str) == expected(pages)
-        assert facts.filter("not intact").count() == 0
+        facts = warc.resolve(records)
+        assert sorted((tuple(r) for r in facts.collect()), key=str) == sorted((w + (True,) for w in expected(pages)), key=str)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert sorted(r["payload"].decode() for r in rows if r["record_type"] == "response" and r["record_id"] != "<urn:none>") == sorted(
@@ -95,15 +94,16 @@ def test_small_payloads_stay_responses(spark):
     assert got == {"1": "response", "2": "response", "3": "revisit", "4": "response"}
 
 
-@pytest.mark.parametrize("cut", [1, 300])
-def test_a_truncated_archive_is_refused(spark, tmp_path, cut):
+@pytest.mark.parametrize("cut,left", [(1, 4), (300, 3)])
+def test_a_truncated_archive_is_refused(spark, tmp_path, cut, left):
+    """A last record that lacks only the end of its closing line breaks has its whole payload."""
     place = work_folder(spark, "warc")
     warc.write_archives(spark.createDataFrame([(i, "u", f"text {i}") for i in range(4)], "page_id long, url string, html string").coalesce(1), place)
     text = next(r[0] for r in spark.read.text(place, wholetext=True).collect())
     (tmp_path / "a.warc").write_bytes(text.encode()[:-cut])
     with pytest.raises(ValueError, match="do not add up"):
         warc.read_archives(spark, str(tmp_path))
-    assert warc.read_archives(spark, str(tmp_path), strict=False).count() == 3
+    assert warc.read_archives(spark, str(tmp_path), strict=False).count() == left
 
 
 def test_records_of_other_writers(spark, tmp_path):
