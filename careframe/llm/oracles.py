@@ -163,6 +163,35 @@ select doc_id, n_features, weight, score,
 from placed
 """
 
+OP12 = f"""
+with recursive runs as (
+  select doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')), {_CAPITALS}) as run from documents),
+checked as (select run, {_crc32("coalesce(doc_id::varchar, '') || ':' || run")} as h from runs where length(run) >= 5),
+words as materialized (
+  select word, count(*)::bigint as n from (
+    select case when h % 97 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word from checked)
+  where length(word) >= 5 group by word having count(*) >= 3),
+holes as materialized (
+  select word, length(word) as size, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest
+  from (select word, unnest(range(1, length(word) + 1)) as i from words)),
+near as materialized (
+  select a.word, b.word as near from holes a join holes b on a.rest = b.rest and a.i = b.i and a.word <> b.word and a.size = b.size
+  union select h.word, w.word from holes h join words w on h.rest = w.word
+  union select w.word, h.word from holes h join words w on h.rest = w.word),
+best as (
+  select near.word, count(*)::bigint as n_near, first(near.near order by b.n desc, near.near) as form, max(b.n) as form_n
+  from near join words b on b.word = near.near group by near.word),
+formed as materialized (
+  select w.word, w.n, coalesce(n_near, 0)::bigint as n_near, case when form_n >= 2 * w.n then form end as form,
+    case when form_n >= 2 * w.n then form_n end as form_n
+  from words w left join best on best.word = w.word),
+chain as (
+  select word, word as at from formed
+  union all select c.word, f.form from chain c join formed f on f.word = c.at where f.form is not null),
+roots as (select c.word, c.at as root from chain c join formed f on f.word = c.at where f.form is null)
+select word, form, root, n, n_near, form_n from formed join roots using (word)
+"""
+
 _BASE32 = "concat(" + ", ".join(
     "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(sha, %d, 5))::int >> %d) & 31) + 1, 1)" % (5 * i + 1, shift)
     for i in range(8) for shift in (15, 10, 5, 0)) + ")"
@@ -178,4 +207,4 @@ from paid join groups using (payload)
 
 
 ORACLES = {"op1_mix": OP1, "op2_quality_rules": OP2, "op4_secret_scan": _op4(), "op11_importance_resampling": OP11,
-           "op13_warc": OP13}
+           "op12_spelling_variants": OP12, "op13_warc": OP13}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from careframe.llm import bpe, classifier, language_model, lines, mixing, near_duplicates, quality_rules, resampling, secrets, substrings, vectors, warc
+from careframe.llm import bpe, classifier, language_model, lines, mixing, near_duplicates, quality_rules, resampling, secrets, spelling, substrings, vectors, warc
 from careframe.session import work_folder
 
 
@@ -94,6 +94,10 @@ def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
 
 
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"), alter_every=97)
+
+
 def op13_warc(spark: SparkSession, folder: str) -> DataFrame:
     place = work_folder(spark, "warc")
     warc.write_archives(table(spark, folder, "pages"), place)
@@ -114,5 +118,6 @@ QUERIES = {
     "op9_vector_search": op9_vector_search,
     "op10_bpe": op10_bpe,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_warc": op13_warc,
 }
