@@ -49,6 +49,16 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
+def pinned_session(spark: SparkSession) -> SparkSession:
+    """A session like ``spark`` whose file splits do not depend on how many cores there are just now."""
+    own = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(name):
+            own.conf.set(name, value)
+    own.conf.set("spark.sql.files.minPartitionNum", "1")
+    return own
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of ``df`` in the shared folder."""
     context = df.sparkSession.sparkContext

@@ -6,6 +6,8 @@ import csv
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from careframe.sources.record_splits import read_records
+
 CORRUPT = "_corrupt_record"
 ROW = "row_no"
 # Where a row was read: file (newest last), split of the file, and order inside the split.
@@ -26,6 +28,8 @@ COLUMN_DEFAULTS = {
 KEY = "patient_id"
 AUTO_PREFIX = "AUTO_"
 MAX_LOGGED_ERRORS = 50
+# Different headers that the files of one read may have.
+MAX_LAYOUTS = 1000
 
 # Accepted spellings of a date of birth (there is no year 0).
 DASHED_DATE = r"^(?!0000)\d{4}-\d{1,2}-\d{1,2}$"
@@ -43,9 +47,12 @@ def file_heads(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def names_in(head: str) -> list[str]:
-    """Column names of a header line; empty and repeated ones are told apart by their place."""
+    """Column names of a header line.  A mapped column is known whatever its case and the blanks around it; other names stay as
+    they are; empty and repeated ones are told apart by their place."""
     names: list[str] = []
+    mapped = {name.lower(): name for name in (KEY, *COLUMN_DEFAULTS)}
     for i, name in enumerate(next(csv.reader([head]))):
+        name = mapped.get(name.strip().lower(), name)
         again = name.lower() in (n.lower() for n in names)
         names.append(f"_c{i}" if not name else f"{name}{i}" if again else name)
     return names
@@ -106,24 +113,49 @@ def number_rows(some: DataFrame, placed: DataFrame | None = None) -> DataFrame:
     return numbered.withColumn(ROW, number).drop("_before", "_first")
 
 
+def _different_heads(heads: DataFrame) -> list[str]:
+    """The different first lines, in order; more than ``MAX_LAYOUTS`` are refused, since data lines are no headers."""
+    found = heads.groupBy("head").agg(F.min(SOURCE_FILE).alias("one")).limit(MAX_LAYOUTS + 1).collect()
+    if len(found) > MAX_LAYOUTS:
+        raise ValueError(f"over {MAX_LAYOUTS} different headers, such as those of {found[0]['one']} and {found[1]['one']}; give names")
+    return sorted(r["head"] for r in found)
+
+
 def read_patient_csv(
-    spark: SparkSession, path: str | list[str], multi_line: bool = True, names: list[str] | None = None,
+    spark: SparkSession, path: str | list[str], multi_line: bool = True, names: list[str] | None = None, whole_files: bool = False,
 ) -> DataFrame:
     """Header-named text columns and the place of each row.
 
     Each file is read by its own header, unless ``names`` gives the columns of all.  Where files have different
-    columns, a mapped column that a file lacks takes its default there, and any other is null.  Blank lines are
-    skipped and surplus fields ignored.  Line breaks inside quotes are part of the field, at the price of one task per
-    file; ``multi_line=False`` splits large files that have none.  Without ``names`` a job finds the different headers.
+    columns, a mapped column that a file lacks takes its default there, and any other is null; names that differ only in
+    case are one column, spelled as in the first header.  Blank lines are skipped and surplus fields ignored.  Line breaks inside
+    quotes are part of the field; files are split all the same (``record_splits``, a job), or with ``whole_files`` read by Spark's
+    own parser, one task per file.  ``multi_line=False`` takes every line for a record.  Without ``names`` a job
+    finds the different headers.
     """
     heads = None if names else file_heads(spark, path)
-    known = [] if names else sorted(r["head"] for r in heads.select("head").distinct().collect())
+    known = [] if names else _different_heads(heads)
     layouts = [names] if names else [names_in(head) for head in known] or [[]]
     slots = layouts[0] if len(layouts) == 1 else [f"_slot{i}" for i in range(max(map(len, layouts)))]
-    raw = (spark.read.schema(csv_schema(slots)).option("header", True).option("multiLine", multi_line)
-           .option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path))
+    options = {"multiLine": str(multi_line).lower(), "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    if multi_line and not whole_files and slots:
+        records = read_records(spark, path)
+        schema = csv_schema(slots)
+        fields = F.from_csv("record", ", ".join(f"`{n.replace('`', '``')}` string" for n in schema.names), options)
+        raw = records.select(*PLACE[:-1], fields.alias("_fields")).select(
+            *PLACE[:-1], *[F.col("_fields").getField(n).alias(n) for n in schema.names])
+    else:
+        raw = place_rows(spark.read.schema(csv_schema(slots)).option("header", True).options(**options).csv(path))
     shaped = shape_csv(raw, slots)
-    return shaped if len(layouts) == 1 else _by_layout(shaped, heads, known, layouts, slots)
+    if len(layouts) == 1:
+        return shaped
+    return _by_layout(shaped, heads, known, _one_spelling(layouts), slots)
+
+
+def _one_spelling(layouts: list[list[str]]) -> list[list[str]]:
+    """Names that differ only in case, spelled as where they come first."""
+    first: dict[str, str] = {}
+    return [[first.setdefault(name.lower(), name) for name in names] for names in layouts]
 
 
 def _by_layout(shaped: DataFrame, heads: DataFrame, known: list[str], layouts: list[list[str]], slots: list[str]) -> DataFrame:
@@ -149,8 +181,8 @@ def _by_layout(shaped: DataFrame, heads: DataFrame, known: list[str], layouts: l
 
 
 def shape_csv(raw: DataFrame, names: list[str]) -> DataFrame:
-    """Placed rows; empty fields as ``''``, truly missing ones as null."""
-    marked = _with_missing(place_rows(raw), names)
+    """Placed rows with empty fields as ``''``, truly missing ones as null."""
+    marked = _with_missing(raw, names)
     filled = [
         F.when(~F.array_contains("_missing", n), F.coalesce(F.col(n), F.lit(""))).alias(n) for n in names]
     return marked.select(*PLACE[:-1], *filled)
