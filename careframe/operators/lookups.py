@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from careframe.functions.features import feature_exprs
@@ -50,6 +52,10 @@ def page(df: DataFrame, order_col: str, limit: int = 50, offset: int = 0, tie: s
     """
     if offset > direct and (_is_time(df, order_col) or isinstance(df.schema[order_col].dataType, T.NumericType)):
         rank = F.unix_micros(F.col(order_col).cast("timestamp")) if _is_time(df, order_col) else F.col(order_col)
+        if isinstance(df.schema[order_col].dataType, (T.DoubleType, T.FloatType)):
+            # NaN sorts above infinity; as ties of the largest number both stay before all others.
+            top = sys.float_info.max
+            rank = F.when(F.isnan(rank) | (rank > top), F.lit(top)).when(rank < -top, F.lit(-top)).otherwise(rank.cast("double"))
         ranked = df.withColumn("_at", rank)
         start = kth_value(ranked.select((-F.col("_at")).alias("_at")), "_at", offset)
         if start is None:  # beyond all values: the page lies among the rows that have none

@@ -73,3 +73,13 @@ def test_a_deep_page_is_the_page(spark, kind):
         want = lookups.page(df, "at", 5, offset).collect()
         assert len(want) == 5 and lookups.page(df, "at", 5, offset, direct=0).collect() == want
     assert lookups.newest(df, "at").count() == 100
+
+
+def test_a_deep_page_over_nan_equals_the_shallow_one(rows):
+    nan, inf = float("nan"), float("inf")
+    data = [(i, [float(i % 7), nan, inf, -inf, None][0 if i % 10 < 6 else i % 10 - 5]) for i in range(100)]
+    for kind in ("double", "float"):
+        df = rows(f"id long, x {kind}", *data)
+        for offset in (0, 5, 12, 20, 35, 50, 85, 95, 120):
+            shallow, deep = (lookups.page(df, "x", 7, offset, direct=d).collect() for d in (1000, 1))
+            assert [r["id"] for r in shallow] == [r["id"] for r in deep], (kind, offset)
