@@ -15,7 +15,10 @@ from careframe.plans.adapters import (
 from careframe.plans.ingest import merge_checked
 from careframe.session import work_folder
 from careframe.sources.patient_csv import check_rows, ingest_stats, split_rows
-from careframe.streaming.audit_stream import append_audit, audit_stream, daily_actions, open_days
+from careframe.streaming.audit_stream import append_audit, audit_stream, daily_actions, mark_end, open_marks
+
+# The test log holds nothing from here on.
+LOG_ENDS = "2024-12-31 00:00:00"
 
 # Counties of the test data that get coordinates of their own.
 COORDINATES = {"NATION_0": (-1.25, 36.75), "NATION_7": (-4.0, 39.5), "nation_8": (1.0, 1.0)}
@@ -185,14 +188,18 @@ def _streamed_audit(s, f):
 
 
 def _streamed_days(s, f):
+    """The log until it is used up, then its end mark, through one query that goes on from its own state."""
     root = work_folder(s, "daily-actions")
-    days = daily_actions(_request_stream(s, f), "1 hour")
-    days.writeStream.format("parquet").outputMode("append").option("path", f"{root}/rows").option(
-        "checkpointLocation", f"{root}/progress").trigger(availableNow=True).start().awaitTermination()
-    written = s.read.schema(days.schema).parquet(f"{root}/rows")
-    # The log is used up: days the watermark has not passed are whole as well.
-    rest = open_days(audit_stream(requests(s, f)), written)
-    return written.unionByName(rest).withColumn("day", F.col("day").cast("string"))
+    days = daily_actions(_request_stream(s, f), "1 hour", open_marks(s, f"{root}/marks"))
+
+    def go_on():
+        days.writeStream.format("parquet").outputMode("append").option("path", f"{root}/rows").option(
+            "checkpointLocation", f"{root}/progress").trigger(availableNow=True).start().awaitTermination()
+
+    go_on()
+    mark_end(s, f"{root}/marks", LOG_ENDS)
+    go_on()
+    return s.read.schema(days.schema).parquet(f"{root}/rows").withColumn("day", F.col("day").cast("string"))
 
 
 CASES = {
@@ -312,11 +319,9 @@ from patients q full outer join last u on u.patient_id = q.patient_id"""),
     "audit_stream": (
         _streamed_audit, sql("requests", REQUEST_AUDIT_SQL.replace(
             "cast(ts as varchar)", "strftime(ts, '%Y-%m-%d %H:%M:%S.%f')"))),
-    # Days are final, and so written, once the watermark has passed their end.
     "daily_action_stream": (
         _streamed_days,
         sql("requests", f"""
-select cast(cast(ts as date) as varchar) as day, {ACTION} as action, count(*) as n from requests where {AUDITED}
-and cast(ts as date) + interval 1 day <= (select max(ts) - interval 1 hour from requests where {AUDITED}) group by 1, 2"""),
+select cast(cast(ts as date) as varchar) as day, {ACTION} as action, count(*) as n from requests where {AUDITED} group by 1, 2"""),
     ),
 }

@@ -111,3 +111,26 @@ def test_landing_takes_each_file_by_its_header_and_refuses_other_encodings(spark
     assert got == {"P1": "Old", "P9": "Other", "P7": "Two\nlines", "P8": "Eight"}
     jobs = {r["source_file"][-5:]: (r["total"], r["status"]) for r in spark.read.parquet(f"{stats}/jobs").collect()}
     assert jobs == {"a.csv": (1, "completed"), "b.csv": (1, "completed"), "c.csv": (0, "failed")}
+
+
+def test_an_end_mark_closes_the_days_before_it_and_only_those(spark, tmp_path):
+    rows = str(tmp_path / "rows")
+    spark.createDataFrame([("2024-01-01 10:00:00", "read"), ("2024-01-01 23:59:59", "read"), ("2024-01-02 01:00:00", "create"),
+                           ("2024-01-03 05:00:00", "read")], "created_at string, action string").select(
+        F.col("created_at").cast("timestamp"), "action").write.parquet(rows)
+    audit = spark.readStream.schema("created_at timestamp, action string").parquet(rows)
+    days = au.daily_actions(audit, "2 hours", au.open_marks(spark, str(tmp_path / "marks")))
+
+    def written():
+        days.writeStream.format("parquet").outputMode("append").option("path", str(tmp_path / "out")).option(
+            "checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+        got = spark.read.schema(days.schema).parquet(str(tmp_path / "out")).collect()
+        return sorted((str(r["day"]), r["action"], r["n"]) for r in got)
+
+    closed = [("2024-01-01", "read", 2), ("2024-01-02", "create", 1)]
+    assert written() == closed  # the last row closes the days before its own
+    au.mark_end(spark, str(tmp_path / "marks"), "2024-01-04 01:59:59")
+    assert written() == closed  # within the lateness of the third day
+    au.mark_end(spark, str(tmp_path / "marks"), "2024-01-04 02:00:00")
+    assert written() == [*closed, ("2024-01-03", "read", 1)]
+    assert written() == [*closed, ("2024-01-03", "read", 1)]
