@@ -5,37 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from careframe.plans.ingest import NOT_UTF8, merge_checked
+from careframe.operators import bucketed
+from careframe.plans.ingest import NOT_UTF8
 from careframe.sources.patient_csv import (
-    SOURCE_FILE, check_rows, failed_stats, file_stats, read_patient_csv, undecodable_files,
+    COLUMN_DEFAULTS, KEY, SOURCE_FILE, check_rows, failed_stats, file_stats, place_of, read_patient_csv, split_rows,
+    undecodable_files,
 )
 
 FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
-def version_path(root: str, version: int) -> str:
-    return f"{root}/version={version:012d}"
-
-
-def versions(spark: SparkSession, root: str) -> list[int]:
-    """Completed versions of the table, oldest first."""
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(root)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(folder):
-        return []
-    done = jvm.org.apache.hadoop.fs.Path
-    names = [s.getPath().getName() for s in files.listStatus(folder) if s.isDirectory()]
-    found = [n for n in names if n.startswith("version=") and files.exists(done(f"{root}/{n}/_SUCCESS"))]
-    return sorted(int(n.split("=")[1]) for n in found)
-
-
-def read_version(spark: SparkSession, root: str, below: int | None = None) -> DataFrame:
-    """Newest completed version, or the newest one under ``below``."""
-    known = [v for v in versions(spark, root) if below is None or v < below]
-    return spark.read.parquet(version_path(root, known[-1]))
-
-
 def landing_stream(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
     """Paths of files as they land; their content is not read here."""
     return (spark.readStream.format("binaryFile").schema(FILE).option("maxFilesPerTrigger", max_files)
@@ -46,13 +25,12 @@ def start_landing(
     spark: SparkSession, folder: str, names: list[str] | None, table_root: str, stats_root: str, checkpoint: str, as_of,
     max_files: int = 1000,
 ) -> StreamingQuery:
-    """Upsert each batch of files into the next version of the patient table.
+    """Upsert each batch of files into the bucketed patient table at ``table_root`` (``operators.bucketed``).
 
     Files are read as ``read_patient_csv`` reads them: each by its own header, unless ``names`` gives one for all.
-    One that is no UTF-8 fails as a whole and changes nothing.  Statistics have a row per file.
-    Version ``n + 1`` is made from the newest version up to ``n``, so a batch
-    that is run again after a failure writes the same result once more.  The
-    table must hold a version 0 to start from.  All versions stay.
+    One that is no UTF-8 fails as a whole and changes nothing.  Statistics have a row per file.  Only the buckets that a
+    batch touches are rewritten.  A batch that is run again after a failure finds its checked rows and its journal below
+    ``stats_root`` and ends in the same table.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
@@ -68,8 +46,9 @@ def start_landing(
             failed = failed_stats(spark, NOT_UTF8).withColumn(SOURCE_FILE, F.explode(F.lit(broken)))
             jobs = jobs.unionByName(failed)
         jobs.write.mode("overwrite").parquet(f"{stats_root}/jobs/batch={batch_id}")
-        current = read_version(spark, table_root, below=batch_id + 1)
-        merge_checked(current, checked, as_of).write.mode("overwrite").parquet(version_path(table_root, batch_id + 1))
+        valid, _ = split_rows(checked)
+        placed = valid.withColumn("_place", place_of(valid))
+        bucketed.upsert_buckets(spark, table_root, placed, KEY, "_place", list(COLUMN_DEFAULTS), as_of, f"{stats_root}/journal/batch={batch_id}")
 
     return (landing_stream(spark, folder, max_files).writeStream.foreachBatch(merge)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

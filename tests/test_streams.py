@@ -5,6 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from careframe.operators import bucketed
 from careframe.operators.audit import audit_from_requests
 from careframe.plans import adapters
 from careframe.plans.cases_places import CASES
@@ -62,11 +63,16 @@ def test_daily_action_stream_has_every_day(spark):
     assert got == {(r["day"], r["action"]): r["n"] for r in batch.collect()}
 
 
+def table_files(root):
+    """Data files by bucket."""
+    return {d: sorted(n for n in os.listdir(f"{root}/{d}") if n.endswith(".parquet")) for d in os.listdir(root) if d.startswith("bucket_of_")}
+
+
 def test_landing_folder_equals_batch_upserts(spark, tmp_path):
     root, stats, folder = str(tmp_path / "table"), str(tmp_path / "stats"), tmp_path / "in"
     folder.mkdir()
     start = patients_now(spark)
-    start.write.parquet(landing.version_path(root, 0))
+    bucketed.create(start, root, "patient_id", 8)
     names = HEADER.split(",")
     files = [["P1,One,b,2000-01-01,M,,,,", "P2,Two,b,2000-01-01,F,,,,", "P5,x,b,bad,F,,,,"],
              ["P1,Later,b,2000-01-01,M,,,,", "P3,Three,b,2000-01-01,F,,,,"]]
@@ -76,38 +82,38 @@ def test_landing_folder_equals_batch_upserts(spark, tmp_path):
         path.write_text("\n".join([HEADER, *lines]) + "\n")
         landing.start_landing(spark, str(folder), names, root, stats, str(tmp_path / "ck"), "2024-01-01").awaitTermination()
         expected = merge_checked(expected, pc.check_rows(pc.read_patient_csv(spark, str(path))), "2024-01-01")
-    assert landing.versions(spark, root) == [0, 1, 2]
-    got = landing.read_version(spark, root)
+    got = bucketed.read(spark, root)
     assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
     jobs = spark.read.parquet(f"{stats}/jobs")
     assert sorted((r["total"], r["failed"], r["status"]) for r in jobs.collect()) == [(2, 0, "completed"), (3, 1, "partial")]
-    # Nothing new has landed: no new version appears.
+    # Nothing new has landed: no file is written.
+    files = table_files(root)
     landing.start_landing(spark, str(folder), names, root, stats, str(tmp_path / "ck"), "2024-01-01").awaitTermination()
-    assert landing.versions(spark, root) == [0, 1, 2]
+    assert table_files(root) == files
 
 
 def test_files_of_one_batch_apply_in_order(spark, tmp_path):
     root, folder = str(tmp_path / "table"), tmp_path / "in"
     folder.mkdir()
-    patients_now(spark).write.parquet(landing.version_path(root, 0))
+    bucketed.create(patients_now(spark), root, "patient_id", 8)
     for name, who, age in (("b.csv", "Older", 100), ("a.csv", "Newer", 10)):
         path = folder / name
         path.write_text(f"{HEADER}\nP1,{who},b,2000-01-01,M,,,,\n")
         os.utime(path, (1_700_000_000 - age, 1_700_000_000 - age))
     landing.start_landing(spark, str(folder), HEADER.split(","), root, str(tmp_path / "stats"), str(tmp_path / "ck"),
                           "2024-01-01").awaitTermination()
-    assert landing.read_version(spark, root).filter("patient_id = 'P1'").first()["first_name"] == "Newer"
+    assert bucketed.read(spark, root).filter("patient_id = 'P1'").first()["first_name"] == "Newer"
 
 
 def test_landing_takes_each_file_by_its_header_and_refuses_other_encodings(spark, tmp_path):
     root, stats, folder = str(tmp_path / "table"), str(tmp_path / "stats"), tmp_path / "in"
     folder.mkdir()
-    patients_now(spark).write.parquet(landing.version_path(root, 0))
+    bucketed.create(patients_now(spark), root, "patient_id", 8)
     (folder / "a.csv").write_text('first_name,patient_id\n"Two\nlines",P7\n')
     (folder / "b.csv").write_text("patient_id,first_name\nP8,Eight\n")
     (folder / "c.csv").write_bytes("patient_id,first_name\nP1,Jos\xe9\n".encode("latin-1"))
     landing.start_landing(spark, str(folder), None, root, stats, str(tmp_path / "ck"), "2024-01-01").awaitTermination()
-    got = {r["patient_id"]: r["first_name"] for r in landing.read_version(spark, root).collect()}
+    got = {r["patient_id"]: r["first_name"] for r in bucketed.read(spark, root).collect()}
     assert got == {"P1": "Old", "P9": "Other", "P7": "Two\nlines", "P8": "Eight"}
     jobs = {r["source_file"][-5:]: (r["total"], r["status"]) for r in spark.read.parquet(f"{stats}/jobs").collect()}
     assert jobs == {"a.csv": (1, "completed"), "b.csv": (1, "completed"), "c.csv": (0, "failed")}
