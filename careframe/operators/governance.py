@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from careframe.functions.predicates import as_instant, time_literal
+from careframe.operators.asof import as_of_join
 from careframe.operators.keyed import spread_join
 
 
@@ -49,3 +50,20 @@ def consented(df: DataFrame, consents: DataFrame, consent_type: str, as_of, key:
         & (F.col("expires_at").isNull() | (F.col("expires_at") > now)))
     people = valid.select(F.col("patient_key").alias(key)).distinct()
     return spread_join(df, people, key, "left_semi")
+
+
+def consented_then(
+    df: DataFrame, history: DataFrame, consent_type: str, time_col: str = "created_at", key: str = "patient_key",
+    changed_col: str = "changed_at", order_col: str = "id",
+) -> DataFrame:
+    """Rows whose patient's consent of this type was in force at the time of the row.
+
+    ``history`` has a row per change: granted, withdrawn (``granted`` false) or renewed.  The last change at or before the row
+    counts, and ``expires_at`` is compared with the row's own time.  Rows without a key or a time have no consent.
+    """
+    changes = history.filter(F.col("consent_type") == consent_type)
+    judged = as_of_join(df, changes.select(F.col("patient_key").alias(key), changed_col, order_col, "granted", "expires_at"), key, time_col,
+                        changed_col, order_col, ["granted", "expires_at"], "_consent")
+    ends = F.col("_consent.expires_at")
+    valid = F.coalesce(F.col("_consent.granted"), F.lit(False)) & (ends.isNull() | (ends > F.col(time_col)))
+    return judged.filter(valid).drop("_consent")
