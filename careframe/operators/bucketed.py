@@ -41,12 +41,12 @@ def read(spark: SparkSession, root: str) -> DataFrame:
     return table.drop(name)
 
 
-def rows_of(spark: SparkSession, root: str, key: str, values: list) -> DataFrame:
-    """The rows of some keys; only their buckets are read."""
+def having_keys(spark: SparkSession, root: str, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among ``keys`` (key); only their buckets are read, a number per bucket comes to the driver."""
     table, name, n = _stored(spark, root)
-    some = spark.createDataFrame([(v,) for v in values], f"{key} {table.schema[key].dataType.simpleString()}")
-    hit = [r[0] for r in some.select(bucket(key, n)).distinct().collect()]
-    return table.filter(F.col(name).isin(hit) & F.col(key).isin(values)).drop(name)
+    hit = [r[0] for r in keys.select(bucket("key", n)).distinct().collect()]
+    wanted = keys.select(F.col("key").alias(key)).distinct()
+    return table.filter(F.col(name).isin(hit)).drop(name).join(wanted, key, "left_semi").select(*[c for c in table.columns if c != name])
 
 
 def _complete(spark: SparkSession, journal: str) -> bool:
