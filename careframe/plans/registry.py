@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from careframe.plans import cases_files, cases_patients, cases_places, cases_prepare, cases_reports, cases_scoring
+from careframe.plans import cases_files, cases_kept, cases_patients, cases_places, cases_prepare, cases_reports, cases_scoring
 
-MODULES = (cases_reports, cases_patients, cases_scoring, cases_prepare, cases_places, cases_files)
+MODULES = (cases_reports, cases_patients, cases_scoring, cases_prepare, cases_places, cases_files, cases_kept)
 
 
 def cases() -> dict[str, tuple]:
