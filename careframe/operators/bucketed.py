@@ -1,22 +1,19 @@
 """A keyed table in hash buckets, of which an upsert rewrites only those that its rows touch.
 
 The table is a Parquet folder partitioned by a bucket of the key; the partition column's name tells how many buckets there are, so
-one table cannot be written with two numbers.  An upsert merges the touched buckets (partition pruning reads no others), writes them to
-a journal, and only when that is complete replaces them by dynamic partition overwrite.  A job that dies in between is run
-again with the same journal: it merges anew while the journal is not marked complete, and else replaces the same buckets
-by the same rows.  Files of other buckets are never touched.  Readers should not run while buckets are replaced.
+one table cannot be written with two numbers.  An upsert merges the touched buckets (partition pruning reads no others) and
+replaces them behind a journal (``partitions``).  Files of other buckets are never touched.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from careframe.operators.partitions import replace_partitions
 from careframe.operators.tables import upsert
 
 PREFIX = "bucket_of_"
 BUCKETS = 256
-MARK = "done boolean"
 
 
 def bucket(key: str, n: int) -> Column:
@@ -49,15 +46,6 @@ def having_keys(spark: SparkSession, root: str, keys: DataFrame, key: str) -> Da
     return table.filter(F.col(name).isin(hit)).drop(name).join(wanted, key, "left_semi").select(*[c for c in table.columns if c != name])
 
 
-def _complete(spark: SparkSession, journal: str) -> bool:
-    try:
-        return spark.read.schema(MARK).parquet(f"{journal}/complete").limit(1).count() == 1
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" in str(error.getCondition()):
-            return False
-        raise
-
-
 def upsert_buckets(
     spark: SparkSession, root: str, incoming: DataFrame, key: str, order_col: str, update_cols: list[str], as_of, journal: str,
     defaults: dict | None = None,
@@ -67,14 +55,11 @@ def upsert_buckets(
     ``journal`` is a folder of this batch alone; after a failure the same batch is run again with the same one.
     """
     table, name, n = _stored(spark, root)
-    staged = f"{journal}/rows"
-    if not _complete(spark, journal):
+
+    def merged() -> DataFrame:
         # At most one number per bucket comes to the driver.
         hit = [r[0] for r in incoming.filter(F.col(key).isNotNull()).select(bucket(key, n)).distinct().collect()]
-        merged = upsert(table.filter(F.col(name).isin(hit)).drop(name), incoming, key, order_col, update_cols, as_of, defaults)
-        merged.withColumn(name, bucket(key, n)).repartition(name).write.mode("overwrite").partitionBy(name).parquet(staged)
-        spark.range(1, numPartitions=1).select(F.lit(True).alias("done")).write.mode("overwrite").parquet(f"{journal}/complete")
-    rows = spark.read.schema(table.schema).parquet(staged)
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(root)
-    # The journal's rows have served; its mark stays, and replaying an empty journal replaces nothing.
-    spark.createDataFrame([], table.schema).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(name).parquet(staged)
+        touched = table.filter(F.col(name).isin(hit)).drop(name)
+        return upsert(touched, incoming, key, order_col, update_cols, as_of, defaults).withColumn(name, bucket(key, n))
+
+    replace_partitions(spark, root, table.schema, name, journal, merged)

@@ -1,4 +1,4 @@
-"""Registered queries over what is kept beside the tables: search postings, consent history, catchment areas."""
+"""Registered queries over what is kept beside the tables: search postings, consent history, catchment areas, daily state."""
 
 from __future__ import annotations
 
@@ -6,8 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from careframe.operators import bucketed, catchments, governance as gov, lookups as lk, search_index
-from careframe.plans.adapters import facilities, patients, predictions, sql, table
+from careframe.operators import bucketed, catchments, daily_state as state, governance as gov, lookups as lk, search_index
+from careframe.plans.adapters import PREDICTIONS_AS_OF, facilities, patients, predictions, sql, table
 from careframe.plans.cases_places import _places
 from careframe.session import work_folder
 
@@ -90,7 +90,77 @@ crossed as (
 sums as (select id, sum(population) as population, count(*) as places from crossed group by id)
 select f.id as area_id, cast(coalesce(population, 0) as bigint) as population, coalesce(places, 0) as places from facilities f left join sums using (id)"""
 
+
+
+def _daily_state(s, f):
+    """All predictions in three batches that share their days, the second appended twice with one journal."""
+    root, made = work_folder(s, "daily-state"), predictions(s, f)
+    state.create(s, f"{root}/state")
+    for part in (0, 1, 1, 2):
+        state.append(s, f"{root}/state", made.filter(F.col("id") % 3 == part), patients(s, f), f"{root}/journal/{part}")
+    return state.read(s, f"{root}/state")
+
+
+WINDOW = "created_at >= timestamp '2001-08-02 00:00:00' - interval 600 day"
+SCREENINGS_SQL = f"""with recent as (select * from predictions where {WINDOW}),
+sections as (
+  select 'risk_level' as section, risk_level as label, risk_score from recent
+  union all select 'day', cast(cast(created_at as date) as varchar), risk_score from recent
+  union all select 'total_screenings', 'all', risk_score from recent)
+select section, label, count(*) as n, round(avg(risk_score), 4) as avg_risk from sections group by 1, 2"""
+
+# Few enough patients per place for the sketches to be exact.
+PLACES_SQL = f"""
+select county, sub_county, round(avg(risk_score), 4) as avg_risk, count(distinct q.id) as patients, count(*) as predictions,
+  count(*) filter (where risk_level in ('high', 'very_high')) as high_risk,
+  count(*) filter (where risk_level = 'moderate') as moderate_risk, count(*) filter (where risk_level = 'low') as low_risk
+from predictions p join patients q on q.id = p.patient_key where p.{WINDOW} group by 1, 2"""
+
+
+def _round(df):
+    return df.withColumn("avg_risk", F.round("avg_risk", 4))
+
+
+
+
+def _daily_state(s, f):
+    """All predictions in three batches that share their days, the second appended twice with one journal."""
+    root, made = work_folder(s, "daily-state"), predictions(s, f)
+    state.create(s, f"{root}/state")
+    for part in (0, 1, 1, 2):
+        state.append(s, f"{root}/state", made.filter(F.col("id") % 3 == part), patients(s, f), f"{root}/journal/{part}")
+    return state.read(s, f"{root}/state")
+
+
+WINDOW = "created_at >= timestamp '2001-08-02 00:00:00' - interval 600 day"
+SCREENINGS_SQL = f"""with recent as (select * from predictions where {WINDOW}),
+sections as (
+  select 'risk_level' as section, risk_level as label, risk_score from recent
+  union all select 'day', cast(cast(created_at as date) as varchar), risk_score from recent
+  union all select 'total_screenings', 'all', risk_score from recent)
+select section, label, count(*) as n, round(avg(risk_score), 4) as avg_risk from sections group by 1, 2"""
+
+# Few enough patients per place for the sketches to be exact.
+PLACES_SQL = f"""
+select county, sub_county, round(avg(risk_score), 4) as avg_risk, count(distinct q.id) as patients, count(*) as predictions,
+  count(*) filter (where risk_level in ('high', 'very_high')) as high_risk,
+  count(*) filter (where risk_level = 'moderate') as moderate_risk, count(*) filter (where risk_level = 'low') as low_risk
+from predictions p join patients q on q.id = p.patient_key where p.{WINDOW} group by 1, 2"""
+
+
+def _round(df):
+    return df.withColumn("avg_risk", F.round("avg_risk", 4))
+
+
 CASES = {
+    "kept_screenings": (
+        lambda s, f: _round(state.screenings(_daily_state(s, f), PREDICTIONS_AS_OF, 600)), sql("predictions", SCREENINGS_SQL)),
+    "kept_places": (
+        lambda s, f: _round(state.places(_daily_state(s, f), PREDICTIONS_AS_OF, 600)), sql("predictions patients", PLACES_SQL)),
+    "kept_screenings": (
+        lambda s, f: _round(state.screenings(_daily_state(s, f), PREDICTIONS_AS_OF, 600)), sql("predictions", SCREENINGS_SQL)),
+    "kept_places": (
+        lambda s, f: _round(state.places(_daily_state(s, f), PREDICTIONS_AS_OF, 600)), sql("predictions patients", PLACES_SQL)),
     "indexed_search": (_indexed_search, sql("patients", SEARCH_SQL)),
     "consented_then": (
         lambda s, f: gov.consented_then(predictions(s, f), _consent_history(s, f), "care").select("id", "patient_key"),
