@@ -1,8 +1,8 @@
 """Dashboards and heatmaps kept up by appends, from one small state per day and place.
 
 The state has a row per UTC day, county, sub-county and risk level: number of predictions, sum and number of scores, and a mergeable sketch of
-the patients.  A batch of predictions is reduced to the same shape and merged into the partitions of its days, late days included;
-other days' files stay.  Any look-back is then a sum over the state's days, and distinct patients of any window and place come
+the patients, partitioned by month.  A batch of predictions is reduced to the same shape and merged into the partitions of its days,
+late days included; other months' files stay.  Any look-back is then a sum over the state's days, and distinct patients of any window and place come
 from the union of its sketches, with a relative error of about 1.04 / sqrt(2 ** LG_K) (0.8 %); ``geo`` and ``dashboards`` are the
 exact path.  A patient counts for the place they had when the prediction was appended.
 """
@@ -20,11 +20,12 @@ from careframe.operators.keyed import spread_join
 from careframe.operators.partitions import replace_partitions
 
 LG_K = 14
-DAY = "day"
+DAY, MONTH = "day", "month"
 KEYS = ["county", "sub_county", "risk_level"]
 SCHEMA = T.StructType([
     *[T.StructField(k, T.StringType()) for k in KEYS], T.StructField("n", T.LongType()), T.StructField("score_sum", T.DoubleType()),
-    T.StructField("score_n", T.LongType()), T.StructField("people", T.BinaryType()), T.StructField(DAY, T.DateType())])
+    T.StructField("score_n", T.LongType()), T.StructField("people", T.BinaryType()), T.StructField(DAY, T.DateType()),
+    T.StructField(MONTH, T.DateType())])
 
 
 def day_rows(predictions: DataFrame, patients: DataFrame) -> DataFrame:
@@ -34,11 +35,15 @@ def day_rows(predictions: DataFrame, patients: DataFrame) -> DataFrame:
     placed = spread_join(sums.filter("day is not null"), patients.select(F.col("id").alias("patient_key"), "county", "sub_county"), "patient_key")
     return placed.groupBy(*KEYS, DAY).agg(
         F.sum("n").alias("n"), F.sum("score_sum").alias("score_sum"), F.sum("score_n").alias("score_n"),
-        F.hll_sketch_agg(F.col("patient_key").cast("string"), F.lit(LG_K)).alias("people")).select(*SCHEMA.names)
+        F.hll_sketch_agg(F.col("patient_key").cast("string"), F.lit(LG_K)).alias("people"), _month().alias(MONTH)).select(*SCHEMA.names)
+
+
+def _month() -> Column:
+    return F.first(F.trunc(DAY, "month"))
 
 
 def create(spark: SparkSession, root: str) -> None:
-    spark.createDataFrame([], SCHEMA).write.mode("errorifexists").partitionBy(DAY).parquet(root)
+    spark.createDataFrame([], SCHEMA).write.mode("errorifexists").partitionBy(MONTH).parquet(root)
 
 
 def read(spark: SparkSession, root: str) -> DataFrame:
@@ -50,22 +55,23 @@ def append(spark: SparkSession, root: str, predictions: DataFrame, patients: Dat
 
     def merged() -> DataFrame:
         new = day_rows(predictions, patients)
-        # One date per day of the batch.
-        days = [r[0] for r in predictions.select(utc_day(F.col("created_at")).alias(DAY)).distinct().filter("day is not null").collect()]
-        both = read(spark, root).filter(F.col(DAY).isin(days)).unionByName(new)
+        # One date per month of the batch.
+        months = [r[0] for r in predictions.select(F.trunc(utc_day(F.col("created_at")), "month").alias(MONTH)).distinct().filter(
+            "month is not null").collect()]
+        both = read(spark, root).filter(F.col(MONTH).isin(months)).unionByName(new)
         return both.groupBy(*KEYS, DAY).agg(
             F.sum("n").alias("n"), F.sum("score_sum").alias("score_sum"), F.sum("score_n").alias("score_n"),
-            F.hll_union_agg("people").alias("people")).select(*SCHEMA.names)
+            F.hll_union_agg("people").alias("people"), _month().alias(MONTH)).select(*SCHEMA.names)
 
-    replace_partitions(spark, root, SCHEMA, DAY, journal, merged)
+    replace_partitions(spark, root, SCHEMA, MONTH, journal, merged)
 
 
 def window(state: DataFrame, as_of, days: int, county: str | None = None) -> DataFrame:
-    """The state's rows of a look-back, which has to begin at midnight UTC; only its days are read."""
+    """The state's rows of a look-back, which has to begin at midnight UTC; only its months are read."""
     since = as_instant(as_of) - timedelta(days=days)
     if since.time() != time():
         raise ValueError("the state is kept per UTC day: as_of has to be a midnight")
-    recent = state.filter(F.col(DAY) >= F.lit(since.date()))
+    recent = state.filter((F.col(MONTH) >= F.lit(since.date().replace(day=1))) & (F.col(DAY) >= F.lit(since.date())))
     return recent.filter(equals_ci(F.col("county"), county)) if county else recent
 
 

@@ -28,7 +28,7 @@ def test_any_sequence_of_appends_equals_a_dashboard_computed_afresh(spark, tmp_p
     state.create(spark, root)
     assert state.screenings(state.read(spark, root), "2024-01-20", 30).count() == 5  # zeros only
     made = None
-    for i, days in enumerate(([1, 2, 3], [3, 9, 20], [2], [90])):
+    for i, days in enumerate(([1, 2, 3], [3, 9, 20], [2, 140], [90])):
         batch = scores(spark, rng, [0, 0, 0, *range(40)], 60, days)  # some patients are unknown
         state.append(spark, root, batch, patients, f"{tmp_path}/j{i}")
         made = batch if made is None else made.unionAll(batch)
@@ -43,24 +43,24 @@ def test_any_sequence_of_appends_equals_a_dashboard_computed_afresh(spark, tmp_p
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, summary.collect()))
 
 
-def test_a_batch_run_again_counts_once_and_other_days_stay(spark, tmp_path):
+def test_a_batch_run_again_counts_once_and_other_months_stay(spark, tmp_path):
     patients, root, rng = people(spark, 9), str(tmp_path / "state"), random.Random(5)
     state.create(spark, root)
-    state.append(spark, root, scores(spark, rng, range(9), 40, [1, 30]), patients, f"{tmp_path}/a")
-    before = {d: n for d, n in day_files(root).items()}
-    batch = scores(spark, rng, range(9), 20, [30])
+    state.append(spark, root, scores(spark, rng, range(9), 40, [1, 120]), patients, f"{tmp_path}/a")
+    before = {d: n for d, n in month_files(root).items()}
+    batch = scores(spark, rng, range(9), 20, [120])
     for _ in range(2):
         state.append(spark, root, batch, patients, f"{tmp_path}/b")
     assert state.read(spark, root).agg(F.sum("n")).first()[0] == 60
-    after = day_files(root)
-    assert [d for d in after if after[d] != before.get(d)] == ["day=2024-01-09"]
+    after = month_files(root)
+    assert [d for d in after if after[d] != before.get(d)] == ["month=2024-02-01"]
     with pytest.raises(ValueError, match="midnight"):
         state.window(state.read(spark, root), "2024-01-20 01:00:00", 3)
 
 
-def day_files(root):
+def month_files(root):
 
-    return {d: sorted(n for n in os.listdir(f"{root}/{d}") if n.endswith(".parquet")) for d in os.listdir(root) if d.startswith("day=")}
+    return {d: sorted(n for n in os.listdir(f"{root}/{d}") if n.endswith(".parquet")) for d in os.listdir(root) if d.startswith("month=")}
 
 
 def test_distinct_patients_of_a_window_are_within_the_error(spark, tmp_path):
