@@ -18,21 +18,31 @@ from careframe.streaming import landing
 
 
 def _appended(s, f):
-    """Score a batch twice, append both to one table, and read the recent dates back."""
+    """Score a batch twice, append both to one table as whole prediction rows, and read the recent dates back."""
     path = f"{work_folder(s, 'predictions')}/rows"
     for first_id in (0, 1_000_000_000):
-        made = sc.score_batch(scores._requests(s, f), patients(s, f), PREDICTIONS_AS_OF, sti_type="hpv", first_id=first_id)
-        tb.append_rows(made.select("id", "patient_key", "sti_type", "risk_score", "risk_level", "created_at"), path)
+        tb.append_rows(sc.score_batch(scores._requests(s, f), patients(s, f), PREDICTIONS_AS_OF, sti_type="hpv", first_id=first_id), path)
     rows = tb.recent_partitions(s, path, PREDICTIONS_AS_OF, 30)
-    return rows.select("id", "patient_key", "sti_type", "risk_score", "risk_level",
-                       F.col("created_date").cast("string").alias("created_date"))
+    return rows.select(
+        *[c for c in rows.columns if c not in ("top_risk_factors", "input_features", "recommended_tests", "created_at", "created_date")],
+        F.col("top_risk_factors").getItem("heuristic_model").alias("factor"), F.size("input_features").alias("features"),
+        F.col("input_features").getItem("num_partners_12m").alias("partners"), F.col("input_features").getItem("age").alias("age"),
+        F.array_join("recommended_tests", "|").alias("tests"), F.col("created_at").cast("string").alias("created_at"),
+        F.col("created_date").cast("string").alias("created_date"))
 
 
 APPENDED_SQL = f"""
 with {scores.REQUESTS},
-one as (select pos, q.id as patient_key, round({scores.SCORE}, 4) as risk_score, {scores.LEVEL.format(scores.SCORE)} as risk_level
+one as (select pos, q.id as patient_key, patient_id, concat(first_name, ' ', last_name) as patient_name, {scores.SCORE} as s,
+    cast(number_of_partners_12m as double) as partners, cast({scores.AGE.format(on=PREDICTIONS_AS_OF[:10])} as double) as age
   from requests join patients q using (patient_id) where is_active)
-select pos + first_id as id, patient_key, 'hpv' as sti_type, risk_score, risk_level, '2001-08-02' as created_date
+select pos + first_id as id, patient_key, patient_id, patient_name, null::bigint as clinician_id, 'hpv' as sti_type, round(s, 4) as risk_score,
+  {scores.LEVEL.format("s")} as risk_level, round(greatest(0, s - 15e-2), 4) as confidence_interval_lower,
+  round(least(1, s + 15e-2), 4) as confidence_interval_upper, 'heuristic_v1' as model_version, 'Rule-based Heuristic' as model_name,
+  'Schedule screening appointment. Provide risk reduction counseling.' as recommended_actions, false as validated_by_clinician,
+  '' as clinician_notes, '' as actual_outcome, 'Using rule-based fallback' as factor, 16 as features, partners, age,
+  case when s > 3e-1 then 'HIV|Syphilis|Gonorrhea|Chlamydia' else 'HIV|Syphilis' end as tests,
+  '2001-08-02 00:00:00' as created_at, '2001-08-02' as created_date
 from one, (values (0), (1000000000)) as v(first_id)"""
 
 

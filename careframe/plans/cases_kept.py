@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from careframe.functions import documents
 from careframe.operators import bucketed, catchments, daily_state as state, governance as gov, lookups as lk, search_index
 from careframe.plans.adapters import PREDICTIONS_AS_OF, facilities, patients, predictions, sql, table
 from careframe.plans.cases_places import _places
@@ -117,6 +118,38 @@ select county, sub_county, round(avg(risk_score), 4) as avg_risk, count(distinct
 from predictions p join patients q on q.id = p.patient_key where p.{WINDOW} group by 1, 2"""
 
 
+def _results(s, f):
+    """Test results of a visit per order, as nested JSON text: an object, a list, no JSON, or nothing."""
+    o = F.col("o_orderkey")
+    tests = F.to_json(F.struct(F.struct(F.col("o_orderpriority").alias("result"), (o % 97).alias("titre")).alias("hiv"), F.lit("x").alias("note")))
+    return table(s, f, "orders").select(o.alias("id"), F.when(o % 11 == 0, "{bad").when(o % 7 == 0, " ").when(o % 5 == 0, F.concat(
+        F.lit('["HIV", "'), F.col("o_orderstatus"), F.lit('"]'))).otherwise(tests).alias("test_results"))
+
+
+def _visit_results(s, f):
+    good, bad = documents.split_documents(_results(s, f), "test_results")
+    at = F.col("test_results")
+    return good.select(
+        "id", F.lit(False).alias("refused"), documents.value_at(at, "$.hiv.result").alias("result"), documents.value_at(at, "$.hiv.titre", "int").alias("titre"),
+        documents.value_at(at, "$[1]").alias("second")).unionByName(bad.select("id", F.lit(True).alias("refused")), allowMissingColumns=True)
+
+
+def _visit_fields(s, f):
+    good, _ = documents.split_documents(_results(s, f), "test_results")
+    return documents.fields_of(good, "test_results", "id").filter("name is not null or position is not null").groupBy("name", "position").agg(
+        F.count("*").alias("n"), F.count(documents.value_at(F.col("value"), "$.titre", "int")).alias("titres"))
+
+
+RESULTS_SQL = """
+select o_orderkey as id, o_orderkey % 11 = 0 as refused, case when kind = 1 then o_orderpriority end as result,
+  case when kind = 1 then cast(o_orderkey % 97 as integer) end as titre, case when kind = 2 then o_orderstatus end as second
+from (select *, case when o_orderkey % 11 = 0 or o_orderkey % 7 = 0 then 0 when o_orderkey % 5 = 0 then 2 else 1 end as kind from orders)"""
+
+FIELDS_SQL = """with kinds as (select case when o_orderkey % 11 = 0 or o_orderkey % 7 = 0 then 0 when o_orderkey % 5 = 0 then 2 else 1 end as kind from orders)
+select name, cast(position as integer) as position, count(*) as n, count(*) filter (where name = 'hiv') as titres
+from kinds join (values (1, 'hiv', 0), (1, 'note', 1), (2, null, 0), (2, null, 1)) as v(k, name, position) on k = kind group by 1, 2"""
+
+
 def _round(df):
     return df.withColumn("avg_risk", F.round("avg_risk", 4))
 
@@ -148,11 +181,45 @@ select county, sub_county, round(avg(risk_score), 4) as avg_risk, count(distinct
 from predictions p join patients q on q.id = p.patient_key where p.{WINDOW} group by 1, 2"""
 
 
+def _results(s, f):
+    """Test results of a visit per order, as nested JSON text: an object, a list, no JSON, or nothing."""
+    o = F.col("o_orderkey")
+    tests = F.to_json(F.struct(F.struct(F.col("o_orderpriority").alias("result"), (o % 97).alias("titre")).alias("hiv"), F.lit("x").alias("note")))
+    return table(s, f, "orders").select(o.alias("id"), F.when(o % 11 == 0, "{bad").when(o % 7 == 0, " ").when(o % 5 == 0, F.concat(
+        F.lit('["HIV", "'), F.col("o_orderstatus"), F.lit('"]'))).otherwise(tests).alias("test_results"))
+
+
+def _visit_results(s, f):
+    good, bad = documents.split_documents(_results(s, f), "test_results")
+    at = F.col("test_results")
+    return good.select(
+        "id", F.lit(False).alias("refused"), documents.value_at(at, "$.hiv.result").alias("result"), documents.value_at(at, "$.hiv.titre", "int").alias("titre"),
+        documents.value_at(at, "$[1]").alias("second")).unionByName(bad.select("id", F.lit(True).alias("refused")), allowMissingColumns=True)
+
+
+def _visit_fields(s, f):
+    good, _ = documents.split_documents(_results(s, f), "test_results")
+    return documents.fields_of(good, "test_results", "id").filter("name is not null or position is not null").groupBy("name", "position").agg(
+        F.count("*").alias("n"), F.count(documents.value_at(F.col("value"), "$.titre", "int")).alias("titres"))
+
+
+RESULTS_SQL = """
+select o_orderkey as id, o_orderkey % 11 = 0 as refused, case when kind = 1 then o_orderpriority end as result,
+  case when kind = 1 then cast(o_orderkey % 97 as integer) end as titre, case when kind = 2 then o_orderstatus end as second
+from (select *, case when o_orderkey % 11 = 0 or o_orderkey % 7 = 0 then 0 when o_orderkey % 5 = 0 then 2 else 1 end as kind from orders)"""
+
+FIELDS_SQL = """with kinds as (select case when o_orderkey % 11 = 0 or o_orderkey % 7 = 0 then 0 when o_orderkey % 5 = 0 then 2 else 1 end as kind from orders)
+select name, cast(position as integer) as position, count(*) as n, count(*) filter (where name = 'hiv') as titres
+from kinds join (values (1, 'hiv', 0), (1, 'note', 1), (2, null, 0), (2, null, 1)) as v(k, name, position) on k = kind group by 1, 2"""
+
+
 def _round(df):
     return df.withColumn("avg_risk", F.round("avg_risk", 4))
 
 
 CASES = {
+    "visit_results": (_visit_results, RESULTS_SQL),
+    "visit_result_fields": (_visit_fields, FIELDS_SQL),
     "kept_screenings": (
         lambda s, f: _round(state.screenings(_daily_state(s, f), PREDICTIONS_AS_OF, 600)), sql("predictions", SCREENINGS_SQL)),
     "kept_places": (
