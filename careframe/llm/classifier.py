@@ -11,7 +11,7 @@ Only the text enters a score.
 
 Edge cases: a null text is the empty text; texts without byte pairs, and all texts if no label is
 known, score the share of label 1 in the sample (0.5 without one); null labels are no labels, several labels
-of one id are averaged; repeated rows score alike; an empty table stays empty; other columns are ignored.
+of one id are averaged; repeated rows score alike, and of several texts of one id the same one is learnt in every run; ids may be of any type; an empty table stays empty; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -98,18 +98,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ids = docs.select(F.col(id_col).alias("id"))
     sample = known.join(ids, "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(MAX_LABELLED)
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    # Broadcast: at most MAX_LABELLED rows of two numbers.
-    chosen = texts.join(F.broadcast(sample), "id").select("id", "label", "text")
+    # Broadcast: at most MAX_LABELLED rows of two numbers.  Of an id's different texts the one with the smallest digest is learnt; copies
+    # are dropped map-side, before anything is counted.
+    one = F.min(F.struct(F.md5("text").alias("digest"), "text"))
+    chosen = texts.join(F.broadcast(sample), "id").groupBy("id", "label").agg(one.alias("x")).select(
+        F.xxhash64("id").alias("place"), F.col("id").cast("string").alias("id"), "label", "x.text")
 
     def run(batches):
         for batch in batches:
-            for row, counts in pair_counts(batch.column(2)):
+            for row, counts in pair_counts(batch.column(3)):
                 part = batch.slice(row, len(counts))
                 packed = pa.array([x.astype(np.float32).tobytes() for x in counts], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1), packed], names=["id", "label", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), packed], names=["place", "id", "label", "x"])
 
-    rows = text_batches(chosen).mapInArrow(run, "id long, label double, x binary").dropDuplicates(["id"]).collect()
-    rows.sort(key=lambda r: r["id"])
+    rows = text_batches(chosen).mapInArrow(run, "place long, id string, label double, x binary").collect()
+    rows.sort(key=lambda r: (r["place"], r["id"]))
     labels, counts = np.array([r["label"] for r in rows]), np.empty((len(rows), FEATURES), np.float32)
     for i, r in enumerate(rows):
         counts[i] = np.frombuffer(r["x"], np.float32)
