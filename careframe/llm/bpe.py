@@ -2,9 +2,11 @@
 
 Whether a merge happens at a place depends on the bytes to its right only as far as a chain of earlier
 merges can reach.  ``MergeTable.lookahead`` follows those chains through the whole merge list once and
-gives the most bytes any token needs to see behind its end before it is certain.  A long run is then
-encoded through a window: tokens are emitted as soon as that many bytes stand behind
-them, and the window moves on, so memory is bounded by the window and not by the run.
+gives the most bytes any token needs to see behind its end before it is certain.  No merge crosses the end of a piece of the
+splitting pattern, so there a token is certain at once: texts go in as one stream of pieces, a block of bounded size is merged
+together in arrays (equal pieces once), and is emitted whole.  A piece longer than the window is encoded through it: tokens are
+emitted as soon as ``lookahead`` bytes stand behind them, and the window moves on, so what is merged at a time is bounded by the
+window and not by the piece.
 Decoding feeds token bytes through an incremental UTF-8 state machine, a block at a time.
 
 The tokenizer file (JSON of byte-level BPE) is read on the driver, its size checked, and broadcast.
@@ -33,8 +35,7 @@ from careframe.llm.words import stretches
 # Fixed value: the splitting pattern of the byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MAX_FILE_BYTES = 64 << 20
-SHORT = 96
-CACHED_PIECES = 200_000
+SLAB = 1 << 20
 CHUNK_BYTES = 2 << 20
 DECODE_BLOCK = 1 << 14
 NEVER = 1 << 60
@@ -82,6 +83,12 @@ class MergeTable:
             self.special[added["content"]] = added["id"]
             self.bytes_of[added["id"]] = added["content"].encode()
         self.lookahead = self._lookahead()
+        self.window = 2 * self.lookahead + 4 * max(self.length)
+        pairs = sorted(self.join.items()) or [(-1, NEVER)]
+        self.keys, self.made = (np.array(x, np.int64) for x in zip(*pairs))
+        every = np.arange(1 << 16)
+        self.byte_pairs = self._made_of(every >> 8, every & 255)
+        self.numbered_ids = np.array(self.ids, np.int32)
 
     def _lookahead(self) -> int:
         """Most bytes behind a token's end that decide whether it is final."""
@@ -93,27 +100,59 @@ class MergeTable:
             widest[x] = max(widest[x], self.length[y] + need)
         return max(map(max, zip(reach, widest)))
 
+    def merge_all(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, token numbers): piece ``k`` becomes ``numbers[offsets[k]:offsets[k + 1]]``.
+
+        All pieces lie behind each other in one array.  A round merges in every piece all places of its lowest-ranked pair: a merge only
+        makes pairs of higher rank, so these places come before anything else in that piece.  Pieces without a pair left are emitted.
+        """
+        length = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        tokens = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
+        owner, done = np.arange(len(pieces)), []
+        ranks = np.full(len(tokens), NEVER, np.int64)
+        ranks[:-1] = self.byte_pairs[tokens[:-1] << 8 | tokens[1:]]
+        ranks[np.cumsum(length) - 1] = NEVER
+        while len(owner):
+            best = np.minimum.reduceat(ranks, np.cumsum(length) - length)
+            over = best == NEVER
+            if over.any():
+                out = np.repeat(over, length)
+                done.append((owner[over], length[over], tokens[out]))
+                tokens, ranks = tokens[~out], ranks[~out]
+                owner, length, best = owner[~over], length[~over], best[~over]
+                if not len(owner):
+                    break
+            piece = np.repeat(np.arange(len(owner)), length)
+            at = np.flatnonzero(ranks == best[piece])
+            # Places that overlap (one token several times in a row) are taken from the left, every other one.
+            first = np.diff(at, prepend=-2) != 1
+            at = at[(at - at[first][np.cumsum(first) - 1]) % 2 == 0]
+            tokens[at] = ranks[at]
+            length = length - np.bincount(piece[at], minlength=len(owner))
+            stay = np.ones(len(tokens), bool)
+            stay[at + 1] = False
+            tokens, ranks = tokens[stay], ranks[stay]
+            made = at - np.arange(len(at))
+            ranks[made] = NEVER
+            last = np.zeros(len(tokens), bool)
+            last[np.cumsum(length) - 1] = True
+            changed = np.concatenate([made, made[made > 0] - 1])
+            changed = changed[~last[changed]]
+            ranks[changed] = self._made_of(tokens[changed], tokens[changed + 1])
+        if not done:
+            return np.zeros(1, np.int64), np.zeros(0, np.int64)
+        owners, lengths, numbers = (np.concatenate(x) for x in zip(*done))
+        starts, order = np.cumsum(lengths) - lengths, np.argsort(owners)
+        return np.concatenate([[0], np.cumsum(lengths[order])]), numbers[spread(starts[order], lengths[order])]
+
+    def _made_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The token each pair merges to, or ``NEVER``."""
+        wanted = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.made[at], NEVER)
+
     def merge(self, data: bytes) -> list[int]:
-        """Token numbers of one piece, lowest rank first and leftmost among equals."""
-        return self._short(data) if len(data) <= SHORT else self._long(data)
-
-    def _short(self, data: bytes) -> list[int]:
-        get, tokens = self.join.get, list(data)
-        pairs = [get(a << 32 | b, NEVER) for a, b in zip(tokens, tokens[1:])]
-        while pairs:
-            best = min(pairs)
-            if best == NEVER:
-                break
-            i = pairs.index(best)
-            tokens[i] = best
-            del tokens[i + 1], pairs[i]
-            if i:
-                pairs[i - 1] = get(tokens[i - 1] << 32 | best, NEVER)
-            if i < len(pairs):
-                pairs[i] = get(best << 32 | tokens[i + 1], NEVER)
-        return tokens
-
-    def _long(self, data: bytes) -> list[int]:
+        """Token numbers of one long run, lowest rank first and leftmost among equals."""
         get, tokens, n = self.join.get, list(data), len(data)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         queue = [(made, i) for i, (a, b) in enumerate(zip(tokens, tokens[1:])) if (made := get(a << 32 | b)) is not None]
@@ -135,8 +174,7 @@ class MergeTable:
 
     def stream(self, data: bytes, window: int | None = None) -> Iterator[list[int]]:
         """Blocks of token numbers of one piece; at any time only a window of it is being merged."""
-        window = max(window or 0, 2 * self.lookahead + 4 * max(self.length))
-        at = 0
+        window, at = max(window or 0, self.window), 0
         while len(data) - at > window:
             seen, out = 0, []
             for token in self.merge(data[at:at + window]):
@@ -149,35 +187,90 @@ class MergeTable:
         yield self.merge(data[at:])
 
 
-class Encoder(dict):
-    """Text to ids; as a dict it caches the ids of short pieces, at most ``CACHED_PIECES`` of them."""
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places ``start``, ``start + 1``, ... of every run, one run behind the other."""
+    return np.arange(lengths.sum()) + np.repeat(starts - np.cumsum(lengths) + lengths, lengths)
+
+
+class Encoder:
+    """The transducer over whole texts: pieces go in as the pattern finds them, and come out as ids a block of pieces at a time."""
 
     def __init__(self, table: MergeTable):
-        super().__init__()
         self.table = table
-        self.pieces = regex.compile(PATTERN)
+        self.pattern = regex.compile(PATTERN)
         order = sorted(table.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, order)) + ")") if order else None
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        data, ids = piece.encode(), self.table.ids
-        if len(data) > SHORT:
-            return tuple(ids[t] for block in self.table.stream(data) for t in block)
-        if len(self) >= CACHED_PIECES:
-            self.clear()
-        found = self[piece] = tuple(ids[t] for t in self.table._short(data))
-        return found
-
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def pieces(self, text: str) -> Iterator[list[str]]:
+        """The pieces of a text in blocks of bounded size (or of one piece, if that is longer)."""
         for part in self.special.split(text) if self.special else (text,):
-            known = self.table.special.get(part)
-            if known is not None:
-                out.append(known)
+            if part in self.table.special:
+                yield [part]
                 continue
-            for piece in self.pieces.findall(part):
-                out += self[piece]
-        return out
+            at, slab = 0, SLAB
+            while len(part) - at > slab:
+                # The pattern looks at most two characters past a piece's end: pieces that end earlier are the same in the whole part.
+                found, end = self.pattern.findall(part, at, at + slab), at + slab
+                while found and end > at + slab - 2:
+                    end -= len(found.pop())
+                slab = SLAB if found else 2 * slab
+                if found:
+                    yield found
+                    at = end
+            yield self.pattern.findall(part, at)
+
+    def block(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids per piece, ids) of the pieces in order; equal pieces are merged once."""
+        table, different = self.table, list(dict.fromkeys(pieces))
+        place = dict(zip(different, range(len(different))))
+        at = np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces))
+        coded = [p.encode() for p in different]
+        streamed = {i: None for i, (p, data) in enumerate(zip(different, coded)) if p in table.special or len(data) > table.window}
+        offsets, numbers = table.merge_all([data for i, data in enumerate(coded) if i not in streamed] if streamed else coded)
+        ids = table.numbered_ids[numbers]
+        starts, lengths = offsets[:-1], np.diff(offsets)
+        if streamed:
+            longer, begin, rest = [], len(ids), np.ones(len(coded), bool)
+            all_starts, all_lengths = np.zeros(len(coded), np.int64), np.zeros(len(coded), np.int64)
+            for i in streamed:
+                rest[i], all_starts[i] = False, begin
+                if different[i] in table.special:
+                    mine = [np.array([table.special[different[i]]], np.int32)]
+                else:
+                    mine = [table.numbered_ids[tokens] for tokens in table.stream(coded[i])]
+                all_lengths[i] = sum(map(len, mine))
+                begin += all_lengths[i]
+                longer += mine
+            all_starts[rest], all_lengths[rest] = starts, lengths
+            starts, lengths, ids = all_starts, all_lengths, np.concatenate([ids, *longer])
+        return lengths[at], ids[spread(starts[at], lengths[at])]
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids per text, all ids).  A block holds ``SLAB`` characters, whatever the texts' sizes."""
+        counts, ids = np.zeros(len(texts), np.int64), []
+        held: list[str] = []
+        owners: list[tuple[int, int]] = []  # (text, pieces of it that wait)
+        size = 0
+
+        def emit() -> None:
+            per_piece, found = self.block(held)
+            np.add.at(counts, np.repeat([t for t, _ in owners], [n for _, n in owners]), per_piece)
+            ids.append(found)
+            held.clear()
+            owners.clear()
+
+        for i, text in enumerate(texts):
+            for found in self.pieces(text) if text else ():
+                if found:
+                    held += found
+                    owners.append((i, len(found)))
+                    size += sum(map(len, found)) if len(text) > SLAB else len(text)
+                    if size >= SLAB:
+                        emit()
+                        size = 0
+        if held:
+            emit()
+        return counts, np.concatenate(ids) if ids else np.zeros(0, np.int32)
 
 
 def decode_ids(bytes_of: dict[int, bytes], ids: list[int]) -> str:
@@ -219,9 +312,8 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
             texts = batch.column(at)
             lengths = np.asarray(pc.binary_length(texts).fill_null(0))
             for start, end in stretches(lengths, CHUNK_BYTES):
-                rows = [np.array(encoder.encode(t) if t else [], np.int32) for t in texts.slice(start, end - start).to_pylist()]
-                cuts = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-                values = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+                counts, values = encoder.encode(texts.slice(start, end - start).to_pylist())
+                cuts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 part = batch.slice(start, end - start)
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(i) for i in range(at)], pa.ListArray.from_arrays(pa.array(cuts), pa.array(values))],
