@@ -14,8 +14,10 @@ than the nearest few of each of its queries.  Broadcast are the codebooks and th
 (at most ``MAX_CODES`` squared).
 
 Edge cases: vectors that are null, zero, hold null or non-finite numbers, have a null id, or differ in length
-from the most common length take no part; rows that share an id count once, with the smallest of their vectors; ties go to
-the smaller id; fewer than ``k`` candidates give fewer rows; an empty table gives none; other columns are ignored.
+from the most common length take no part.  Ids are of any type that has an order, and need not be unique: every row is a
+candidate, so an id can be named more than once, and a query leaves out only its own row; the vectors that share a query's id are
+queries of their own, rows equal in id and vector are one query.  Ties go to the smaller id; fewer than ``k`` candidates give fewer
+rows; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -86,11 +88,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
-def _nearest(found: dict[int, list[tuple[float, int]]], k: int):
+def _nearest(found: dict[tuple, list[tuple]], k: int, id_type: pa.DataType):
     """The k nearest of every query so far: a task sends no more than that of a query, unless it must empty its memory."""
-    rows = [(query, i, s) for query, mine in found.items() for s, i in heapq.nsmallest(k, mine)]
+    rows = [(*query, i, s) for query, mine in found.items() for s, i in heapq.nsmallest(k, mine)]
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["query_id", "vec_id", "score"])
+        kinds = (id_type, pa.int64(), id_type, pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], names=["query_id", "mark", "vec_id", "score"])
 
 
 def best(points: np.ndarray, vectors: np.ndarray, most: int):
@@ -103,7 +106,7 @@ def best(points: np.ndarray, vectors: np.ndarray, most: int):
 
 def calibrated(asked: DataFrame, entries: DataFrame, books, sizes: np.ndarray, k: int, recall: float) -> int:
     """Vectors to visit so that ``recall`` of the probes' true neighbours are met.  The probes are broadcast."""
-    probes = asked.select("id", "v").orderBy(F.xxhash64("id")).limit(PROBES).collect()
+    probes = asked.select("id", "v").orderBy(F.xxhash64("id", "v")).limit(PROBES).collect()
     if not probes:
         return k + 2
     points = np.array([r["v"] for r in probes])
@@ -139,16 +142,19 @@ def search(table: DataFrame, queries: Column, k: int = 10, recall: float = 0.95,
     spark = table.sparkSession
     rows = table.filter(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
+    kind = rows.schema["id"].dataType.simpleString()
     common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    empty = spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
     if common is None:
         return empty
-    rows = rows.filter(F.size("v") == common["n"]).groupBy("id").agg(F.min(F.struct("v", "asks")).alias("x")).select("id", "x.*")
+    rows = rows.filter(F.size("v") == common["n"]).groupBy("id", "v").agg(
+        F.count("*").alias("copies"), F.max("asks").alias("asks"))
     rows = stored(rows, "ann-rows")
     # k + 1 smallest ids of a vector are enough: a result names k, and one may be the query itself.
     place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    few = F.sort_array(F.collect_list(F.struct("id", F.least("copies", F.lit(k + 1)).cast("int").alias("n"))))
     entries = rows.withColumn("_place", place).filter(F.col("_place") <= k + 1).groupBy("v").agg(
-        F.sort_array(F.collect_list("id")).alias("ids"))
+        F.slice(F.flatten(F.transform(few, lambda x: F.array_repeat(x["id"], x["n"]))), 1, k + 1).alias("ids"))
 
     counted = rows.agg(F.count("*")).first()[0]
     sample = _matrix(pa.array([r["v"] for r in rows.select("v").distinct().orderBy(F.xxhash64("v")).limit(MAX_SAMPLE).collect()]))
@@ -164,7 +170,7 @@ def search(table: DataFrame, queries: Column, k: int = 10, recall: float = 0.95,
                 cells = nearest(points[:, :half], first) * len(second) + nearest(points[:, half:], second)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells.astype(np.int32))], names=["v", "ids", "cell"])
 
-    entries = stored(entries.select("v", "ids").mapInArrow(assign, "v array<double>, ids array<long>, cell int"), "ann-entries")
+    entries = stored(entries.select("v", "ids").mapInArrow(assign, f"v array<double>, ids array<{kind}>, cell int"), "ann-entries")
     sizes = np.zeros(codes * codes, np.int64)
     held = entries.groupBy("cell").count().collect()  # at most MAX_CODES squared rows
     for cell, n in held:
@@ -177,45 +183,52 @@ def search(table: DataFrame, queries: Column, k: int = 10, recall: float = 0.95,
         for batch in batches:
             if not len(batch):
                 continue
-            points = _matrix(batch.column(1))
+            points = _matrix(batch.column(2))
             near = [visit(x, y, sizes, reach) for x, y in zip(
                 distances(points[:, :half], first), distances(points[:, half:], second))]
             at = pa.array(np.repeat(np.arange(len(near)), [len(c) for c in near]))
             cells = pa.array(np.concatenate([np.array(c, np.int32) for c in near]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), cells], names=["query", "q", "cell"])
+            yield pa.RecordBatch.from_arrays([*[c.take(at) for c in batch.columns], cells], names=["query", "mark", "q", "cell"])
 
-    asked = rows.filter("asks").select("id", "v").mapInArrow(probe, "query long, q array<double>, cell int")
+    # The vectors that share an id are told apart by their hash.
+    asked = rows.filter("asks").select("id", F.xxhash64("v"), "v").mapInArrow(probe, f"query {kind}, mark long, q array<double>, cell int")
 
     # Blocks of bounded size: a cell's entries and its queries are dealt by hash to as many blocks as they need.
     spans = spark.createDataFrame([(int(c), max(1, math.ceil(n / ENTRY_BLOCK))) for c, n in held], "cell int, blocks int")
     packed = entries.join(spans, "cell").groupBy("cell", F.pmod(F.xxhash64("v"), "blocks").alias("block")).agg(
         F.collect_list(F.struct("v", "ids")).alias("entries"))
     lists = asked.join(spans.select("cell"), "cell").withColumn(
-        "_at", F.floor((F.row_number().over(Window.partitionBy("cell", F.pmod(F.xxhash64("query"), F.lit(16))).orderBy("query")) - 1)
-                       / QUERY_BLOCK)).groupBy("cell", F.pmod(F.xxhash64("query"), F.lit(16)).alias("_part"), "_at").agg(
-        F.collect_list(F.struct("query", "q")).alias("asks"))
+        "_at", F.floor((F.row_number().over(Window.partitionBy("cell", F.pmod(F.xxhash64("query", "mark"), F.lit(16))).orderBy("query", "mark")) - 1)
+                       / QUERY_BLOCK)).groupBy("cell", F.pmod(F.xxhash64("query", "mark"), F.lit(16)).alias("_part"), "_at").agg(
+        F.collect_list(F.struct("query", "mark", "q")).alias("asks"))
     met = packed.join(lists, "cell").select("asks", "entries")
 
     def rank(batches):
-        nearest_of: dict[int, list[tuple[float, int]]] = {}
-        held_rows = 0
+        nearest_of: dict[tuple, list[tuple]] = {}
+        held_rows, id_type = 0, None
         for batch in batches:
             for asks, held in zip(batch.column(0), batch.column(1)):
                 asks, held = asks.values, held.values
                 q, v = _matrix(asks.field("q")), _matrix(held.field("v"))
-                ids = held.field("ids").to_pylist()
-                for query, (near, score) in zip(asks.field("query").to_pylist(), best(q, v, k + 1)):
+                ids, id_type = held.field("ids").to_pylist(), asks.field("query").type
+                queries = zip(asks.field("query").to_pylist(), asks.field("mark").to_pylist())
+                for query, point, (near, score) in zip(queries, q, best(q, v, k + 1)):
                     mine = nearest_of.setdefault(query, [])
                     before = len(mine)
-                    mine += [(s, i) for e, s in zip(near, score.tolist()) for i in ids[e] if i != query]
+                    for e, s in zip(near, score.tolist()):
+                        others = ids[e]
+                        if not s and query[0] in others and (v[e] == point).all():
+                            others = others.copy()
+                            others.remove(query[0])
+                        mine += [(s, i) for i in others]
                     if len(mine) > 8 * k:
                         mine[:] = heapq.nsmallest(k, mine)
                     held_rows += len(mine) - before
                 if held_rows > HELD_ROWS:
-                    yield from _nearest(nearest_of, k)
+                    yield from _nearest(nearest_of, k, id_type)
                     nearest_of, held_rows = {}, 0
-        yield from _nearest(nearest_of, k)
+        yield from _nearest(nearest_of, k, id_type)
 
-    found = met.mapInArrow(rank, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    found = met.mapInArrow(rank, f"query_id {kind}, mark long, vec_id {kind}, score double")
+    order = Window.partitionBy("query_id", "mark").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
