@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from careframe.functions.predicates import as_instant, time_literal
 from careframe.operators.asof import as_of_join
@@ -33,13 +33,17 @@ def enforce_retention(
     kept = df.filter(at.isNull() | (at >= since(keep_days)))
     if hide_days is None:
         return kept
-    old = at < since(hide_days)
+    return kept.withColumns(pseudonyms(df, identifying, at < since(hide_days)))
+
+
+def pseudonyms(df: DataFrame, identifying: list[str], where: Column) -> dict[str, Column]:
+    """The columns with a SHA-256 digest (text) or null (others) where ``where`` holds."""
     hidden = {}
     for name in identifying:
         kind = df.schema[name].dataType.simpleString()
         mask = F.sha2(F.col(name), 256) if kind == "string" else F.lit(None).cast(kind)
-        hidden[name] = F.when(old, mask).otherwise(F.col(name))
-    return kept.withColumns(hidden)
+        hidden[name] = F.when(where, mask).otherwise(F.col(name))
+    return hidden
 
 
 def consented(df: DataFrame, consents: DataFrame, consent_type: str, as_of, key: str = "patient_key") -> DataFrame:

@@ -10,15 +10,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 MARK = "done boolean"
 
 
-def _complete(spark: SparkSession, journal: str) -> bool:
+def marked(spark: SparkSession, place: str) -> bool:
+    """Has ``mark`` been called for this place?"""
     try:
-        return spark.read.schema(MARK).parquet(f"{journal}/complete").limit(1).count() == 1
+        return spark.read.schema(MARK).parquet(place).limit(1).count() == 1
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error.getCondition()):
             return False
         raise
 
 
+def mark(spark: SparkSession, place: str) -> None:
+    spark.range(1, numPartitions=1).select(F.lit(True).alias("done")).write.mode("overwrite").parquet(place)
+
+
 def replace_partitions(
     spark: SparkSession, root: str, schema: T.StructType, name: str, journal: str, rows: Callable[[], DataFrame],
 ) -> None:
@@ -30,9 +35,9 @@ def replace_partitions(
     while partitions are replaced.
     """
     staged = f"{journal}/rows"
-    if not _complete(spark, journal):
+    if not marked(spark, f"{journal}/complete"):
         rows().repartition(name).write.mode("overwrite").partitionBy(name).parquet(staged)
-        spark.range(1, numPartitions=1).select(F.lit(True).alias("done")).write.mode("overwrite").parquet(f"{journal}/complete")
+        mark(spark, f"{journal}/complete")
     spark.read.schema(schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(root)
     # The journal's rows have served; its mark stays, and replaying an empty journal replaces nothing.
     spark.createDataFrame([], schema).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(name).parquet(staged)

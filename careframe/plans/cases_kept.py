@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from careframe.functions import documents
-from careframe.operators import bucketed, catchments, daily_state as state, governance as gov, lookups as lk, search_index
+from careframe.operators import bucketed, catchments, daily_state as state, governance as gov, lookups as lk, retention, search_index
 from careframe.plans.adapters import PREDICTIONS_AS_OF, facilities, patients, predictions, sql, table
-from careframe.plans.cases_places import _places
+from careframe.plans.cases_places import _places, _policies
 from careframe.session import work_folder
 
 # From a few hits to all patients, one and two letters, other case, and none.
@@ -48,6 +49,34 @@ judged as (
   qualify row_number() over (partition by p.id order by h.changed_at desc, h.id desc) = 1)
 select id, patient_key from judged where granted and (expires_at is null or expires_at > created_at)"""
 
+def _retained_table(s, f):
+    """All orders, a kind by key: most of them under retention first, the others added late, retention again half a year later."""
+    o, name = F.col("o_orderkey"), f"retained_{uuid.uuid4().hex}"
+    rows = table(s, f, "orders").select(
+        o.alias("id"), F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("price"), F.col("o_orderdate").cast("timestamp").alias("created_at"),
+        F.concat(F.lit("kind "), (o % 6).cast("string")).alias("data_type"))
+    late = F.pmod(F.xxhash64("id"), F.lit(10)) == 0
+    retention.create(rows.filter(~late), name, "data_type", "created_at")
+    for as_of in RETAINED_AT:
+        retention.enforce(s, name, _policies(s, f), "data_type", "created_at", ["priority", "price"], as_of, work_folder(s, "retention"))
+        if as_of != RETAINED_AT[-1]:
+            retention.append(rows.filter(late), name, "data_type", "created_at")
+    return retention.read(s, name).withColumn("created_at", F.col("created_at").cast("string"))
+
+
+RETAINED_AT = ("2001-01-15 00:00:00", "2001-07-20 00:00:00")
+RETAINED_TABLE_SQL = f"""
+with policies as (select concat('kind ', r_regionkey) as kind, (r_regionkey + 1) * 500 as keep,
+    case when r_regionkey <> 2 then r_regionkey * 300 end as hide from region where r_regionkey <> 4),
+rows as (select o_orderkey as id, o_orderpriority as priority, o_totalprice as price, cast(o_orderdate as timestamp) as created_at,
+    concat('kind ', o_orderkey % 6) as data_type from orders),
+judged as (select rows.*, timestamp '{RETAINED_AT[-1]}' - to_days(cast(keep as integer)) as kept_from,
+    coalesce(created_at < timestamp '{RETAINED_AT[-1]}' - to_days(cast(hide as integer)), false) as old
+  from rows left join policies on kind = data_type)
+select id, case when old then sha256(priority) else priority end as priority, case when not old then price end as price, data_type,
+  cast(created_at as varchar) as created_at
+from judged where kept_from is null or created_at >= kept_from"""
+
 # Corners around a facility, in hundredths of a degree: the outline, a hole, and a second part that only some have.
 OUTLINE = ((-80, -40), (80, -40), (95, 5), (60, 55), (-70, 50))
 HOLE = ((-20, -10), (25, -15), (10, 20))
@@ -218,6 +247,7 @@ def _round(df):
 
 
 CASES = {
+    "retained_table": (_retained_table, RETAINED_TABLE_SQL),
     "visit_results": (_visit_results, RESULTS_SQL),
     "visit_result_fields": (_visit_fields, FIELDS_SQL),
     "kept_screenings": (
