@@ -18,7 +18,7 @@ import numpy as np
 from careframe.llm.words import Spans, Words, mix
 
 SHINGLE = 5
-COORDINATES = 120
+COORDINATES = 66
 # Rank cells: halves towards zero below 1, then unit cells.
 SMALL_CELLS = 6
 MOST_DARTS = 12
