@@ -126,8 +126,39 @@ def _ordered(left: str, right: str) -> list[Column]:
     return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
 
 
-def links(texts: DataFrame) -> DataFrame:
-    """(a, b) with a < b: similar different texts.  Runs jobs; intermediate tables go to the shared folder."""
+def bucket_lists(rows: DataFrame) -> DataFrame:
+    """(key, size, root, buckets, heads) of every text of ``rows`` (h, key, size, degree, root).
+
+    ``buckets``: its buckets, each with the bucket's first leader; ``heads``: all leaders it meets, each once: those of
+    the ``LEADERS`` busiest classes of every bucket.  A text is in at most as many buckets as there are bands.
+    """
+    heads = rows.groupBy("h", "root").agg(F.max(F.struct("degree", F.col("key").alias("leader"), "size")).alias("x")).select(
+        "h", "root", "x.leader", "x.size", F.col("x.degree").alias("top"))
+    rank = F.row_number().over(Window.partitionBy("h").orderBy(F.desc("top"), "leader"))
+    chosen = heads.withColumn("_rank", rank).filter(F.col("_rank") <= LEADERS).groupBy("h").agg(
+        F.min_by("leader", "_rank").alias("first"), F.collect_list(F.struct("root", "leader", "size")).alias("heads"))
+    return rows.join(chosen, "h").groupBy("key", "size", "root").agg(
+        F.collect_list(F.struct("h", "first")).alias("buckets"), F.array_distinct(F.flatten(F.collect_list("heads"))).alias("heads"))
+
+
+def still_open(rows: DataFrame, lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of ``rows`` whose bucket holds several classes, with the new ``roots``; a bucket of one class stays so.
+
+    A bucket holds several classes if and only if one of its texts is not in its first leader's.  Texts of one family share
+    their leaders over most bands, so classes are joined to a text once and to each different leader it meets, not to every bucket it is in.
+    """
+    now = lists.select("key", "buckets").join(roots.withColumnRenamed("member", "key").withColumnRenamed("root", "_root"), "key", "left").select(
+        "key", F.coalesce("_root", "key").alias("root"), "buckets")
+    meets = now.select("key", "root", F.explode(F.array_distinct("buckets.first")).alias("first"))
+    away = meets.join(roots.select(F.col("member").alias("first"), F.col("root").alias("_root")), "first", "left").filter(
+        F.col("root") != F.coalesce("_root", "first")).groupBy("key").agg(F.collect_set("first").alias("away"))
+    split = now.join(away, "key").select(F.explode(F.filter("buckets", lambda x: F.array_contains("away", x["first"]))["h"]).alias("h")).distinct()
+    left = rows.select("h", "key", "size", "degree").join(split, "h", "left_semi")
+    return left.join(now.select("key", "root"), "key").select("h", "key", "size", "degree", "root")
+
+
+def linked(texts: DataFrame) -> DataFrame:
+    """(member, root) of all similar different texts, as ``components`` gives them.  Runs jobs; intermediate tables go to the shared folder."""
     spark = texts.sparkSession
     bands = stored(band_lists(texts), "bands").select("key", "size", F.explode("bands").alias("h"))
     full = bands.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
@@ -137,62 +168,42 @@ def links(texts: DataFrame) -> DataFrame:
     pairs = small.withColumnsRenamed({"key": "a", "size": "size_a"}).join(small.withColumnsRenamed({"key": "b", "size": "size_b"}), "h").filter(
         (F.col("a") < F.col("b")) & _near("size_a", "size_b")).select("a", "b")
     degree = met.groupBy("key").agg(F.sum("n").alias("degree"))
-    busy = stored(large.join(degree, "key").select("h", "key", "size", "degree"), "large-buckets")
-    rank = F.row_number().over(Window.partitionBy("h").orderBy(F.desc("degree"), "key"))
-    leaders = busy.withColumn("_rank", rank).filter(F.col("_rank") <= LEADERS).select("h", F.col("key").alias("leader"), F.col("size").alias("leader_size"))
-    stars = busy.join(leaders, "h").filter((F.col("key") != F.col("leader")) & _near("size", "leader_size")).select(*_ordered("key", "leader"))
-    tried = stored(pairs.union(stars).distinct(), "candidates")
-    free_shuffles(spark)
-    found = stored(compared(tried, texts), "links")
-    free_shuffles(spark)
-
-    def still_open(rows: DataFrame) -> DataFrame:
-        """Those of ``rows`` whose bucket holds several classes of ``found``; a bucket of one class stays so."""
-        roots = components(found)
-        classed = rows.select("h", "key", "size", "degree").join(roots, rows["key"] == roots["member"], "left").select(
-            "h", "key", "size", "degree", F.coalesce("root", "key").alias("root"))
-        split = classed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("h")
-        return stored(classed.join(split, "h"), "open-buckets")
-
-    open_ = busy
-    for _ in range(ROUNDS):
-        open_ = still_open(open_)
-        heads = open_.groupBy("h", "root").agg(F.max(F.struct("degree", F.col("key").alias("leader"), "size")).alias("x")).select(
-            "h", "root", "x.leader", "x.size", F.col("x.degree").alias("top"))
-        chosen = heads.withColumn("_rank", F.row_number().over(Window.partitionBy("h").orderBy(F.desc("top"), "leader"))).filter(
-            F.col("_rank") <= LEADERS).groupBy("h").agg(F.collect_list(F.struct("root", "leader", "size")).alias("heads"))
-        # A text meets the same leaders in many bands: its lists (at most LEADERS per band) are merged before pairs are made.
-        per_text = open_.join(chosen, "h").groupBy("key", "size", "root").agg(
-            F.array_distinct(F.flatten(F.collect_list("heads"))).alias("heads"))
-        fresh = per_text.select("key", F.explode(F.filter(
+    open_ = stored(large.join(degree, "key").select("h", "key", "size", "degree", F.col("key").alias("root")), "large-buckets")
+    tried, found = None, None
+    for turn in range(1 + ROUNDS):
+        lists = stored(bucket_lists(open_), "bucket-lists")
+        fresh = lists.select("key", F.explode(F.filter(
             "heads", lambda x: (x["root"] != F.col("root")) & _near(F.col("size"), x["size"]))).alias("x")).select(
-            "key", F.col("x.leader").alias("leader")).select(*_ordered("key", "leader")).distinct()
-        fresh = stored(fresh.join(tried, ["a", "b"], "left_anti"), "candidates")
-        if fresh.isEmpty():
+            *_ordered("key", "x.leader")).distinct()
+        fresh = stored(pairs.union(fresh).distinct() if tried is None else fresh.join(tried, ["a", "b"], "left_anti"), "candidates")
+        if turn and fresh.isEmpty():
             break
-        tried = tried.union(fresh)
-        found = found.union(stored(compared(fresh, texts), "links"))
+        tried = fresh if tried is None else tried.union(fresh)
+        free_shuffles(spark)
+        more = stored(compared(fresh, texts), "links")
+        found = more if found is None else found.union(more)
         free_shuffles(spark)
-    else:
-        open_ = still_open(open_)
+        roots = components(found)
+        open_ = stored(still_open(open_, lists, roots), "open-buckets")
     if open_.isEmpty():
-        return found
+        return roots
     keys = stored(open_.select("key").distinct(), "open-keys")
     # All texts are sketched, as the sketches are much smaller to shuffle than the texts.
     sketches = stored(sketched(texts).join(keys, "key", "left_semi").dropDuplicates(["key"]), "sketches")
     free_shuffles(spark)
     last = stored(last_pairs(open_, sketches).join(tried, ["a", "b"], "left_anti"), "candidates")
     free_shuffles(spark)
-    if not last.isEmpty():
-        found = found.union(stored(compared(last, texts), "links"))
-        free_shuffles(spark)
-    return found
+    if last.isEmpty():
+        return roots
+    more = stored(compared(last, texts), "links")
+    free_shuffles(spark)
+    return roots if more.isEmpty() else components(found.union(more))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, key, root, class_id): every row's class, named by its smallest id."""
     texts = docs.select(text_key(text_col).alias("key"), text_of(text_col).alias("text"))
-    roots = components(links(texts)).withColumnRenamed("root", "_root")
+    roots = linked(texts).withColumnRenamed("root", "_root")
     rows = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"))
     rooted = stored(rows.join(roots, F.col("key") == F.col("member"), "left").select(
         "id", "key", F.coalesce("_root", "key").alias("root")), "near-rows")
