@@ -157,6 +157,11 @@ def still_open(rows: DataFrame, lists: DataFrame, roots: DataFrame) -> DataFrame
     return left.join(now.select("key", "root"), "key").select("h", "key", "size", "degree", "root")
 
 
+def _joined(roots: DataFrame | None, more: DataFrame) -> DataFrame:
+    """Classes after further links (a, b): the links so far are as good as the classes they made."""
+    return components(more if roots is None else roots.select(F.col("member").alias("a"), F.col("root").alias("b")).union(more))
+
+
 def linked(texts: DataFrame) -> DataFrame:
     """(member, root) of all similar different texts, as ``components`` gives them.  Runs jobs; intermediate tables go to the shared folder."""
     spark = texts.sparkSession
@@ -169,7 +174,7 @@ def linked(texts: DataFrame) -> DataFrame:
         (F.col("a") < F.col("b")) & _near("size_a", "size_b")).select("a", "b")
     degree = met.groupBy("key").agg(F.sum("n").alias("degree"))
     open_ = stored(large.join(degree, "key").select("h", "key", "size", "degree", F.col("key").alias("root")), "large-buckets")
-    tried, found = None, None
+    tried, roots = None, None
     for turn in range(1 + ROUNDS):
         lists = stored(bucket_lists(open_), "bucket-lists")
         fresh = lists.select("key", F.explode(F.filter(
@@ -181,9 +186,10 @@ def linked(texts: DataFrame) -> DataFrame:
         tried = fresh if tried is None else tried.union(fresh)
         free_shuffles(spark)
         more = stored(compared(fresh, texts), "links")
-        found = more if found is None else found.union(more)
         free_shuffles(spark)
-        roots = components(found)
+        if turn and more.isEmpty():
+            break  # the same classes have the same leaders again
+        roots = _joined(roots, more)
         open_ = stored(still_open(open_, lists, roots), "open-buckets")
     if open_.isEmpty():
         return roots
@@ -197,7 +203,7 @@ def linked(texts: DataFrame) -> DataFrame:
         return roots
     more = stored(compared(last, texts), "links")
     free_shuffles(spark)
-    return roots if more.isEmpty() else components(found.union(more))
+    return roots if more.isEmpty() else _joined(roots, more)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
