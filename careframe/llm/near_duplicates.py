@@ -36,6 +36,8 @@ LEADERS = 4
 ROUNDS = 2
 # Rows of a bucket whose last pairs are made in one task.
 PART = 1024
+# Bits, as a power of two, of the bitmap that says which texts are wanted: 16 MB.
+MARK_BITS = 27
 
 
 def text_key(text_col: str) -> Column:
@@ -100,9 +102,26 @@ def last_pairs(open_: DataFrame, sketches: DataFrame) -> DataFrame:
     return met.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
 
 
+def _mark(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(1 << MARK_BITS))
+
+
+def marked(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``texts`` that may have one of ``keys`` (key): all that have, and few others.
+
+    The keys set bits of one bitmap of ``2 ** MARK_BITS`` bits, whatever their number, so its 16 MB can be broadcast and other texts
+    are not shuffled.  With very many keys the bitmap fills and holds less back; the join that follows is exact.
+    """
+    bits = keys.select(F.bitmap_bucket_number(_mark("key")).alias("_part"), F.bitmap_bit_position(_mark("key")).alias("_at")).repartition(
+        "_part").groupBy("_part").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    placed = texts.withColumns({"_part": F.bitmap_bucket_number(_mark("key")), "_at": F.bitmap_bit_position(_mark("key"))})
+    byte = F.conv(F.hex(F.substring("_bits", (F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return placed.join(F.broadcast(bits), "_part").filter(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1).select(*texts.columns)
+
+
 def compared(pairs: DataFrame, texts: DataFrame, by_count: bool = False) -> DataFrame:
-    """The pairs (a, b) that are alike; one text of every key is shuffled, and one per pair."""
-    one = texts.dropDuplicates(["key"])
+    """The pairs (a, b) that are alike; one text of every key in them is shuffled, and one per pair."""
+    one = marked(texts, pairs.select(F.explode(F.array("a", "b")).alias("key"))).dropDuplicates(["key"])
     left = pairs.join(one.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
     met = left.join(one.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
@@ -194,8 +213,8 @@ def linked(texts: DataFrame) -> DataFrame:
     if open_.isEmpty():
         return roots
     keys = stored(open_.select("key").distinct(), "open-keys")
-    # All texts are sketched, as the sketches are much smaller to shuffle than the texts.
-    sketches = stored(sketched(texts).join(keys, "key", "left_semi").dropDuplicates(["key"]), "sketches")
+    # Sketches are much smaller to shuffle than texts.
+    sketches = stored(sketched(marked(texts, keys)).join(keys, "key", "left_semi").dropDuplicates(["key"]), "sketches")
     free_shuffles(spark)
     last = stored(last_pairs(open_, sketches).join(tried, ["a", "b"], "left_anti"), "candidates")
     free_shuffles(spark)
