@@ -13,7 +13,7 @@ Classes are the connected components of all links.
 Two texts at the threshold share none of the 22 bands once in 7 million times; closer ones less often.
 
 Edge cases: a null text is the empty text; texts of one to four words are one shingle; texts without
-words are alike only if equal; null ids and repeated rows are documents like others; an empty table gives an empty
+words are alike only if equal; texts of any length are compared whole; null ids and repeated rows are documents like others; an empty table gives an empty
 result; other columns are ignored, or carried along by ``keep_one``.
 """
 

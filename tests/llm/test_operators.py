@@ -83,6 +83,21 @@ def test_near_duplicates_of_a_large_family_equal_brute_force(spark):
     assert {r["id"]: r["class_id"] for r in found} == dict(enumerate(want))
 
 
+def test_near_duplicates_of_long_texts_and_of_none(spark):
+    long = " ".join(f"w{i * i % 99991}" for i in range(200_000))
+    rows = [(1, long), (2, long + " end"), (3, "x" * 1_000_000), (4, "x" * 1_000_000 + "y"), (None, long), (5, None), (6, ""), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = Counter((r["id"], r["class_id"]) for r in near_duplicates.classes(docs).collect())
+    assert found == Counter([(1, 1), (2, 1), (3, 3), (4, 4), (None, 1), (5, 5), (6, 5), (6, 5)])
+    assert not near_duplicates.classes(docs.limit(0)).collect()
+
+
+def test_marks_keep_every_wanted_text_and_few_others(spark):
+    texts = spark.range(20_000).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("key"), "id")
+    kept = [r["id"] for r in near_duplicates.marked(texts, texts.filter("id < 300").select("key")).collect()]
+    assert set(range(300)) <= set(kept) and len(kept) < 320
+
+
 def brute_force_votes(texts, labels):
     """Score of every text: the vote of the labelled ones nearest to it in the space they span."""
     def counts(text):
