@@ -4,7 +4,8 @@ Whether a merge happens at a place depends on the bytes to its right only as far
 merges can reach.  ``MergeTable.lookahead`` follows those chains through the whole merge list once and
 gives the most bytes any token needs to see behind its end before it is certain.  No merge crosses the end of a piece of the
 splitting pattern, so there a token is certain at once: texts go in as one stream of pieces, a block of bounded size is merged
-together in arrays (equal pieces once), and is emitted whole.  A piece longer than the window is encoded through it: tokens are
+together in arrays (equal pieces once, and pieces that a bounded store still holds from earlier blocks not again), and is emitted
+whole.  The pieces are found by runs of character kinds, a slab of text at a time.  A piece longer than the window is encoded through it: tokens are
 emitted as soon as ``lookahead`` bytes stand behind them, and the window moves on, so what is merged at a time is bounded by the
 window and not by the piece.
 Decoding feeds token bytes through an incremental UTF-8 state machine, a block at a time.
@@ -38,6 +39,12 @@ MAX_FILE_BYTES = 64 << 20
 SLAB = 1 << 20
 CHUNK_BYTES = 2 << 20
 DECODE_BLOCK = 1 << 14
+# Texts shorter than this go through the pattern itself, which costs them less than arrays do.
+SHORT = 256
+# Bounds of the store of merged pieces: how many, and their characters.
+KEPT_PIECES, KEPT_CHARS = 1 << 15, 1 << 20
+# Character kinds; each run of one kind is a piece but for blanks and contractions.
+OTHER, LETTER, NUMBER, SPACE = range(4)
 NEVER = 1 << 60
 
 
@@ -48,6 +55,15 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+def character_kinds() -> np.ndarray:
+    """The kind of every code point, as the pattern's engine sees it."""
+    every, kinds = "".join(map(chr, range(0x110000))), np.zeros(0x110000, np.uint8)
+    for kind, found in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        for match in regex.finditer(found, every):
+            kinds[match.start():match.end()] = kind
+    return kinds
+
+
 class MergeTable:
     """Vocabulary and merges; a token's number here is 0-255 for a byte, then 256 + rank of the merge that makes it."""
 
@@ -89,6 +105,12 @@ class MergeTable:
         every = np.arange(1 << 16)
         self.byte_pairs = self._made_of(every >> 8, every & 255)
         self.numbered_ids = np.array(self.ids, np.int32)
+        # Bytes of token id i; the last entry, empty, stands for all ids that are none.
+        self.id_lengths = np.zeros(max(self.bytes_of, default=-1) + 2, np.int64)
+        for i, data in self.bytes_of.items():
+            self.id_lengths[i] = len(data)
+        self.id_starts = np.cumsum(self.id_lengths) - self.id_lengths
+        self.id_bytes = np.frombuffer(b"".join(self.bytes_of[i] for i in sorted(self.bytes_of)), np.uint8)
 
     def _lookahead(self) -> int:
         """Most bytes behind a token's end that decide whether it is final."""
@@ -192,15 +214,61 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(lengths.sum()) + np.repeat(starts - np.cumsum(lengths) + lengths, lengths)
 
 
+class Store(dict):
+    """Numbers of pieces in order of first sight; ``new`` holds those not merged yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = len(self)
+        self.new.append(piece)
+        return number
+
+
 class Encoder:
     """The transducer over whole texts: pieces go in as the pattern finds them, and come out as ids a block of pieces at a time."""
 
     def __init__(self, table: MergeTable):
         self.table = table
         self.pattern = regex.compile(PATTERN)
+        self.kinds = character_kinds()
+        self._forget()
         order = sorted(table.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, order)) + ")") if order else None
 
+    def _forget(self) -> None:
+        self.known, self.known_chars = Store(), 0
+        self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def find(self, text: str) -> list[str]:
+        """What ``pattern.findall`` finds, from the runs of character kinds."""
+        if len(text) < SHORT:
+            return self.pattern.findall(text)
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        kinds, n = self.kinds[codes], len(codes)
+        edge = np.ones(n, bool)
+        np.not_equal(kinds[1:], kinds[:-1], out=edge[1:])
+        runs = np.flatnonzero(edge)
+        # Spaces before something else: the last one is apart, and a blank is the first character of what follows.
+        after = runs[1:][kinds[runs[:-1]] == SPACE]
+        edge[after - 1] = True
+        edge[after[codes[after - 1] == 32]] = False
+        quote = runs[codes[runs] == 39]
+        quote = quote[edge[quote] & (quote < n - 1)]
+        if len(quote):
+            one, two = codes[quote + 1], codes[np.minimum(quote + 2, n - 1)]
+            two = np.where(quote + 2 < n, two, 0)
+            size = np.where(np.isin(one, [ord(c) for c in "stmd"]), 2, 0)
+            for ending in ("re", "ve", "ll"):
+                size[(one == ord(ending[0])) & (two == ord(ending[1]))] = 3
+            quote, size = quote[size > 0], size[size > 0]
+            edge[quote + 1] = False
+            edge[(quote + size)[quote + size < n]] = True
+        cuts = np.flatnonzero(edge).tolist()
+        return [text[a:b] for a, b in zip(cuts, [*cuts[1:], n])]
+
     def pieces(self, text: str) -> Iterator[list[str]]:
         """The pieces of a text in blocks of bounded size (or of one piece, if that is longer)."""
         for part in self.special.split(text) if self.special else (text,):
@@ -210,21 +278,29 @@ class Encoder:
             at, slab = 0, SLAB
             while len(part) - at > slab:
                 # The pattern looks at most two characters past a piece's end: pieces that end earlier are the same in the whole part.
-                found, end = self.pattern.findall(part, at, at + slab), at + slab
+                found, end = self.find(part[at:at + slab]), at + slab
                 while found and end > at + slab - 2:
                     end -= len(found.pop())
                 slab = SLAB if found else 2 * slab
                 if found:
                     yield found
                     at = end
-            yield self.pattern.findall(part, at)
+            yield self.find(part[at:])
 
     def block(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids per piece, ids) of the pieces in order; equal pieces are merged once."""
-        table, different = self.table, list(dict.fromkeys(pieces))
-        place = dict(zip(different, range(len(different))))
-        at = np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces))
-        coded = [p.encode() for p in different]
+        """(ids per piece, ids) of the pieces in order; pieces that the store does not hold are merged, equal ones once."""
+        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        if self.known.new:
+            self._learn(self.known.new)
+        lengths = self.lengths[at]
+        found = lengths, self.ids[spread(self.starts[at], lengths)]
+        if len(self.known) > KEPT_PIECES or self.known_chars > KEPT_CHARS:
+            self._forget()
+        return found
+
+    def _learn(self, different: list[str]) -> None:
+        """Put the ids of new pieces, in order, behind those of the store."""
+        table, coded = self.table, [p.encode() for p in different]
         streamed = {i: None for i, (p, data) in enumerate(zip(different, coded)) if p in table.special or len(data) > table.window}
         offsets, numbers = table.merge_all([data for i, data in enumerate(coded) if i not in streamed] if streamed else coded)
         ids = table.numbered_ids[numbers]
@@ -243,7 +319,11 @@ class Encoder:
                 longer += mine
             all_starts[rest], all_lengths[rest] = starts, lengths
             starts, lengths, ids = all_starts, all_lengths, np.concatenate([ids, *longer])
-        return lengths[at], ids[spread(starts[at], lengths[at])]
+        self.starts = np.concatenate([self.starts, starts + len(self.ids)])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.ids = np.concatenate([self.ids, ids])
+        self.known_chars += sum(map(len, different))
+        different.clear()
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids per text, all ids).  A block holds ``SLAB`` characters, whatever the texts' sizes."""
@@ -254,7 +334,9 @@ class Encoder:
 
         def emit() -> None:
             per_piece, found = self.block(held)
-            np.add.at(counts, np.repeat([t for t, _ in owners], [n for _, n in owners]), per_piece)
+            before = np.concatenate([[0], np.cumsum(per_piece)])
+            cuts = np.concatenate([[0], np.cumsum([n for _, n in owners])])
+            np.add.at(counts, [t for t, _ in owners], np.diff(before[cuts]))
             ids.append(found)
             held.clear()
             owners.clear()
@@ -273,14 +355,25 @@ class Encoder:
         return counts, np.concatenate(ids) if ids else np.zeros(0, np.int32)
 
 
-def decode_ids(bytes_of: dict[int, bytes], ids: list[int]) -> str:
-    """Text of ids; an unfinished character waits in the decoder's state for the next block."""
+def decode_bytes(data: memoryview) -> str:
+    """Text of a token sequence's bytes; an unfinished character waits in the decoder's state for the next block."""
     machine = codecs.getincrementaldecoder("utf-8")("replace")
-    text = [machine.decode(b"".join([bytes_of.get(i, b"") for i in ids[at:at + DECODE_BLOCK]]))
-            for at in range(0, len(ids), DECODE_BLOCK)]
+    text = [machine.decode(data[at:at + DECODE_BLOCK]) for at in range(0, len(data), DECODE_BLOCK)]
     return "".join(text) + machine.decode(b"", True)
 
 
+def decode_lists(table: MergeTable, lists: pa.Array) -> list[str]:
+    """Text of every list of ids; a null list is empty, ids that are none have no bytes."""
+    ids = np.asarray(lists.flatten().cast(pa.int64()).fill_null(-1))
+    none = len(table.id_lengths) - 1
+    ids = np.where((ids < 0) | (ids > none), none, ids)
+    lengths = table.id_lengths[ids]
+    data = memoryview(table.id_bytes[spread(table.id_starts[ids], lengths)])
+    tokens = np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))
+    ends = np.concatenate([[0], np.cumsum(lengths)])[tokens].tolist()
+    return [decode_bytes(data[a:b]) for a, b in zip([0, *ends], ends)]
+
+
 _LOADED: dict[int, Encoder] = {}
 
 
@@ -329,13 +422,13 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text
     shared, at = _shared(df, path), keep.index(ids_col)
 
     def run(batches):
-        bytes_of = _encoder(shared).table.bytes_of
+        table = _encoder(shared).table
         for batch in batches:
             ids = batch.column(at)
             lengths = np.asarray(ids.value_lengths().fill_null(0))
             for start, end in stretches(lengths, CHUNK_BYTES // 4):
                 part = batch.slice(start, end - start)
-                texts = [decode_ids(bytes_of, x) if x else "" for x in part.column(at).to_pylist()]
+                texts = decode_lists(table, part.column(at))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*keep, text_col])
 
     fields = [df.schema[c] for c in keep]

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from careframe.llm import bpe
@@ -52,6 +53,39 @@ def test_merging_together_equals_merging_alone(encoder):
     assert [numbers[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [encoder.table.merge(p) for p in pieces]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_pieces_by_runs_equal_the_pattern(monkeypatch, encoder, seed):
+    rng = random.Random(seed)
+    texts = [t for t in ODD if t] + ["".join(rng.choice("'' srtvelmdx1Ⅷ\u00b2é　\u00a0\n\t\x1f!\U0001f600") for _ in range(rng.randrange(300)))
+                                     for _ in range(400)] + ["".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))]
+    monkeypatch.setattr(bpe, "SHORT", 1)
+    for text in texts:
+        assert encoder.find(text) == encoder.pattern.findall(text)
+
+
+def test_the_store_is_bounded_and_merges_known_pieces_once(monkeypatch, encoder, library):
+    encoder._forget()
+    merged, whole = [], encoder.table.merge_all
+    monkeypatch.setattr(encoder.table, "merge_all", lambda pieces: merged.append(len(pieces)) or whole(pieces))
+    monkeypatch.setattr(bpe, "SLAB", 13)  # a block per text
+    encoder.encode(["one two three", "one two three", "two"])
+    assert merged == [3, 1]  # the last text's piece has no blank before it
+    monkeypatch.setattr(bpe, "KEPT_PIECES", 2)
+    texts = ["a b c d", "a b", "x" * 9000, "<|endoftext|>", "a b c d"]
+    counts, ids = encoder.encode(texts)
+    assert len(encoder.known) <= 2 and encoder.known_chars < 100
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_lists_of_ids_decode_as_the_library_does(encoder, library):
+    snow = library.encode("\u2603", add_special_tokens=False).ids
+    lists = [snow, snow[:1], [], None, [*snow[1:], 10**9, -1, None, *snow], list(range(400)), [50256, 1]]
+    want = [library.decode([i for i in x or () if i is not None and 0 <= i < 10**8], skip_special_tokens=False) for x in lists]
+    assert bpe.decode_lists(encoder.table, pa.array(lists, pa.list_(pa.int32())).slice(0)) == want
+    assert bpe.decode_lists(encoder.table, pa.array([[5], *lists], pa.list_(pa.int32())).slice(1)) == want
+
+
 def test_a_long_run_is_merged_a_window_at_a_time(monkeypatch, encoder):
     sizes, whole = [], encoder.table.merge
     data = b"banana" * 20_000
