@@ -4,10 +4,12 @@ Spark's own reader takes such a file as a whole.  Here a file is read line by li
 expressions tell whether it ends inside quotes, once if it begins outside and once if it begins inside them; over many
 lines that is again such a pair.  A first pass reduces every split to its pair (one row each) and a prefix over a file's splits tells
 how each begins.  In the second pass every split puts its lines together from its first true record on; a record
-that crosses splits is joined from one piece per split.
+that crosses splits is joined from one piece per split.  Lines without open quotes are records as they stand, taken over an Arrow batch
+at a time.
 
 What a split needs is one row, broadcast up to ``MOST_BROADCAST`` splits and joined by a sorted shuffle beyond.  Splits are
-known by file and block, so both passes run in a session that is the caller's but for one fixed split size.
+known by file and block, so both passes run in a session that is the caller's but for one fixed split size, ``SPLIT_BYTES`` at most, small
+enough to give every core some of a batch of a few files.
 Lines end in LF or CR LF; bytes that are no UTF-8 read as U+FFFD.
 """
 
@@ -17,11 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from careframe.session import pinned_session, work_folder
 
 MOST_BROADCAST = 1_000_000
+SPLIT_BYTES = 8 << 20
+# What the second pass gives: records within one split, pieces of all others, or whatever begins in a split.
+WHOLE, PIECES, BEGUN = range(3)
 
 # A complete field, and a line's end inside a quoted one, once doubled quotes are left out.
 _FIELD = '(?:"[^"]*+"[^,]*+|[^",][^,]*+|)'
@@ -50,13 +56,14 @@ def _by_split(batches) -> Iterator[tuple[str, int, bool, pa.RecordBatch]]:
     """(file, block, last, rows): stretches of rows of one split; a split's rows are contiguous and in order."""
     held = None
     for batch in batches:
-        files, blocks = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
-        edges = np.flatnonzero((files[1:] != files[:-1]) | (blocks[1:] != blocks[:-1])) + 1
-        bounds = [0, *edges.tolist(), len(files)]
+        files, blocks, n = batch.column(0), batch.column(1).to_numpy(), batch.num_rows
+        other = pc.not_equal(files.slice(1), files.slice(0, max(n - 1, 0))).to_numpy(zero_copy_only=False)
+        edges = np.flatnonzero(other | (blocks[1:] != blocks[:-1])) + 1
+        bounds = [0, *edges.tolist(), n]
         for start, end in zip(bounds, bounds[1:]):
             if start == end:
                 continue
-            place = (files[start], int(blocks[start]))
+            place = (files[start].as_py(), int(blocks[start]))
             if held is not None:
                 yield *held[0], held[0] != place, held[1]
             held = place, batch.slice(start, end - start)
@@ -101,8 +108,27 @@ def split_states(lines: DataFrame) -> DataFrame:
     return known.select("source_file", "split_start", (F.coalesce("fixed.inside", F.lit(False)) != odd).alias("inside"))
 
 
-def _put_together(whole: bool):
-    """The records that begin and end in one split, or (``whole`` false) the pieces of all others."""
+def _plain_records(lines: pa.Array) -> pa.Array:
+    """Records of lines none of which ends inside quotes: all but the blank ones."""
+    shown = pc.match_substring_regex(lines, "[!-~]").to_numpy(zero_copy_only=False).copy()
+    for i in np.flatnonzero(~shown).tolist():
+        shown[i] = bool(lines[i].as_py().strip())
+    if not shown.all():
+        lines = lines.filter(pa.array(shown))
+    if pc.any(pc.ends_with(lines, "\r")).as_py():
+        lines = pc.replace_substring_regex(lines, "\r\\z", "")
+    return lines
+
+
+def _put_together(wanted: int):
+    """The records or pieces that are ``wanted``: ``WHOLE``, ``PIECES`` or ``BEGUN``."""
+
+    def rows(time, file, block, orders, begins, ends, records):
+        n = len(records)
+        return pa.RecordBatch.from_arrays(
+            [pa.repeat(time, n), pa.repeat(pa.scalar(file, pa.string()), n), pa.repeat(pa.scalar(block, pa.int64()), n),
+             pa.array(orders, pa.int64()), pa.array(begins, pa.bool_()), pa.array(ends, pa.bool_()), records],
+            names=["source_time", "source_file", "split_start", "split_order", "begins", "ends", "record"])
 
     def run(batches):
         place = None
@@ -110,10 +136,17 @@ def _put_together(whole: bool):
             if place != (file, block):
                 place, inside, order = (file, block), batch.column(4)[0].as_py(), 0
                 begins, parts, header = not inside, [], block == 0
-            time, lines = batch.column(5)[0], batch.column(6).to_pylist()
+            time, after = batch.column(5)[0], _ends_inside(*_flags(batch), inside)
+            if begins and not parts and not header and not after.any():
+                inside, found = False, _plain_records(batch.column(6))
+                if wanted != PIECES and len(found):
+                    every = np.ones(len(found), bool)
+                    yield rows(time, file, block, np.arange(order, order + len(found)), every, every, found)
+                order += len(found)
+                continue
+            lines = batch.column(6).to_pylist()
             if header and lines[0].startswith("﻿") and order == 0 and not parts:
                 lines[0] = lines[0][1:]
-            after = _ends_inside(*_flags(batch), inside)
             inside = bool(after[-1])
             orders, records, pieces = [], [], []
             for line, open_ in zip(lines, after.tolist()):
@@ -133,17 +166,12 @@ def _put_together(whole: bool):
                 begins, parts = True, []
             if last and parts:
                 pieces.append((order if begins else -1, begins, False, "\n".join(parts)))
-            if whole and records:
-                pieces = [(o, True, True, r) for o, r in zip(orders, records)]
-            elif whole:
-                continue
+            if wanted != PIECES:
+                begun = [p for p in pieces if p[1]] if wanted == BEGUN else []
+                pieces = [(o, True, True, r) for o, r in zip(orders, records)] + begun
             if pieces:
-                n, columns = len(pieces), list(zip(*pieces))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([time.as_py()] * n, batch.schema.field(5).type), pa.array([file] * n, pa.string()), pa.array([block] * n, pa.int64()),
-                     pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.bool_()), pa.array(columns[2], pa.bool_()),
-                     pa.array(columns[3], pa.string())],
-                    names=["source_time", "source_file", "split_start", "split_order", "begins", "ends", "record"])
+                orders, starts, ends, texts = zip(*pieces)
+                yield rows(time, file, block, orders, starts, ends, pa.array(texts, pa.string()))
 
     return run
 
@@ -152,6 +180,8 @@ def read_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(source_time, source_file, split_start, split_order, record): the text of every record but each file's first, which
     is its header, and blank lines.  ``split_order`` counts the records that begin in a split.  Runs the job of the first pass."""
     own = pinned_session(spark)
+    largest = own._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    own.conf.set("spark.sql.files.maxPartitionBytes", str(min(largest, SPLIT_BYTES)))
     place = work_folder(own, "record-splits")
     split_states(_lines(own, path)).write.parquet(place)
     states = own.read.schema("source_file string, split_start long, inside boolean").parquet(place)
@@ -163,16 +193,14 @@ def read_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
         placed = numbered.join(states, ["source_file", "split_start"]).repartition("source_file", "split_start").sortWithinPartitions(
             "source_file", "split_start", "line").select(*shape)
     columns = ["source_time", "source_file", "split_start", "split_order", "record"]
-    records = placed.mapInArrow(_put_together(True), PIECE).select(*columns)
-    crossing = states.filter("inside").limit(1).count()
-    # A file that ends inside quotes leaves a piece too, which no later split shows.
-    pieces = placed.mapInArrow(_put_together(False), PIECE)
-    if not crossing:
-        return records.unionByName(pieces.filter("begins").select(*columns))
+    if not states.filter("inside").limit(1).count():
+        # No record crosses splits: one pass gives all, and the piece that a file leaves if it ends inside quotes.
+        return placed.mapInArrow(_put_together(BEGUN), PIECE).select(*columns)
+    records, pieces = (placed.mapInArrow(_put_together(wanted), PIECE) for wanted in (WHOLE, PIECES))
     # At most two pieces per split: one that began earlier, one that goes on.
     number = F.sum(F.col("begins").cast("int")).over(Window.partitionBy("source_file").orderBy("split_start", "split_order"))
     joined = pieces.withColumn("number", number).groupBy("source_file", "number").agg(
         F.min("source_time").alias("source_time"), F.min("split_start").alias("split_start"),
         F.max("split_order").alias("split_order"), F.max("begins").alias("begun"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("split_start", "split_order", "record"))), lambda x: x["record"]), "\n").alias("record"))
-    return records.unionByName(joined.filter("begun").select(*columns))
+    return records.select(*columns).unionByName(joined.filter("begun").select(*columns))

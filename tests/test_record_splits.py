@@ -4,10 +4,11 @@ import csv
 import io
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from careframe.sources import patient_csv as pc
+from careframe.sources import patient_csv as pc, record_splits
 from careframe.sources.record_splits import _line_states, read_records
 
 HEADER = "patient_id,first_name,last_name,date_of_birth,gender,phone,email,county,sub_county"
@@ -68,6 +69,23 @@ def test_one_task_per_split(spark, tmp_path, small_splits):
     assert rows.filter(F.col("first_name") == F.concat(F.lit("two\nlines "), F.substring("patient_id", 2, 9))).count() == 20_000
 
 
+def test_a_file_below_the_usual_split_size_is_read_by_several_tasks_in_one_pass(spark, tmp_path):
+    path = tmp_path / "big.csv"
+    path.write_text("patient_id,first_name\n" + "".join(f"P{i},name {i} {'x' * 200}\n" for i in range(100_000)))
+    records = read_records(spark, str(path))
+    assert records.rdd.getNumPartitions() == -(-path.stat().st_size // record_splits.SPLIT_BYTES) > 2
+    assert records.count() == 100_000 and records.select("split_start", "split_order").distinct().count() == 100_000
+    plan = records._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_plain_lines_become_records_as_line_by_line():
+    lines = ["P1,a", "", "  ", "\t\r", "P2,b\r", "é", "\u3000\x1c", "P3\r\r", "P\r4"]
+    want = [line.removesuffix("\r") for line in lines if line.strip()]
+    assert record_splits._plain_records(pa.array(lines)).to_pylist() == want
+    assert record_splits._plain_records(pa.array(["", " "])).to_pylist() == []
+
+
 @pytest.mark.parametrize("line,out_in,in_in", [
     ("a,b", False, True), ("", False, True), ('a,"b', True, False), ('b"', False, False), ('b",c', False, False), ('b","c', True, True),
     ('"a""', True, False), ('"a"",', True, False), ('a"b', False, False), ('"",""', False, True), ('"a","b"\r', False, False), ('x"",y', False, True)])
